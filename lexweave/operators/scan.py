@@ -30,11 +30,13 @@ def ordered_scan(
     order: Sequence[Column | str],
     running: dict[str, tuple[str, str]],
     partitions: int | None = None,
+    keep_range: bool = False,
 ) -> DataFrame:
     """Add inclusive running aggregates along ``order`` inside each ``group``.
 
     ``running`` maps an output column to (sum | min | max, input column).
     ``order`` must be a total order within the group, and group keys not null.
+    ``keep_range`` keeps the range number as ``_range``.
     """
     spark = df.sparkSession
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -66,6 +68,7 @@ def ordered_scan(
     joined = ranged.join(carry, [*group, "_range"])
     out = joined.select(
         *df.columns,
+        *(["_range"] if keep_range else []),
         *[
             _combine(kind, F.col(f"_c_{out}"), _MERGE[kind](col).over(inside)).alias(out)
             for out, (kind, col) in running.items()
@@ -157,3 +160,23 @@ def top_per_group(
     """
     w = Window.partitionBy(*group).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
+
+
+def next_at_or_above(
+    targets: DataFrame, target: str, points: DataFrame, point: str, group: Sequence[str], out: str
+) -> DataFrame:
+    """For every target the smallest point >= target in its group (null if none).
+
+    One descending scan over targets and points together, so it needs neither a
+    range join nor one task per group.
+    """
+    group = list(group)
+    t = targets.select(*group, F.col(target).alias("_v"), F.lit(1).alias("_kind"), F.struct(*targets.columns).alias("_row"),
+                       F.lit(None).cast("double").alias("_p")).withColumn("_tie", F.xxhash64("_row"))
+    p = points.select(*group, F.col(point).alias("_v"), F.lit(0).alias("_kind"),
+                      F.lit(None).cast(t.schema["_row"].dataType).alias("_row"),
+                      F.col(point).cast("double").alias("_p"), F.lit(0).cast("long").alias("_tie"))
+    both = t.unionByName(p)
+    scanned = ordered_scan(both, group, [F.desc("_v"), F.asc("_kind"), F.asc("_tie")], {"_near": ("min", "_p")})
+    kind = points.schema[point].dataType
+    return scanned.where("_kind = 1").select("_row.*", F.col("_near").cast(kind).alias(out))
