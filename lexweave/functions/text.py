@@ -68,32 +68,29 @@ def snake_key(col: Column | str) -> Column:
     return F.regexp_replace(snake, "^_+|_+$", "")
 
 
+def let(col: Column, body) -> Column:
+    """Bind a column to a lambda variable so that lambdas nested in ``body`` do
+    not evaluate it again for every element."""
+    return F.get(F.transform(F.array(col), body), F.lit(0))
+
+
 def ngrams(tokens: Column, lo: int, hi: int) -> Column:
     """All token n-grams lo..hi of an array, space-joined; short arrays give none."""
-    parts = []
-    for n in range(lo, hi + 1):
+    empty = F.array().cast("array<string>")
+
+    def grams(t: Column, n: int) -> Column:
         if n == 1:
-            parts.append(tokens)
-            continue
-        parts.append(
-            F.when(
-                F.size(tokens) >= n,
-                F.transform(
-                    F.sequence(F.lit(1), F.size(tokens) - (n - 1)),
-                    lambda i, n=n: F.array_join(F.slice(tokens, i, F.lit(n)), " "),
-                ),
-            ).otherwise(F.array().cast("array<string>"))
-        )
-    return F.concat(*parts) if len(parts) > 1 else parts[0]
+            return t
+        run = lambda i: F.array_join(F.slice(t, i, F.lit(n)), " ")
+        return F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.size(t) - (n - 1)), run)).otherwise(empty)
+
+    return let(tokens, lambda t: F.concat(empty, *[grams(t, n) for n in range(lo, hi + 1)]))
 
 
 def char_ngrams(text: Column, n: int) -> Column:
-    return F.when(
-        F.length(text) >= n,
-        F.transform(
-            F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substr(text, i, F.lit(n))
-        ),
-    ).otherwise(F.array().cast("array<string>"))
+    """Overlapping character n-grams in one pass (a lookahead captures n
+    characters while the match itself advances by one)."""
+    return F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{n}}}))."), F.lit(1))
 
 
 def whole_word(term: str) -> str:
