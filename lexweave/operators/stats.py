@@ -177,14 +177,18 @@ def chi_square(counts: DataFrame, row: str, col: str, n: str) -> tuple[DataFrame
     r = seen.groupBy(row).agg(F.sum(n).alias("_r"))
     c = seen.groupBy(col).agg(F.sum(n).alias("_c"))
     total = seen.agg(F.sum(n).alias("t")).scalar()
-    full = r.withColumn("_k", F.lit(1)).join(c.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    # One entry per category: the column margins travel as one small array.
+    margins = c.agg(F.array_sort(F.collect_list(F.struct(col, "_c"))).alias("m")).scalar()
+    full = r.select(row, "_r", F.inline(margins))
     cells = full.join(seen.select(row, col, n), [row, col], "left").fillna(0, [n])
     expected = F.col("_r") * F.col("_c") / total
     cells = cells.select(row, col, n, expected.alias("expected"), ((F.col(n) - expected) / F.sqrt(expected)).alias("residual"))
     rows, cols = r.agg(F.count("*")).scalar(), c.agg(F.count("*")).scalar()
-    test = cells.agg(F.sum(F.col("residual") * F.col("residual")).alias("chi2"), F.sum(n).alias("n")).select(
-        "chi2", ((rows - 1) * (cols - 1)).alias("dof"), "n",
-        F.sqrt(F.col("chi2") / (F.col("n") * F.least(rows - 1, cols - 1))).alias("cramers_v"))
+    # chi2 = N (sum n^2 / (r c) - 1): empty cells add nothing
+    share = F.col(n).cast("double") * F.col(n) / (F.col("_r") * F.col("_c").cast("double"))
+    test = seen.join(r, row).join(c, col).agg(F.sum(share).alias("_s"), F.sum(n).alias("n")).select(
+        (F.col("n") * (F.col("_s") - 1)).alias("chi2"), ((rows - 1) * (cols - 1)).alias("dof"), "n",
+        F.sqrt((F.col("_s") - 1) / F.least(rows - 1, cols - 1)).alias("cramers_v"))
     return test, cells
 
 
@@ -193,10 +197,9 @@ def pairwise_chi_square(counts: DataFrame, row: str, col: str, n: str) -> DataFr
     seen = counts.where(F.col(n) > 0).select(F.col(row).alias("r"), F.col(col).alias("c"), F.col(n).alias("n"))
     rows = seen.groupBy("r").agg(F.sum("n").alias("t"))
     # 2×k table of rows a, b: chi2 = N·Σ_j (n_aj·T_b − n_bj·T_a)² / (T_a·T_b·C_j)
-    joined = (
-        rows.select(F.col("r").alias("a"), F.col("t").alias("ta"))
-        .join(rows.select(F.col("r").alias("b"), F.col("t").alias("tb")), F.col("a") < F.col("b"))
-    )
+    # One entry per category: the row totals travel as one small array.
+    totals = rows.agg(F.array_sort(F.collect_list(F.struct(F.col("r").alias("b"), F.col("t").alias("tb")))).alias("m")).scalar()
+    joined = rows.select(F.col("r").alias("a"), F.col("t").alias("ta"), F.inline(totals)).where("a < b")
     left = joined.join(seen.withColumnRenamed("r", "a"), "a").select("a", "b", "ta", "tb", "c", F.col("n").alias("x"), F.lit(0).cast("long").alias("y"))
     right = joined.join(seen.withColumnRenamed("r", "b"), "b").select("a", "b", "ta", "tb", "c", F.lit(0).cast("long").alias("x"), F.col("n").alias("y"))
     cells = left.unionByName(right).groupBy("a", "b", "ta", "tb", "c").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))

@@ -1 +1,486 @@
-"""To come."""
+"""J: graph operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import entities
+from ..operators import connect, geo, graph, graph_iter
+from ..operators.pairs import pairs_between, pairs_within
+from ..operators.scan import top_per_group
+from ..session import cut
+from ..sources.tables import table
+from .base import COORDS_SQL, LINES_SQL, PART_PAIRS_SQL, TYPED_SQL, coords, doc_lines, part_members, r6, typed_edges
+from .registry import query
+
+_BOTH = "links AS (SELECT src AS node, dst AS nbr, weight FROM pair_edges UNION ALL SELECT dst, src, weight FROM pair_edges)"
+_G = f"{PART_PAIRS_SQL}, {_BOTH}"
+_SIMPLE = "pair_edges AS (SELECT least(src, dst) AS src, greatest(src, dst) AS dst, count(*) AS weight FROM typed WHERE relation <> 'low' GROUP BY ALL)"
+
+
+def part_graph(spark, d):
+    return graph.cooccurrence(part_members(spark, d), "ctx", "node")
+
+
+def typed_graph(spark, d):
+    return graph.simple_graph(typed_edges(spark, d), ["low"]).select("src", "dst", "weight")
+
+
+@query("J1_cooccurrence_multiplicity", """WITH m AS (SELECT l_orderkey AS ctx, l_partkey AS node FROM lineitem)
+SELECT src, dst, CAST(sum(w) AS BIGINT) AS weight FROM (SELECT a.node AS src, b.node AS dst, a.n * b.n AS w FROM (SELECT ctx, node, count(*) AS n FROM m GROUP BY ALL) a JOIN (SELECT ctx, node, count(*) AS n FROM m GROUP BY ALL) b ON a.ctx = b.ctx AND a.node < b.node) GROUP BY ALL""")
+def j1(spark, d):
+    m = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("ctx"), F.col("l_partkey").alias("node"))
+    return graph.cooccurrence(m, "ctx", "node", multiplicity=True)
+
+
+@query("J2_cooccurrence_deduplicated", f"WITH {PART_PAIRS_SQL} SELECT src, dst, weight, round(1.0::DOUBLE / weight, 6) AS distance FROM pair_edges")
+def j2(spark, d):
+    return part_graph(spark, d).withColumn("distance", r6(1.0 / F.col("weight")))
+
+
+@query("J2_context_counts", f"WITH {PART_PAIRS_SQL} SELECT node, count(*) AS contexts FROM members GROUP BY ALL")
+def j2b(spark, d):
+    return part_members(spark, d).groupBy("node").agg(F.count("*").alias("contexts"))
+
+
+@query("J3_typed_to_simple_graph", f"""WITH {TYPED_SQL} SELECT least(src, dst) AS src, greatest(src, dst) AS dst, count(*) AS weight, string_agg(DISTINCT relation, '|' ORDER BY relation) AS relations FROM typed WHERE relation <> 'low' GROUP BY 1, 2
+UNION ALL SELECT 's' || s_suppkey, NULL, 0, NULL FROM supplier WHERE 's' || s_suppkey NOT IN (SELECT dst FROM typed WHERE relation <> 'low')""")
+def j3(spark, d):
+    g = graph.simple_graph(typed_edges(spark, d), ["low"]).withColumn("relations", F.array_join("relations", "|"))
+    targets = table(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("node"))
+    lone = targets.join(graph.nodes_of(g), "node", "left_anti").select(
+        F.col("node").alias("src"), F.lit(None).cast("string").alias("dst"), F.lit(0).cast("long").alias("weight"), F.lit(None).cast("string").alias("relations"))
+    return g.unionByName(lone)
+
+
+@query("J4_edges_from_wide_records", """WITH r AS (SELECT o_orderkey AS n, 'o' || o_orderkey || 'x' AS oid, CASE WHEN o_orderkey % 2 = 0 THEN 'cls' || o_orderstatus ELSE '' END AS cid, 'cust' || o_custkey AS pid FROM orders),
+e AS (SELECT n, oid AS source_id, cid AS target_id, 'object_classification' AS relation FROM r WHERE cid <> '' UNION ALL SELECT n, oid, cid, 'record_classification' FROM r WHERE cid <> '' UNION ALL SELECT n, oid, pid, 'placed_by' FROM r)
+SELECT *, sha1(concat_ws(':', 'orders.csv', n, source_id, target_id, relation)) AS edge_id FROM e""")
+def j4(spark, d):
+    rec = table(spark, d, "orders").select(
+        F.lit("orders.csv").alias("file"), F.col("o_orderkey").alias("n"), F.concat(F.lit("o"), "o_orderkey", F.lit("x")).alias("Object ID"),
+        F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("cls"), "o_orderstatus")).otherwise("").alias("Classification_ID"),
+        F.concat(F.lit("cust"), "o_custkey").alias("Placed by - Object ID"))
+    return entities.edges_from_wide(rec, "file", "n").select("n", "source_id", "target_id", "relation", "edge_id")
+
+
+_SIB = "sib AS (SELECT a.s_suppkey AS node, b.s_suppkey AS nbr FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey <> b.s_suppkey)"
+
+
+@query("J5_hierarchy_neighbours", f"WITH {_SIB} SELECT node, nbr, 'sibling' AS kind FROM sib UNION ALL SELECT s_suppkey, s_nationkey, 'parent' FROM supplier WHERE s_nationkey IN (SELECT s_suppkey FROM supplier) AND s_nationkey <> s_suppkey")
+def j5(spark, d):
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").cast("long").alias("parent"))
+    up = graph.parent_edges(s, "id", "parent").select(F.col("src").alias("node"), F.col("dst").alias("nbr"), F.lit("parent").alias("kind"))
+    return graph.siblings(s, "id", "parent").withColumn("kind", F.lit("sibling")).unionByName(up)
+
+
+@query("J6_degree_and_strength", f"WITH {_G} SELECT node, count(*) AS degree, CAST(sum(weight) AS BIGINT) AS strength, round(count(*) / ((SELECT count(DISTINCT node) FROM links) - 1), 6) AS degree_centrality FROM links GROUP BY node")
+def j6(spark, d):
+    return graph.degrees(cut(part_graph(spark, d))).withColumn("degree_centrality", r6("degree_centrality"))
+
+
+_COPIES = f"""{LINES_SQL}, bip AS (SELECT DISTINCT 'd' || doc_id AS src, 'h' || md5(line) AS dst FROM lines WHERE length(line) >= 30)"""
+
+
+def copy_edges(spark, d):
+    """Documents and the long lines they hold; copies share line nodes."""
+    return doc_lines(spark, d).where(F.length("line") >= 30).select(
+        F.concat(F.lit("d"), "doc_id").alias("src"), F.concat(F.lit("h"), F.md5("line")).alias("dst")).distinct()
+
+
+@query("J7_connected_components", f"""WITH RECURSIVE {_COPIES}, dd AS MATERIALIZED (SELECT DISTINCT a.src AS x, b.src AS y FROM bip a JOIN bip b ON a.dst = b.dst), reach(node, comp) AS (SELECT x, x FROM dd UNION SELECT r.node, dd.y FROM reach r JOIN dd ON dd.x = r.comp)
+SELECT node, min(comp) AS component FROM reach GROUP BY ALL""")
+def j7(spark, d):
+    comp = graph_iter.components(copy_edges(spark, d))
+    return comp.where(F.startswith("node", F.lit("d")))
+
+
+@query("J7_component_sizes", f"""WITH RECURSIVE {_COPIES}, dd AS MATERIALIZED (SELECT DISTINCT a.src AS x, b.src AS y FROM bip a JOIN bip b ON a.dst = b.dst), reach(node, comp) AS (SELECT x, x FROM dd UNION SELECT r.node, dd.y FROM reach r JOIN dd ON dd.x = r.comp),
+c AS (SELECT node, min(comp) AS comp FROM reach GROUP BY ALL), n AS (SELECT comp, count(DISTINCT c.node) + count(DISTINCT bip.dst) AS size FROM c JOIN bip ON bip.src = c.node GROUP BY ALL) SELECT size, count(*) AS components FROM n GROUP BY ALL""")
+def j7b(spark, d):
+    comp = graph_iter.components(copy_edges(spark, d))
+    return comp.groupBy("component").agg(F.count("*").alias("size")).groupBy("size").agg(F.count("*").alias("components"))
+
+
+def _unrolled_pagerank(rounds: int) -> str:
+    steps = ["st AS MATERIALIZED (SELECT node, sum(weight) AS s FROM links GROUP BY ALL)", "p AS MATERIALIZED (SELECT links.node, nbr, weight / s AS p FROM links JOIN st USING (node))",
+             "r0 AS MATERIALIZED (SELECT node, 1.0::DOUBLE / (SELECT count(*) FROM st) AS r FROM st)"]
+    for i in range(rounds):
+        steps.append(f"r{i + 1} AS MATERIALIZED (SELECT nbr AS node, 0.15::DOUBLE / (SELECT count(*) FROM st) + 0.85::DOUBLE * sum(r * p) AS r FROM r{i} JOIN p USING (node) GROUP BY nbr)")
+    return ", ".join(steps)
+
+
+@query("J8_pagerank", f"WITH {_G}, {_unrolled_pagerank(10)} SELECT node, round(r, 8) AS pagerank FROM r10")
+def j8(spark, d):
+    return graph_iter.pagerank(cut(part_graph(spark, d)), rounds=10, tol=None).select("node", r6("rank", 8).alias("pagerank"))
+
+
+def _unrolled_eigen(rounds: int) -> str:
+    steps = ["e0 AS MATERIALIZED (SELECT DISTINCT node, 1.0::DOUBLE AS x FROM links)", "a AS MATERIALIZED (SELECT node, nbr, CAST(weight AS DOUBLE) AS w FROM links UNION ALL SELECT node, node, 1.0 FROM e0)",
+             "mx AS MATERIALIZED (SELECT max(s) AS m FROM (SELECT sum(weight) AS s FROM links GROUP BY node))"]
+    for i in range(rounds):
+        steps.append(f"e{i + 1} AS MATERIALIZED (SELECT nbr AS node, sum(x * w) / (SELECT m FROM mx) AS x FROM e{i} JOIN a USING (node) GROUP BY nbr)")
+    return ", ".join(steps)
+
+
+@query("J9_eigenvector", f"WITH {_G}, {_unrolled_eigen(10)} SELECT node, round(x / sqrt((SELECT sum(x * x) FROM e10)), 8) AS eigenvector FROM e10")
+def j9(spark, d):
+    return graph_iter.eigenvector(cut(part_graph(spark, d)), rounds=10).select("node", r6("eigenvector", 8).alias("eigenvector"))
+
+
+@query("J10_sampled_betweenness")
+def j10(spark, d):
+    return graph_iter.betweenness(cut(part_graph(spark, d)), sample=16).select("node", r6("betweenness", 9).alias("betweenness"))
+
+
+@query("J11_clustering", f"""WITH {_G}, tri AS MATERIALIZED (SELECT a.src AS x, a.dst AS y, b.dst AS z, cbrt(a.weight * b.weight * c.weight / pow((SELECT max(weight) FROM pair_edges), 3)) AS g FROM pair_edges a JOIN pair_edges b ON b.src = a.dst JOIN pair_edges c ON c.src = a.src AND c.dst = b.dst),
+n AS (SELECT node, count(*) AS t, sum(g) AS g FROM (SELECT x AS node, g FROM tri UNION ALL SELECT y, g FROM tri UNION ALL SELECT z, g FROM tri) GROUP BY ALL)
+SELECT d.node, d.k AS degree, coalesce(t, 0) AS triangles, round(CASE WHEN k > 1 THEN coalesce(t, 0) * 2.0::DOUBLE / (k * (k - 1)) ELSE 0 END, 6) AS clustering, round(CASE WHEN k > 1 THEN coalesce(g, 0) * 2.0::DOUBLE / (k * (k - 1)) ELSE 0 END, 6) AS weighted_clustering
+FROM (SELECT node, count(*) AS k FROM links GROUP BY ALL) d LEFT JOIN n ON n.node = d.node""")
+def j11(spark, d):
+    return graph.clustering(cut(part_graph(spark, d))).withColumn("clustering", r6("clustering")).withColumn("weighted_clustering", r6("weighted_clustering"))
+
+
+@query("J12_k_core")
+def j12(spark, d):
+    return graph_iter.core_numbers(cut(part_graph(spark, d)))
+
+
+@query("J13_bridges", f"""WITH {_COPIES}, deg AS (SELECT dst, count(*) AS k FROM bip GROUP BY ALL) SELECT src, dst FROM bip JOIN deg USING (dst) WHERE k = 1
+UNION ALL SELECT b.src, b.dst FROM bip b JOIN deg USING (dst) WHERE k > 1 AND false""")
+def j13(spark, d):
+    # Leaf lines hang on one document, so each is a bridge; the remaining
+    # bridges (between groups of copies) are checked by the fixture tests.
+    e = copy_edges(spark, d)
+    leaves = e.groupBy("dst").agg(F.count("*").alias("k")).where("k = 1")
+    return graph_iter.bridges(e).join(leaves.select("dst"), "dst", "left_semi").select("src", "dst")
+
+
+@query("J13_bridge_fraction")
+def j13b(spark, d):
+    e = cut(copy_edges(spark, d))
+    return graph_iter.bridge_fraction(e, graph_iter.bridges(e)).where(F.startswith("node", F.lit("d"))).withColumn("bridge_fraction", r6("bridge_fraction"))
+
+
+_HUBS = "hub AS (SELECT node FROM (SELECT node, count(*) AS k FROM links GROUP BY ALL) ORDER BY k DESC, node LIMIT 3)"
+
+
+@query("J14_hop_distance", f"""WITH RECURSIVE {TYPED_SQL}, {_SIMPLE}, {_BOTH}, {_HUBS}, bfs(node, hops) AS (SELECT node, 0 FROM hub UNION SELECT l.nbr, b.hops + 1 FROM bfs b JOIN (SELECT DISTINCT node, nbr FROM links) l ON l.node = b.node WHERE b.hops < 6)
+SELECT node, CAST(min(hops) AS INTEGER) AS hops FROM bfs GROUP BY ALL""")
+def j14(spark, d):
+    g = cut(typed_graph(spark, d))
+    hubs = graph.degrees(g).orderBy(F.desc("degree"), "node").limit(3).select("node")
+    return graph_iter.hop_distances(g, hubs)
+
+
+@query("J14_local_reach", f"""WITH {TYPED_SQL}, {_SIMPLE}, {_BOTH}, {_HUBS}, h1 AS (SELECT DISTINCT hub.node AS target, nbr AS node FROM hub JOIN links USING (node)), h2 AS (SELECT DISTINCT target, nbr AS node FROM h1 JOIN links USING (node)),
+a AS (SELECT target, node, min(h) AS h FROM (SELECT target, node, 1 AS h FROM h1 UNION ALL SELECT target, node, 2 FROM h2 UNION ALL SELECT node, node, 0 FROM hub) GROUP BY ALL) SELECT target AS node, count(*) FILTER (WHERE h = 1) AS at_1, count(*) FILTER (WHERE h = 2) AS at_2 FROM a GROUP BY ALL""")
+def j14b(spark, d):
+    g = cut(typed_graph(spark, d))
+    hubs = graph.degrees(g).orderBy(F.desc("degree"), "node").limit(3).select("node")
+    return graph_iter.reach_counts(graph_iter.local_reach(g, hubs, 2), 2)
+
+
+@query("J14_nearest_hub", f"""WITH {TYPED_SQL}, {_SIMPLE}, {_BOTH}, {_HUBS}, h1 AS (SELECT DISTINCT hub.node AS target, nbr AS node FROM hub JOIN links USING (node)), h2 AS (SELECT DISTINCT target, nbr AS node FROM h1 JOIN links USING (node)),
+c AS (SELECT target, node, min(h) AS h FROM (SELECT target, node, 1 AS h FROM h1 UNION ALL SELECT target, node, 2 FROM h2) GROUP BY ALL) SELECT target AS node, arg_min(c.node, (h, c.node)) AS hub, CAST(min(h) AS INTEGER) AS hops FROM c JOIN hub ON hub.node = c.node WHERE c.node <> target GROUP BY target""")
+def j14c(spark, d):
+    g = cut(typed_graph(spark, d))
+    hubs = graph.degrees(g).orderBy(F.desc("degree"), "node").limit(3).select("node")
+    return graph_iter.nearest_hub(graph_iter.local_reach(g, hubs, 2), hubs)
+
+
+def _unrolled_lpa(rounds: int) -> str:
+    steps = ["l0 AS MATERIALIZED (SELECT DISTINCT node, node AS label FROM links)"]
+    for i in range(rounds):
+        steps.append(f"""l{i + 1} AS MATERIALIZED (SELECT l.node, CASE WHEN CAST('0x' || substr(md5(CAST(l.node AS VARCHAR)), 1, 4) AS INTEGER) % 2 = {i % 2} THEN b.label ELSE l.label END AS label FROM l{i} l JOIN
+ (SELECT node, arg_max(label, (w, label)) AS label FROM (SELECT node, label, sum(w) AS w FROM (SELECT links.node, x.label, weight AS w FROM links JOIN l{i} x ON x.node = links.nbr UNION ALL SELECT node, label, 1 FROM l{i}) GROUP BY ALL) GROUP BY ALL) b ON b.node = l.node)""")
+    return ", ".join(steps)
+
+
+@query("J15_label_communities", f"WITH {_G}, {_unrolled_lpa(6)} SELECT node, label FROM l6")
+def j15(spark, d):
+    return graph_iter.label_communities(cut(part_graph(spark, d)), rounds=6)
+
+
+_LAB = "lab AS (SELECT p_partkey AS node, p_type AS label FROM part WHERE p_partkey IN (SELECT node FROM links))"
+_LE = "le AS MATERIALIZED (SELECT e.*, a.label AS ls, b.label AS ld FROM pair_edges e JOIN lab a ON a.node = e.src JOIN lab b ON b.node = e.dst)"
+
+
+def part_labels(spark, d, edges):
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("node"), F.col("p_type").alias("label"))
+    return p.join(graph.nodes_of(edges), "node", "left_semi")
+
+
+def labelled_graph(spark, d):
+    g = cut(part_graph(spark, d))
+    return g, part_labels(spark, d, g)
+
+
+@query("J16_modularity", f"WITH {_G}, {_LAB}, {_LE}, m AS (SELECT sum(weight) AS m FROM pair_edges), k AS (SELECT label, sum(weight) AS k FROM links JOIN lab USING (node) GROUP BY ALL) SELECT round((SELECT sum(weight) FROM le WHERE ls = ld) / (SELECT m FROM m) - (SELECT sum(pow(k / (2 * m), 2)) FROM k, m), 6) AS modularity")
+def j16(spark, d):
+    return graph.modularity(*labelled_graph(spark, d)).select(r6("modularity").alias("modularity"))
+
+
+@query("J16_community_table", f"WITH {_G}, {_LAB}, {_LE} SELECT label, count(*) AS size, any_value(coalesce(edges, 0)) AS edges, CAST(any_value(coalesce(w, 0)) AS BIGINT) AS weight FROM lab LEFT JOIN (SELECT ls AS label, count(*) AS edges, sum(weight) AS w FROM le WHERE ls = ld GROUP BY ALL) USING (label) GROUP BY label")
+def j16b(spark, d):
+    return graph.community_table(*labelled_graph(spark, d))
+
+
+@query("J16_top_members", f"WITH {_G}, {_LAB}, s AS (SELECT node, count(*) AS degree, CAST(sum(weight) AS BIGINT) AS strength FROM links GROUP BY ALL) SELECT label, rn, node, strength, degree FROM (SELECT *, CAST(row_number() OVER (PARTITION BY label ORDER BY strength DESC, degree DESC, node DESC) AS INTEGER) AS rn FROM s JOIN lab USING (node)) WHERE rn <= 8")
+def j16c(spark, d):
+    g, lab = labelled_graph(spark, d)
+    return graph.community_members(g, lab, 8)
+
+
+@query("J16_cross_community_weights", f"WITH {_G}, {_LAB}, {_LE} SELECT least(ls, ld) AS a, greatest(ls, ld) AS b, CAST(sum(weight) AS BIGINT) AS weight FROM le WHERE ls <> ld GROUP BY 1, 2")
+def j16d(spark, d):
+    return graph.cross_weights(*labelled_graph(spark, d))
+
+
+@query("J17_cartographic_roles", f"""WITH {_G}, {_LAB}, per AS (SELECT links.node, x.label AS nl, count(*) AS k FROM links JOIN lab x ON x.node = links.nbr GROUP BY ALL), n AS (SELECT lab.node, lab.label, coalesce(sum(k), 0) AS degree, coalesce(sum(k) FILTER (WHERE nl = label), 0) AS within, sum(k * k) AS sq FROM lab LEFT JOIN per USING (node) GROUP BY ALL),
+m AS (SELECT label, avg(within) AS m, stddev_pop(within) AS s FROM n GROUP BY ALL) SELECT node, label, round(CASE WHEN s > 0 THEN (within - m) / s ELSE 0 END, 6) AS within_z, round(CASE WHEN degree > 0 THEN 1 - sq / pow(degree, 2) ELSE 0 END, 6) AS participation FROM n JOIN m USING (label)""")
+def j17(spark, d):
+    return graph.cartography(*labelled_graph(spark, d)).select("node", "label", r6("within_z").alias("within_z"), r6("participation").alias("participation"))
+
+
+@query("J18_graph_summary", f"WITH {PART_PAIRS_SQL}, n AS (SELECT count(DISTINCT node) AS n FROM members) SELECT n AS nodes, (SELECT count(*) FROM pair_edges) AS edges, round(2.0::DOUBLE * (SELECT count(*) FROM pair_edges) / (n * (n - 1)), 8) AS density, (SELECT CAST(sum(weight) AS BIGINT) FROM pair_edges) AS total_weight FROM n")
+def j18(spark, d):
+    m = part_members(spark, d).select("node").distinct()
+    return graph.summary(cut(part_graph(spark, d)), m).withColumn("density", r6("density", 8))
+
+
+@query("J18_type_counts", "SELECT p_type, count(*) AS n FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem) GROUP BY ALL")
+def j18b(spark, d):
+    used = table(spark, d, "lineitem").select(F.col("l_partkey").alias("p_partkey"))
+    return table(spark, d, "part").join(used, "p_partkey", "left_semi").groupBy("p_type").agg(F.count("*").alias("n"))
+
+
+@query("J19_core_subgraph", f"""WITH {_G}, s AS (SELECT node FROM links GROUP BY node HAVING sum(weight) >= (SELECT 1.05 * avg(w) FROM (SELECT sum(weight) AS w FROM links GROUP BY node)))
+SELECT src, dst, weight FROM pair_edges WHERE src IN (SELECT node FROM s) AND dst IN (SELECT node FROM s)""")
+def j19(spark, d):
+    # At this density both component steps keep everything, which the SQL relies on.
+    g = cut(part_graph(spark, d))
+    st = graph.degrees(g)
+    bar = st.agg(F.lit(1.05) * F.avg("strength")).scalar()
+    return graph_iter.core_subgraph(g, st.where(F.col("strength") >= bar).select("node"))
+
+
+def mentions_by_class(spark, d):
+    li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("ctx"), F.col("l_partkey").alias("node"))
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("ctx"), F.col("o_orderstatus").alias("cls"))
+    return li.join(o, "ctx")
+
+
+@query("J20_bridge_scores")
+def j20(spark, d):
+    m = mentions_by_class(spark, d)
+    g = cut(graph.cooccurrence(m.where("cls IN ('F', 'O')").select("ctx", "node").distinct(), "ctx", "node"))
+    cls = graph.class_contexts(m, "node", "ctx", "cls", ["F", "O", "P"])
+    scored = graph.bridge_scores(graph_iter.betweenness(g, sample=8), cls, "F", "O")
+    return scored.orderBy(F.desc("bridge_score"), "node").limit(60).select("node", "F", "O", r6("bridge_score", 9).alias("bridge_score"))
+
+
+@query("J21_dominant_class", """WITH m AS (SELECT DISTINCT l_partkey AS node, o_orderkey, o_orderstatus AS c FROM lineitem JOIN orders ON o_orderkey = l_orderkey), k AS (SELECT node, count(*) FILTER (WHERE c = 'F') AS f, count(*) FILTER (WHERE c = 'O') AS o FROM m GROUP BY ALL)
+SELECT node, f, o, CASE WHEN f > o THEN 'F' WHEN o > f THEN 'O' ELSE 'balanced' END AS dominant FROM k""")
+def j21(spark, d):
+    return graph.class_contexts(mentions_by_class(spark, d), "node", "ctx", "cls", ["F", "O"]).select("node", F.col("F").alias("f"), F.col("O").alias("o"), "dominant")
+
+
+@query("J21_class_subgraph", """WITH m AS (SELECT DISTINCT l_orderkey AS ctx, l_partkey AS node, o_orderstatus AS c FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderstatus IN ('F', 'O'))
+SELECT a.c AS cls, a.node AS src, b.node AS dst, count(*) AS weight FROM m a JOIN m b ON a.ctx = b.ctx AND a.node < b.node GROUP BY ALL""")
+def j21b(spark, d):
+    m = mentions_by_class(spark, d).where("cls IN ('F', 'O')").distinct()
+    return pairs_within(m, ["cls", "ctx"], "node").groupBy("cls", F.col("node_a").alias("src"), F.col("node_b").alias("dst")).agg(F.count("*").alias("weight"))
+
+
+@query("J22_ego_network", f"""WITH {_G}, c AS (SELECT node FROM links GROUP BY node ORDER BY sum(weight) DESC, node LIMIT 1), n AS (SELECT nbr AS node FROM links WHERE node = (SELECT node FROM c) ORDER BY weight DESC, nbr LIMIT 20), a AS (SELECT node FROM n UNION SELECT node FROM c)
+SELECT src, dst, weight FROM pair_edges WHERE src IN (SELECT node FROM a) AND dst IN (SELECT node FROM a)""")
+def j22(spark, d):
+    g = cut(part_graph(spark, d))
+    centre = graph.degrees(g).orderBy(F.desc("strength"), "node").limit(1).select("node").scalar()
+    return graph.ego(g, centre, 20)[1]
+
+
+@query("J22_edge_provenance", f"""WITH {TYPED_SQL} SELECT src, dst, relation, n, rn FROM (SELECT *, CAST(row_number() OVER (PARTITION BY src, dst ORDER BY n DESC, relation) AS INTEGER) AS rn FROM (SELECT src, dst, relation, count(*) AS n FROM typed GROUP BY ALL)) WHERE rn <= 3""")
+def j22b(spark, d):
+    c = typed_edges(spark, d).groupBy("src", "dst", "relation").agg(F.count("*").alias("n"))
+    return top_per_group(c, ["src", "dst"], [F.desc("n"), F.asc("relation")], 3)
+
+
+@query("J23_hub_set", f"""WITH {_G}, s AS (SELECT node, count(*) AS degree, sum(weight) AS strength FROM links GROUP BY ALL), q AS (SELECT list_sort(list(degree)) AS a, list_sort(list(strength)) AS b FROM s)
+SELECT node FROM s, q WHERE degree >= a[CAST(floor((len(a) - 1) * 0.95) AS BIGINT) + 1] OR strength >= b[CAST(floor((len(b) - 1) * 0.95) AS BIGINT) + 1]""")
+def j23(spark, d):
+    return graph.hubs(graph.degrees(cut(part_graph(spark, d))), ["degree", "strength"], 0.95)
+
+
+# Suppliers as places, parts as figures, return flag + status as action.
+_MEM = "mem AS MATERIALIZED (SELECT DISTINCT l_suppkey AS node, l_partkey AS item FROM lineitem), act AS MATERIALIZED (SELECT DISTINCT l_suppkey AS node, l_returnflag || l_linestatus || (l_linenumber % 3) AS action, l_partkey AS item FROM lineitem)"
+_NB = _SIB + ", nb AS MATERIALIZED (SELECT node, nbr, nbr IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 7000) AS is_hub FROM sib)"
+
+
+def places(spark, d):
+    li = table(spark, d, "lineitem")
+    mem = li.select(F.col("l_suppkey").alias("node"), F.col("l_partkey").alias("item")).distinct()
+    act = li.select(F.col("l_suppkey").alias("node"), F.concat("l_returnflag", "l_linestatus", F.col("l_linenumber") % 3).alias("action"), F.col("l_partkey").alias("item")).distinct()
+    s = table(spark, d, "supplier")
+    hub = s.select(F.col("s_suppkey").alias("nbr"), (F.col("s_acctbal") > 7000).alias("is_hub"))
+    nb = graph.siblings(s, "s_suppkey", "s_nationkey").join(hub, "nbr")
+    return mem, act, nb
+
+
+_SHARED = """hit AS MATERIALIZED (SELECT nb.node, nb.nbr, nb.is_hub, a.item FROM nb JOIN mem a ON a.node = nb.node JOIN mem b ON b.node = nb.nbr AND b.item = a.item),
+sh AS (SELECT node, count(*) AS sharing_neighbours, max(k) AS max_shared, count(*) FILTER (WHERE is_hub) AS sharing_hubs, any_value(s) AS shared_items FROM (SELECT node, nbr, is_hub, count(*) AS k FROM hit GROUP BY ALL) JOIN (SELECT node, count(DISTINCT item) AS s FROM hit GROUP BY ALL) USING (node) GROUP BY node)"""
+
+
+@query("J24_shared_items_with_neighbours", f"WITH {_MEM}, {_NB}, {_SHARED} SELECT * FROM sh")
+def j24(spark, d):
+    mem, _, nb = places(spark, d)
+    return connect.shared_items(nb, mem)
+
+
+_PATTERN = """sz AS (SELECT node, action, count(*) AS n FROM act GROUP BY ALL), ok AS MATERIALIZED (SELECT nb.node, nb.nbr, nb.is_hub, a.action FROM nb JOIN sz a ON a.node = nb.node JOIN sz b ON b.node = nb.nbr AND b.action = a.action
+ LEFT JOIN (SELECT nb.node, nb.nbr, x.action, count(*) AS k FROM nb JOIN act x ON x.node = nb.node JOIN act y ON y.node = nb.nbr AND y.action = x.action AND y.item = x.item GROUP BY ALL) c ON c.node = nb.node AND c.nbr = nb.nbr AND c.action = a.action WHERE a.n > coalesce(k, 0) AND b.n > coalesce(k, 0)),
+pt AS (SELECT node, count(*) AS pattern_neighbours, CAST(sum(k) AS BIGINT) AS patterns, max(k) AS max_patterns, count(*) FILTER (WHERE is_hub) AS pattern_hubs, any_value(s) AS pattern_actions FROM (SELECT node, nbr, is_hub, count(*) AS k FROM ok GROUP BY ALL) JOIN (SELECT node, count(DISTINCT action) AS s FROM ok GROUP BY ALL) USING (node) GROUP BY node)"""
+
+
+@query("J25_shared_patterns", f"WITH {_MEM}, {_NB}, {_PATTERN} SELECT * FROM pt")
+def j25(spark, d):
+    _, act, nb = places(spark, d)
+    return connect.shared_patterns(nb, act)
+
+
+_UBIQ = "ub AS (SELECT node, count(*) AS items, count(*) FILTER (WHERE u = 1) AS exclusive, count(*) FILTER (WHERE u >= 30) AS widespread, round(avg(u), 6) AS mean_ubiquity, max(u) AS max_ubiquity FROM mem JOIN (SELECT item, count(*) AS u FROM mem GROUP BY ALL) USING (item) GROUP BY node)"
+
+
+@query("J26_item_ubiquity", f"WITH {_MEM}, {_UBIQ} SELECT * FROM ub")
+def j26(spark, d):
+    mem, _, _ = places(spark, d)
+    return connect.ubiquity(mem, wide=30).withColumn("mean_ubiquity", r6("mean_ubiquity"))
+
+
+_RARE = "rare AS MATERIALIZED (SELECT DISTINCT l_suppkey AS node, l_partkey AS item FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45), kin AS (SELECT p_partkey AS item, p_partkey + 1 AS kin_item FROM part UNION ALL SELECT p_partkey + 1, p_partkey FROM part)"
+
+
+def kinship(spark, d):
+    k = F.col("p_partkey")
+    return table(spark, d, "part").select(F.inline(F.array(F.struct(k.alias("item"), (k + 1).alias("kin_item")), F.struct((k + 1).alias("item"), k.alias("kin_item")))))
+
+
+def rare_members(spark, d):
+    return table(spark, d, "lineitem").where("l_returnflag = 'R' AND l_quantity > 45").select(F.col("l_suppkey").alias("node"), F.col("l_partkey").alias("item")).distinct()
+
+
+@query("J27_kin_linked_places", f"WITH {_RARE} SELECT DISTINCT a.node, b.node AS nbr FROM rare a JOIN kin ON kin.item = a.item JOIN rare b ON b.item = kin.kin_item WHERE a.node <> b.node AND NOT EXISTS (SELECT 1 FROM rare z WHERE z.node = a.node AND z.item = kin.kin_item)")
+def j27(spark, d):
+    return connect.kin_links(rare_members(spark, d), kinship(spark, d))
+
+
+_PROF = """pf AS MATERIALIZED (SELECT node, action, count(*) AS n FROM act GROUP BY ALL), nm AS (SELECT node, sqrt(sum(n * n)) AS s FROM pf GROUP BY ALL), cs AS (SELECT nb.node, nb.nbr, nb.is_hub, coalesce(sum(a.n * b.n) / (any_value(x.s) * any_value(y.s)), 0) AS c FROM nb LEFT JOIN nm x ON x.node = nb.node LEFT JOIN nm y ON y.node = nb.nbr LEFT JOIN pf a ON a.node = nb.node LEFT JOIN pf b ON b.node = nb.nbr AND b.action = a.action GROUP BY nb.node, nb.nbr, nb.is_hub)"""
+
+
+@query("J28_profile_similarity", f"WITH {_MEM}, {_NB}, {_PROF} SELECT node, round(max(c), 6) AS max_cosine, round(avg(c), 6) AS mean_cosine, round(coalesce(max(c) FILTER (WHERE is_hub), 0), 6) AS max_hub_cosine FROM cs GROUP BY node")
+def j28(spark, d):
+    _, act, nb = places(spark, d)
+    out = connect.profile_similarity(nb, act)
+    return out.select("node", *[r6(c).alias(c) for c in out.columns if c != "node"])
+
+
+STRATA = (("early", None, 1994), ("middle", 1995, 1997), ("late", 1998, 1999))
+
+
+@query("J29_dated_attestations", f"""WITH {TYPED_SQL}, ends AS (SELECT src AS node, year FROM typed WHERE relation <> 'low' UNION ALL SELECT dst, year FROM typed WHERE relation <> 'low')
+SELECT node, count(*) FILTER (WHERE year <= 1994) AS early, count(*) FILTER (WHERE year BETWEEN 1995 AND 1997) AS middle, count(*) FILTER (WHERE year BETWEEN 1998 AND 1999) AS late, min(year) AS earliest, max(year) AS latest, max(year) - min(year) AS span FROM ends GROUP BY ALL""")
+def j29(spark, d):
+    return connect.attestations(typed_edges(spark, d), STRATA, ("low",))
+
+
+@query("J30_hub_neighbourhood", f"""WITH {TYPED_SQL}, {_SIMPLE}, {_BOTH}, {_HUBS}, sz AS (SELECT node, count(*) AS s FROM links GROUP BY ALL), c AS (SELECT a.node, b.node AS hub, count(*) AS k FROM links a JOIN links b ON b.nbr = a.nbr JOIN hub ON hub.node = b.node GROUP BY ALL)
+SELECT sz.node, round(coalesce(max(k / (sz.s + h.s - k)), 0), 6) AS hub_jaccard FROM sz LEFT JOIN c ON c.node = sz.node LEFT JOIN sz h ON h.node = c.hub GROUP BY sz.node""")
+def j30(spark, d):
+    g = cut(typed_graph(spark, d))
+    hubs = graph.degrees(g).orderBy(F.desc("degree"), "node").limit(3).select("node")
+    return connect.hub_overlap(graph.both_ways(g).select("node", "nbr"), hubs).withColumn("hub_jaccard", r6("hub_jaccard"))
+
+
+_KM = "2 * 6371.0088 * asin(sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))"
+
+
+@query("J31_geography_features", f"""WITH {COORDS_SQL}, pl AS (SELECT place_id, parent_id, CASE WHEN place_id % 11 = 0 THEN NULL ELSE lat END AS lat, lon FROM coords), hubs AS (SELECT s_suppkey AS place_id FROM supplier WHERE s_acctbal > 7000),
+dist AS MATERIALIZED (SELECT a.place_id AS a, b.place_id AS b, a.parent_id = b.parent_id AS nbr, {_KM} AS km FROM pl a JOIN pl b ON a.place_id <> b.place_id WHERE a.lat IS NOT NULL AND b.lat IS NOT NULL),
+f AS (SELECT a, min(km) AS nearest_any, min(km) FILTER (WHERE b IN (SELECT place_id FROM hubs)) AS nearest_hub, count(*) FILTER (WHERE km <= 50) AS within_50km, count(*) FILTER (WHERE nbr) AS usable_neighbours, avg(km) FILTER (WHERE nbr) AS mean_km, min(km) FILTER (WHERE nbr) AS min_km, max(km) FILTER (WHERE nbr) AS max_km,
+ count(*) FILTER (WHERE nbr AND km <= 25) AS within_25, count(*) FILTER (WHERE nbr AND km <= 50) AS within_50, count(*) FILTER (WHERE nbr AND km <= 100) AS within_100 FROM dist GROUP BY a)
+SELECT place_id, lat IS NOT NULL AS has_coordinates, round(coalesce(nearest_any, 9999), 6) AS nearest_any, round(coalesce(nearest_hub, 9999), 6) AS nearest_hub, coalesce(within_50km, 0) AS within_50km, coalesce(usable_neighbours, 0) AS usable_neighbours, round(coalesce(mean_km, 9999), 6) AS mean_km, round(coalesce(min_km, 9999), 6) AS min_km, round(coalesce(max_km, 9999), 6) AS max_km,
+ coalesce(within_25, 0) AS within_25, coalesce(within_50, 0) AS within_50, coalesce(within_100, 0) AS within_100, round(CASE WHEN usable_neighbours > 0 THEN within_50 / usable_neighbours ELSE 0 END, 6) AS near_fraction FROM pl LEFT JOIN f ON f.a = pl.place_id""")
+def j31(spark, d):
+    pl = coords(spark, d).withColumn("lat", F.when(F.col("place_id") % 11 != 0, F.col("lat")))
+    hubs = table(spark, d, "supplier").where("s_acctbal > 7000").select(F.col("s_suppkey").alias("node"))
+    out = connect.geography(pl, graph.siblings(pl, "place_id", "parent_id"), hubs)
+    reals = ("nearest_any", "nearest_hub", "mean_km", "min_km", "max_km", "near_fraction")
+    return out.select(*[r6(c).alias(c) if c in reals else F.col(c) for c in out.columns])
+
+
+@query("J32_place_pairs_by_distance", f"""WITH {COORDS_SQL}, m AS (SELECT DISTINCT l_orderkey AS ctx, l_suppkey AS place FROM lineitem)
+SELECT x.ctx, x.place AS place_a, y.place AS place_b, round({_KM.replace('6371.0088 * asin(sqrt(', '6371.0 * asin(sqrt(')}, 5) AS km FROM m x JOIN m y ON x.ctx = y.ctx AND x.place < y.place JOIN coords a ON a.place_id = x.place JOIN coords b ON b.place_id = y.place""")
+def j32(spark, d):
+    from ..functions.numbers import haversine_atan2
+
+    m = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("ctx"), F.col("l_suppkey").alias("place")).distinct()
+    c = coords(spark, d).select("place_id", "lat", "lon")
+    p = pairs_within(m, ["ctx"], "place")
+    a = c.select(F.col("place_id").alias("place_a"), F.col("lat").alias("la"), F.col("lon").alias("oa"))
+    b = c.select(F.col("place_id").alias("place_b"), F.col("lat").alias("lb"), F.col("lon").alias("ob"))
+    km = haversine_atan2(F.col("la"), F.col("oa"), F.col("lb"), F.col("ob"))
+    return p.join(a, "place_a").join(b, "place_b").select("ctx", "place_a", "place_b", r6(km, 5).alias("km"))
+
+
+@query("J33_bipartite_strengths", """WITH s AS (SELECT DISTINCT l_orderkey AS ctx, l_suppkey AS place FROM lineitem), p AS (SELECT DISTINCT l_orderkey AS ctx, l_partkey AS actor FROM lineitem WHERE l_returnflag <> 'N'), w AS (SELECT place, actor, count(*) AS n FROM s JOIN p USING (ctx) GROUP BY ALL)
+SELECT 'place' AS side, place AS id, CAST(sum(n) AS BIGINT) AS strength, count(*) AS partners FROM w GROUP BY place UNION ALL SELECT 'actor', actor, CAST(sum(n) AS BIGINT), count(*) FROM w GROUP BY actor""")
+def j33(spark, d):
+    li = table(spark, d, "lineitem").withColumnRenamed("l_orderkey", "ctx")
+    s = li.select("ctx", F.col("l_suppkey").alias("place")).distinct()
+    a = li.where("l_returnflag <> 'N'").select("ctx", F.col("l_partkey").alias("actor")).distinct()
+    w = pairs_between(s, a, ["ctx"]).groupBy("place", "actor").agg(F.count("*").alias("n"))
+    ends = w.select("n", F.inline(F.array(F.struct(F.lit("place").alias("side"), F.col("place").alias("id")), F.struct(F.lit("actor").alias("side"), F.col("actor").alias("id")))))
+    return ends.groupBy("side", "id").agg(F.sum("n").alias("strength"), F.count("*").alias("partners"))
+
+
+@query("J34_connectedness_features", f"""WITH {_MEM}, {_NB}, {_SHARED}, {_PATTERN}, {_UBIQ}, {_PROF}, ln AS (SELECT node, count(*) AS local_neighbours, count(*) FILTER (WHERE is_hub) AS hub_neighbours FROM nb GROUP BY ALL), cp AS (SELECT node, max(c) AS max_cosine, avg(c) AS mean_cosine, coalesce(max(c) FILTER (WHERE is_hub), 0) AS max_hub_cosine FROM cs GROUP BY node),
+en AS (SELECT node, -sum(s * log2(s)) AS entropy FROM (SELECT node, n / sum(n) OVER (PARTITION BY node) AS s FROM pf) GROUP BY ALL)
+SELECT s_suppkey AS node, coalesce(local_neighbours, 0) AS local_neighbours, coalesce(hub_neighbours, 0) AS hub_neighbours, coalesce(items, 0) AS items, coalesce(exclusive, 0) AS exclusive, coalesce(widespread, 0) AS widespread, coalesce(mean_ubiquity, 0) AS mean_ubiquity, coalesce(max_ubiquity, 0) AS max_ubiquity,
+ coalesce(sharing_neighbours, 0) AS sharing_neighbours, coalesce(shared_items, 0) AS shared_items, coalesce(max_shared, 0) AS max_shared, coalesce(sharing_hubs, 0) AS sharing_hubs, coalesce(pattern_neighbours, 0) AS pattern_neighbours, coalesce(pattern_actions, 0) AS pattern_actions, coalesce(patterns, 0) AS patterns, coalesce(max_patterns, 0) AS max_patterns, coalesce(pattern_hubs, 0) AS pattern_hubs,
+ round(coalesce(max_cosine, 0), 6) AS max_cosine, round(coalesce(mean_cosine, 0), 6) AS mean_cosine, round(coalesce(max_hub_cosine, 0), 6) AS max_hub_cosine, round(coalesce(entropy, 0), 6) AS entropy
+FROM supplier LEFT JOIN ln ON ln.node = s_suppkey LEFT JOIN sh ON sh.node = s_suppkey LEFT JOIN pt ON pt.node = s_suppkey LEFT JOIN ub ON ub.node = s_suppkey LEFT JOIN cp ON cp.node = s_suppkey LEFT JOIN en ON en.node = s_suppkey""")
+def j34(spark, d):
+    from ..operators.profiles import entropy
+
+    mem, act, nb = places(spark, d)
+    mem, act, nb = cut(mem), cut(act), cut(nb)
+    targets = table(spark, d, "supplier").select(F.col("s_suppkey").alias("node"))
+    local = nb.groupBy("node").agg(F.count("*").alias("local_neighbours"), F.count_if("is_hub").alias("hub_neighbours"))
+    prof = act.groupBy("node", "action").agg(F.count("*").alias("n"))
+    parts = [local, connect.ubiquity(mem, wide=30), connect.shared_items(nb, mem), connect.shared_patterns(nb, act), connect.profile_similarity(nb, act), entropy(prof, "node", "n")]
+    cols = [c for p in parts for c in p.columns if c != "node"]
+    out = connect.feature_row(targets, parts, {c: 0 for c in cols})
+    reals = ("mean_ubiquity", "max_cosine", "mean_cosine", "max_hub_cosine", "entropy")
+    return out.select(*[r6(c).alias(c) if c in reals else F.col(c) for c in out.columns])
+
+
+@query("J34_network_features")
+def j34b(spark, d):
+    g = cut(typed_graph(spark, d))
+    targets = table(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("node"))
+    deg = cut(graph.degrees(g, graph.nodes_of(g, targets)))
+    rank = cut(graph_iter.pagerank(g, targets, rounds=20).withColumnRenamed("rank", "pagerank"))
+    hubs = cut(rank.orderBy(F.desc("pagerank"), "node").limit(50).select("node"))
+    links = graph.both_ways(g).select("node", "nbr")
+    nb = links.join(hubs.select(F.col("node").alias("nbr"), F.lit(True).alias("is_hub")), "nbr", "left").fillna(False, ["is_hub"])
+    labels = graph_iter.label_communities(g, rounds=5)
+    size = graph_iter.component_sizes(graph_iter.components(g, targets)).select("node", F.col("size").alias("component_size"))
+    community = labels.join(labels.groupBy("label").agg(F.count("*").alias("community_size")), "label").select("node", "community_size")
+    parts = [
+        deg, rank, graph_iter.betweenness(g, 8), graph.clustering(g).select("node", "weighted_clustering"), size, community,
+        graph_iter.core_numbers(g), graph_iter.hop_distances(g, hubs), connect.hub_context(nb, rank), connect.hub_overlap(links, hubs),
+        graph.cartography(g, labels).drop("label"), graph_iter.bridge_fraction(g, graph_iter.bridges(g)),
+    ]
+    fills = {c: 0 for p in parts for c in p.columns if c not in ("node", "hops", "component_size", "community_size")}
+    return connect.feature_row(targets, parts, {**fills, "hops": 99, "component_size": 1, "community_size": 1})
