@@ -28,7 +28,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 MODULES = (
     "io", "filters", "joins", "aggregates", "windows", "sets", "scalars", "texts",
-    "hypothesis", "graphs", "style", "models", "ledgers",
+    "hypothesis", "graphs", "style", "links", "models", "ledgers",
 )
 
 
