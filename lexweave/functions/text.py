@@ -42,6 +42,12 @@ def parser_tokens(col: Column | str) -> Column:
     return F.regexp_extract_all(_c(col), F.lit(WORD_OR_MARK), F.lit(0))
 
 
+def review_tokens(col: Column | str, blocks: str = GREEK_BLOCKS) -> Column:
+    """Script words, numbers with decimals, and any other single mark."""
+    word = f"[{blocks}]+(?:[{APOSTROPHES}][{blocks}]*)?"
+    return F.regexp_extract_all(_c(col), F.lit(rf"{word}|\d+(?:[.,]\d+)?|[^\s]"), F.lit(0))
+
+
 @F.pandas_udf(T.StringType())
 def casefold_nfc(s: pd.Series) -> pd.Series:
     """Full case folding then NFC; Spark has neither, so one Arrow batch at a time."""

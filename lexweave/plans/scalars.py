@@ -38,6 +38,11 @@ def g3(spark, d):
     return table(spark, d, "documents").select("doc_id", digest(tx.parser_tokens("text")).alias("digest"))
 
 
+@query("G3_review_tokens", r"SELECT doc_id, md5(array_to_string(regexp_extract_all(text, '[A-Za-zÀ-ɏ]+(?:[ʼ''’][A-Za-zÀ-ɏ]*)?|\d+(?:[.,]\d+)?|[^\s]'), '|')) AS digest FROM documents")
+def g3b(spark, d):
+    return table(spark, d, "documents").select("doc_id", digest(tx.review_tokens("text", tx.LATIN_BLOCKS)).alias("digest"))
+
+
 @query("G4_casefold_nfc", "SELECT doc_id, md5(nfc_normalize(replace(lower(text), 'ß', 'ss'))) AS digest FROM documents")
 def g4(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(tx.casefold_nfc("text")).alias("digest"))
