@@ -203,14 +203,18 @@ def core_numbers(edges: DataFrame, max_rounds: int = 500) -> DataFrame:
     links = cut(both_ways(edges).select("node", "nbr").repartition("nbr"))
     state = cut(links.groupBy("node").agg(F.count("*").alias("k")))
     w = Window.partitionBy("node").orderBy(F.desc("v")).rowsBetween(Window.unboundedPreceding, 0)
-    for _ in range(max_rounds):
-        mine = state.select("node", "k")
-        votes = links.join(state.select(F.col("node").alias("nbr"), F.col("k").alias("v")), "nbr").join(mine, "node")
+
+    def lower(now: DataFrame) -> DataFrame:
+        votes = links.join(now.select(F.col("node").alias("nbr"), F.col("k").alias("v")), "nbr").join(now, "node")
         hist = votes.groupBy("node", F.least("v", "k").alias("v")).agg(F.count("*").alias("c"))
-        h = hist.withColumn("at_least", F.sum("c").over(w)).groupBy("node").agg(F.max(F.least("v", "at_least")).alias("k"))
-        new = cut(h.join(state.withColumnRenamed("k", "old"), "node").select("node", "k", (F.col("k") != F.col("old")).alias("moved")))
-        state = new.select("node", "k")
-        if new.where("moved").isEmpty():
+        return hist.withColumn("at_least", F.sum("c").over(w)).groupBy("node").agg(F.max(F.least("v", "at_least")).alias("k"))
+
+    for _ in range(max_rounds):
+        # two rounds per checkpoint: values only fall, so equality after both means done
+        moved = cut(lower(lower(state)).join(state.withColumnRenamed("k", "old"), "node"))
+        done = moved.where("k <> old").isEmpty()
+        state = moved.select("node", "k")
+        if done:
             break
     return state.select("node", F.col("k").alias("core"))
 
