@@ -42,6 +42,13 @@ def components(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int
     return state.select("node", F.col("g").alias("component"))
 
 
+def _grown(done: DataFrame, frontier: DataFrame, round_no: int) -> DataFrame:
+    """Visited rows plus a frontier that is already cut: a short union, folded
+    into one checkpoint every few rounds."""
+    both = done.unionByName(frontier)
+    return cut(both) if round_no % 6 == 0 else both
+
+
 def component_sizes(comp: DataFrame) -> DataFrame:
     return comp.join(comp.groupBy("component").agg(F.count("*").alias("size")), "component")
 
@@ -141,7 +148,7 @@ def betweenness(edges: DataFrame, sample: int, seed: str = "42", max_levels: int
         if frontier.isEmpty():
             break
         levels.append(frontier)
-        visited = cut(visited.unionByName(frontier.select("s", "node")))
+        visited = _grown(visited, frontier.select("s", "node"), len(levels))
     delta = levels[-1].select("s", "node", "sigma", F.lit(0.0).alias("delta"))
     total = delta.select("s", "node", "delta")
     for level in range(len(levels) - 1, 0, -1):
@@ -165,7 +172,7 @@ def hop_distances(edges: DataFrame, sources: DataFrame, max_hops: int = 10_000)
         frontier = cut(nxt.join(done, "node", "left_anti"))
         if frontier.isEmpty():
             break
-        done = cut(done.unionByName(frontier.withColumn("hops", F.lit(hop))))
+        done = _grown(done, frontier.withColumn("hops", F.lit(hop)), hop)
     return done
 
 
@@ -240,7 +247,7 @@ def bridges(edges: DataFrame) -> DataFrame:
         if frontier.isEmpty():
             break
         levels.append(frontier)
-        done = cut(done.unionByName(frontier))
+        done = _grown(done, frontier, len(levels))
     tree = done.where(F.col("parent").isNotNull()).select(F.least("node", "parent").alias("src"), F.greatest("node", "parent").alias("dst"))
     extra = plain.join(tree, ["src", "dst"], "left_anti").select("src", "dst", F.xxhash64(F.lit("bridge"), "src", "dst").alias("h"))
     own = extra.select(F.explode(F.array("src", "dst")).alias("node"), "h").groupBy("node").agg(F.bit_xor("h").alias("x"))
