@@ -8,7 +8,7 @@ hub skews only the edge side, which the adaptive skew join splits.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut

@@ -122,7 +122,7 @@ def mentions(matched: DataFrame, present: str) -> DataFrame:
         status_label(F.col("c.place_status"), F.col("c.temporal_scope"), present).alias("target_label"))
 
 
-def item_updates(matched: DataFrame, items: DataFrame, run_id: str | None = None) -> DataFrame:
+def item_updates(matched: DataFrame, items: DataFrame) -> DataFrame:
     """New status of every stored item: completed, failed with its error, or
     failed because no record came back."""
     first = matched.where(F.col("number").isNotNull()).groupBy("run_id", "number").agg(

@@ -106,7 +106,7 @@ def weighted_line(df: DataFrame, x: str, y: str, w: str, group: Sequence[str] =
 
 def quadratic_r2(df: DataFrame, x: str, y: str) -> DataFrame:
     """R² of y on x and x² from centred power sums (2×2 normal equations)."""
-    mean = df.agg(F.struct(F.avg(x).alias("x"), F.avg(y).alias("y"), F.avg(F.pow(F.col(x) - 0, F.lit(2))).alias("xx")).alias("m")).scalar()
+    mean = df.agg(F.struct(F.avg(x).alias("x"), F.avg(y).alias("y")).alias("m")).scalar()
     u = F.col(x) - mean["x"]
     c = df.select(u.alias("u"), (F.col(y) - mean["y"]).alias("v"))
     s = c.agg(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -283,7 +285,5 @@ def i2_ridge(spark, d):
     dt = res.select(F.col("unit").alias("doc_id"), F.explode("toks").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
     vocab = terms.features(dt, 2, 300).orderBy("term").collect()
     n = res.count()
-    import math
-
     coefs, _ = models.ridge_text(res, 10.0, [r["term"] for r in vocab], [math.log((1 + n) / (1 + r["df"])) + 1 for r in vocab])
     return coefs.select("term", r6("coefficient", 5).alias("coefficient"))
