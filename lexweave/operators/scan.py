@@ -38,12 +38,13 @@ def ordered_scan(
     ``order`` must be a total order within the group, and group keys not null.
     ``keep_range`` keeps the range number as ``_range``.
     """
-    spark = df.sparkSession
-    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Without a fixed number the adaptive planner merges small neighbouring
+    # ranges, which keeps their order.
+    parts = [partitions] if partitions else []
     group = list(group)
     order = [F.col(o) if isinstance(o, str) else o for o in order]
     ranged = cut(
-        df.repartitionByRange(parts, *[F.col(g) for g in group], *order)
+        df.repartitionByRange(*parts, *[F.col(g) for g in group], *order)
         .withColumn("_range", F.spark_partition_id())
     )
     totals = ranged.groupBy(*group, "_range").agg(

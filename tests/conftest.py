@@ -13,4 +13,6 @@ from lexweave.session import local_session  # noqa: E402
 def spark():
     s = local_session(4, 4, "4g")
     s.sparkContext.setLogLevel("ERROR")
+    # keep several ranges and blocks even on tiny inputs
+    s.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     return s
