@@ -28,8 +28,9 @@ def local_session(cpus: int | str = 8, partitions: int = 8, memory: str = "8g")
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach.
 
-    A cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (tests, a laptop) does this fall back to a fresh temporary folder.
+    A cluster names it in ``spark.checkpoint.dir``.  Only a local session,
+    whose tasks all run on this machine, gets a fresh temporary folder where
+    that is unset; a cluster without the setting is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -38,6 +39,8 @@ def shared_dir(spark: SparkSession) -> str:
     if current:
         # ".../<given dir>/<uuid>": keep written tables beside the checkpoints
         return current.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     made = tempfile.mkdtemp(prefix="spark-")
     spark.sparkContext.setCheckpointDir(made)
     return made
