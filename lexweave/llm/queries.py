@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lattice
+from . import bpe, chat, lattice, lineruns
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -25,6 +25,9 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return wrap
 
 
+LITERAL = "\\### Assistant: </turn> ok"  # a text made of the template's own control strings
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -39,3 +42,15 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     file = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     encoded = bpe.encode(table(spark, sf_dir, "documents"), file, public_tokenizers.PATTERN, packed=True)
     return bpe.decode(encoded, file).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op7_chat_windows")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(LITERAL).alias("text"))
+    return chat.read_back(chat.windows(turns.unionByName(tricky)))
+
+
+@query("op10_line_runs")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lineruns.decide(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_deleted", F.sha2("text", 256).alias("kept_sha256"))
