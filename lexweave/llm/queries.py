@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, lattice, lineruns
+from . import bpe, chat, feistel, lattice, lineruns
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -54,3 +54,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_line_runs")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lineruns.decide(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_deleted", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op4_feistel_pseudonyms")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feistel.pseudonymise(table(spark, sf_dir, "documents"), key="a key of the data's owner").select("doc_id", "text", F.size("kinds").cast("long").alias("n_replaced"))
