@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -63,6 +64,14 @@ def from_varints(data: bytes) -> np.ndarray:
     return np.add.reduceat((b & 127).astype(np.int64) << (7 * shift), first)
 
 
+def squeeze(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(3).compress(data)
+
+
+def spread(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
 def ranks(file: str) -> dict[bytes, int]:
     with open(file, "rb") as lines:
         return {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, lines)}
@@ -108,15 +117,18 @@ def _messages(pattern: str, parts: int, size: int):
             part[hot] = (part[hot] + block) % parts
             out = [(block, block % parts, None, None, None, None, ids, sizes)]
             for p in range(parts):
-                mine = sorted(np.flatnonzero(part == p).tolist(), key=words.__getitem__)
-                if not mine:
+                mine = np.array(sorted(np.flatnonzero(part == p).tolist(), key=words.__getitem__), np.int64)
+                if not len(mine):
                     continue
-                n = count[mine]
-                pos = order[ragged(place[mine], n)]
+                # gaps of words of like frequency stand together, for the sake of compression
+                often = mine[np.argsort(-count[mine], kind="stable")]
+                n = count[often]
+                pos = order[ragged(place[often], n)]
                 gap = np.diff(pos, prepend=0)
                 heads = np.cumsum(n) - n
                 gap[heads] = pos[heads]
-                out.append((block, p, b"".join(words[i] for i in mine), varints(np.array([len(words[i]) for i in mine])), varints(n), varints(gap), None, None))
+                lens = np.array([len(words[i]) for i in mine])
+                out.append((block, p, squeeze(b"".join(words[i] for i in mine)), squeeze(varints(lens)), squeeze(varints(count[mine])), squeeze(varints(gap)), None, None))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
 
     return run
@@ -124,7 +136,9 @@ def _messages(pattern: str, parts: int, size: int):
 
 def _encoder(pattern: str, file: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks(file), special_tokens={})._encode_single_piece
+        table = ranks(file)
+        width = "<u2" if max(table.values()) < 1 << 16 else "<u4"
+        encode = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=table, special_tokens={})._encode_single_piece
         known: dict[bytes, tuple[bytes, int]] = {}
         part = None
         for batch in batches:
@@ -137,7 +151,7 @@ def _encoder(pattern: str, file: str):
                     out_ids.append(None)
                     out_n.append(None)
                     continue
-                ends = np.cumsum(from_varints(n)).tolist()
+                blob, ends = spread(blob), np.cumsum(from_varints(spread(n))).tolist()
                 got, start = [], 0
                 for end in ends:
                     w = blob[start:end]
@@ -145,10 +159,10 @@ def _encoder(pattern: str, file: str):
                     have = known.get(w)
                     if have is None:
                         ids = encode(w)
-                        have = known[w] = (np.array(ids, "<u4").tobytes(), len(ids))
+                        have = known[w] = (np.array(ids, width).tobytes(), len(ids))
                     got.append(have)
-                out_ids.append(varints(np.frombuffer(b"".join(g[0] for g in got), "<u4")))
-                out_n.append(varints(np.array([g[1] for g in got])))
+                out_ids.append(squeeze(b"".join(g[0] for g in got)))
+                out_n.append(squeeze(varints(np.array([g[1] for g in got]))))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("block"), pa.array(out_ids, pa.binary()), pa.array(out_n, pa.binary()), *[batch.column(c) for c in ("counts", "gaps", "doc_ids", "sizes")]],
                 names=["block", "ids", "n_ids", "counts", "gaps", "doc_ids", "sizes"])
@@ -165,15 +179,20 @@ def _one_block(rows: list[dict]) -> tuple[list, np.ndarray, np.ndarray]:
     for r in rows:
         if r["ids"] is None:
             continue
-        ids, n, count, gap = (from_varints(r[c]) for c in ("ids", "n_ids", "counts", "gaps"))
+        n, count, gap = (from_varints(spread(r[c])) for c in ("n_ids", "counts", "gaps"))
+        ids = spread(r["ids"])
+        ids = np.frombuffer(ids, "<u2" if len(ids) == 2 * n.sum() else "<u4").astype(np.uint32)
+        first = at + np.cumsum(n) - n
+        often = np.argsort(-count, kind="stable")
+        count, first, n = count[often], first[often], n[often]
         heads = np.cumsum(count) - count
         run = np.cumsum(gap)
         pos = run - np.repeat(run[heads] - gap[heads], count)
-        start[pos] = np.repeat(at + np.cumsum(n) - n, count)
+        start[pos] = np.repeat(first, count)
         size[pos] = np.repeat(n, count)
         flat.append(ids)
         at += len(ids)
-    ids = np.concatenate(flat)[ragged(start, size)] if flat else np.zeros(0, np.int64)
+    ids = np.concatenate(flat)[ragged(start, size)] if flat else np.zeros(0, np.uint32)
     ends = np.concatenate(([0], np.cumsum(size)))[np.cumsum(head["sizes"], dtype=np.int64)]
     return head["doc_ids"], ids.astype("<u4"), ends
 
