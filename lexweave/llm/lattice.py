@@ -14,7 +14,7 @@ with c, N, V the training counts of the words and q the lattice probability
 
 Words are counted and scored once each, over all documents.  Documents meet the
 scored words in packed messages per (word hash, block of documents), each of
-which returns one partial sum per document.
+which returns one packed row of partial sums.
 
 Null text counts as empty: one token, the end.  Rows with equal or null doc_id
 are kept apart.  A null doc_id is not held out.  With no training text every
@@ -23,6 +23,7 @@ probability is the lattice's own (and the base score's counts are zero).
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -42,6 +43,7 @@ ROUNDS = 2
 BLOCK_CHARS = 12_000_000
 MARK = "▁".encode()
 SLOTS = 1 << 18
+_PARTIAL = {"block": pa.int64(), **dict.fromkeys(("docs", "n_known", "score", "base_score"), pa.binary()), "doc_ids": pa.list_(pa.int64()), "held": pa.list_(pa.bool_()), "sizes": pa.list_(pa.int64())}
 
 
 class Pieces:
@@ -239,18 +241,10 @@ def _partial_sums(base_denominator: float):
         known = dict(zip(scored.column("word").to_pylist(), range(scored.num_rows)))
         c, lp = scored.column("c").to_numpy(), scored.column("lp").to_numpy()
         base = np.log10((c + 1.0) / base_denominator)
-        blocks, ords, n_known, score, base_score = [], [], [], [], []
-        ids, held, sizes = [], [], []
+        rows = []
         for r in sent.to_pylist():
             if r["doc_ids"] is not None:
-                n = len(r["doc_ids"])
-                blocks.append(np.full(n, r["block"]))
-                ords.append(np.arange(n))
-                ids += r["doc_ids"]
-                held += r["held"]
-                sizes += r["sizes"]
-                for s in (n_known, score, base_score):
-                    s.append(np.zeros(n))
+                rows.append((r["block"], None, None, None, None, r["doc_ids"], r["held"], r["sizes"]))
                 continue
             ends = np.cumsum(from_varints(r["lens"])).tolist()
             blob, at, index = r["words"], 0, []
@@ -263,22 +257,31 @@ def _partial_sums(base_denominator: float):
             doc = total - np.repeat(total[heads] - gap[heads], n)
             word = np.repeat(np.array(index), n)
             docs, where = np.unique(doc, return_inverse=True)
-            blocks.append(np.full(len(docs), r["block"]))
-            ords.append(docs)
-            ids += [None] * len(docs)
-            held += [None] * len(docs)
-            sizes += [None] * len(docs)
-            n_known.append(np.bincount(where, times * (c[word] > 0), len(docs)))
-            score.append(np.bincount(where, times * lp[word], len(docs)))
-            base_score.append(np.bincount(where, times * base[word], len(docs)))
-        join = lambda x: np.concatenate(x) if x else np.zeros(0)
-        return pa.table({
-            "block": pa.array(join(blocks).astype(np.int64)), "ord": pa.array(join(ords).astype(np.int64)), "doc_id": pa.array(ids, pa.int64()), "held": pa.array(held, pa.bool_()),
-            "size": pa.array(sizes, pa.int64()), "n_known": pa.array(join(n_known).astype(np.int64)), "score": pa.array(join(score)), "base_score": pa.array(join(base_score))})
+            sums = [np.bincount(where, times * w[word], len(docs)) for w in (c > 0, lp, base)]
+            rows.append((r["block"], varints(np.diff(docs, prepend=0)), varints(sums[0]), sums[1].tobytes(), sums[2].tobytes(), None, None, None))
+        return pa.table({k: pa.array([r[i] for r in rows], t) for i, (k, t) in enumerate(_PARTIAL.items())})
 
     return run
 
 
+def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds up the packed sums of every block."""
+    rows = (r for b in batches for r in b.to_pylist())
+    for _, group in itertools.groupby(rows, key=lambda r: r["block"]):
+        group = list(group)
+        head = next(r for r in group if r["doc_ids"] is not None)
+        n_known, score, base = (np.zeros(len(head["doc_ids"])) for _ in range(3))
+        for r in group:
+            if r["docs"] is not None:
+                at = np.cumsum(from_varints(r["docs"]))
+                n_known[at] += from_varints(r["n_known"])
+                score[at] += np.frombuffer(r["score"])
+                base[at] += np.frombuffer(r["base_score"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(head["doc_ids"], pa.int64()), pa.array(head["held"], pa.bool_()), pa.array(head["sizes"], pa.int64()), pa.array(n_known.astype(np.int64)), pa.array(base), pa.array(score)],
+            names=["doc_id", "held", "size", "n_known", "base_score", "score"])
+
+
 def score(docs: DataFrame, file: str, held_out: Column | None = None, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row.
 
@@ -291,9 +294,9 @@ def score(docs: DataFrame, file: str, held_out: Column | None = None, id_col: st
     counts_at = scratch_path(spark, "words")
     texts.select("held", "text").mapInArrow(_counted, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")).write.parquet(counts_at)
     counts = spark.read.parquet(counts_at)
-    totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
+    total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
     ends = texts.where(~F.col("held")).count()
-    n, v = totals["n"] + ends, totals["v"] + (ends > 0)
+    n, v = total["n"] + ends, total["v"] + (ends > 0)
 
     pieces, weight = vocabulary(file)  # bounded by the vocabulary's size
     first = weight.copy()
@@ -334,10 +337,10 @@ def score(docs: DataFrame, file: str, held_out: Column | None = None, id_col: st
     sent = texts.mapInArrow(_messages(parts), "part int, block long, words binary, lens binary, n_docs binary, docs binary, times binary, doc_ids array<long>, held array<boolean>, sizes array<long>")
     denominator = float(n + v + 1)
     sums = dictionary.groupBy("part").cogroup(sent.groupBy("part")).applyInArrow(
-        _partial_sums(denominator), "block long, ord long, doc_id long, held boolean, size long, n_known long, score double, base_score double")
+        _partial_sums(denominator), "block long, docs binary, n_known binary, score binary, base_score binary, doc_ids array<long>, held array<boolean>, sizes array<long>")
+    totals = sums.repartition("block").sortWithinPartitions("block").mapInArrow(_totals, "doc_id long, held boolean, size long, n_known long, base_score double, score double")
     end_base = float(np.log10((ends + 1) / denominator))
     end_p = (ends + v * end_share) / (n + v) if n + v else end_share
-    return sums.groupBy("block", "ord").agg(
-        F.max("doc_id").alias("doc_id"), F.max("held").alias("held_out"), (F.max("size") + 1).alias("n_tokens"),
-        (F.sum("n_known") + int(ends > 0)).alias("n_known"), (F.sum("base_score") + end_base).alias("base_score"), (F.sum("score") + float(np.log10(end_p))).alias("score"),
-    ).select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+    return totals.select(
+        "doc_id", F.col("held").alias("held_out"), (F.col("size") + 1).alias("n_tokens"), (F.col("n_known") + int(ends > 0)).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
+        (F.col("base_score") + end_base).alias("base_score"), (F.col("score") + float(np.log10(end_p))).alias("score"))
