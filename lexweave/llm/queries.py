@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, feistel, lattice, lineruns
+from . import bpe, chat, contain, crosspoly, feistel, lattice, lineruns
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -59,3 +59,29 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_feistel_pseudonyms")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feistel.pseudonymise(table(spark, sf_dir, "documents"), key="a key of the data's owner").select("doc_id", "text", F.size("kinds").cast("long").alias("n_replaced"))
+
+
+@query("op3_cross_polytope")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosspoly.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+_SHINGLES = """
+    SELECT {key}, array_to_string(list_slice(w, i, i + 4), ' ') AS s
+    FROM (SELECT {key}, w, unnest(range(1, len(w) - 3)) AS i
+          FROM (SELECT {key}, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM {table}))
+    GROUP BY ALL"""
+
+
+@query(
+    "op5_containment_search",
+    f"""
+    WITH d AS ({_SHINGLES.format(key='doc_id', table='documents')}),
+    b AS ({_SHINGLES.format(key='item_id', table='benchmark')}),
+    n AS (SELECT item_id, count(*) AS item_shingles FROM b GROUP BY item_id)
+    SELECT doc_id, item_id, item_shingles, count(*) AS matched, count(*) / item_shingles AS containment
+    FROM d JOIN b USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id, item_shingles HAVING count(*) >= 0.8 * item_shingles
+    """,
+)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contain.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("dk")
