@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, contain, crosspoly, feistel, lattice, lineruns
+from . import bpe, chat, contain, crosspoly, feistel, forest, lattice, lineruns
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -85,3 +85,8 @@ _SHINGLES = """
 )
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contain.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("dk")
+
+
+@query("op9_jaccard_forest")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.join(table(spark, sf_dir, "documents")).drop("dk")
