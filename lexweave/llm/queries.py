@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, contain, crosspoly, feistel, forest, lattice, lineruns
+from . import automata, bpe, chat, contain, crosspoly, feistel, forest, lattice, lineruns
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -90,3 +90,20 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_jaccard_forest")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.join(table(spark, sf_dir, "documents")).drop("dk")
+
+
+@query(
+    "op8_suffix_automata",
+    r"""
+    WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    win AS (SELECT doc_id, i, md5(array_to_string(list_slice(w, i, i + 49), ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d)),
+    f AS (SELECT h, min(doc_id) AS m FROM win GROUP BY h),
+    dead AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS i FROM win JOIN f USING (h) WHERE doc_id > m),
+    word AS (SELECT doc_id, i, w[i] AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+    kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS k, count(*) AS n FROM word ANTI JOIN dead USING (doc_id, i) GROUP BY doc_id)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
+    FROM d LEFT JOIN kept USING (doc_id)
+    """,
+)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return automata.dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
