@@ -35,9 +35,10 @@ from pyspark.sql import functions as F
 
 from .words import ragged
 
-BLOCK_CHARS = 12_000_000
+BLOCK_CHARS = 18_000_000
 HOT_SHARE = 64
 _MESSAGE = "block long, part int, words binary, lens binary, counts binary, gaps binary, doc_ids array<long>, sizes array<int>"
+_MESSAGE_TYPES = [pa.int64(), pa.int32(), *[pa.binary()] * 4, pa.list_(pa.int64()), pa.list_(pa.int32())]
 _ANSWER = "block long, ids binary, n_ids binary, counts binary, gaps binary, doc_ids array<long>, sizes array<int>"
 
 
@@ -65,7 +66,7 @@ def from_varints(data: bytes) -> np.ndarray:
 
 
 def squeeze(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(3).compress(data)
+    return zstandard.ZstdCompressor(9).compress(data)
 
 
 def spread(data: bytes) -> bytes:
@@ -77,59 +78,65 @@ def ranks(file: str) -> dict[bytes, int]:
         return {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, lines)}
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[list, list]]:
-    """Texts and their ids, in blocks of about ``size`` characters."""
-    ids, texts, n = [], [], 0
-    for batch in batches:
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            text = text.as_py() or ""
-            ids.append(doc_id)
-            texts.append(text)
-            n += len(text)
-            if n >= size:
-                yield ids, texts
-                ids, texts, n = [], [], 0
-    if ids:
-        yield ids, texts
+class _Block:
+    """Documents of one block as numbers of its distinct words."""
+
+    def __init__(self) -> None:
+        self.words: defaultdict = defaultdict()
+        self.words.default_factory = self.words.__len__
+        self.doc_ids: list = []
+        self.tokens: list[np.ndarray] = []
+        self.chars = 0
+
+    def add(self, doc_id, text: str, found: list[str]) -> None:
+        self.doc_ids.append(doc_id)
+        self.tokens.append(np.fromiter(map(self.words.__getitem__, found), np.int32, len(found)))
+        self.chars += len(text)
+
+    def messages(self, block: int, parts: int) -> pa.RecordBatch:
+        """The documents' row, and for each part its words, sorted, with their positions."""
+        sizes = [len(t) for t in self.tokens]
+        seq = np.concatenate(self.tokens)
+        self.tokens.clear()
+        words = [w.encode("utf-8", "surrogatepass") for w in self.words]
+        self.words.clear()
+        count = np.bincount(seq, minlength=len(words))
+        order = np.argsort(seq, kind="stable").astype(np.int32)
+        place = np.cumsum(count) - count
+        part = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % parts
+        hot = count * HOT_SHARE > len(seq)
+        part[hot] = (part[hot] + block) % parts
+        out = [(block, block % parts, None, None, None, None, self.doc_ids, sizes)]
+        for p in range(parts):
+            mine = np.array(sorted(np.flatnonzero(part == p).tolist(), key=words.__getitem__), np.int64)
+            if not len(mine):
+                continue
+            # gaps of words of like frequency stand together, for the sake of compression
+            often = mine[np.argsort(-count[mine], kind="stable")]
+            n = count[often]
+            pos = order[ragged(place[often], n)]
+            gap = np.diff(pos, prepend=0)
+            heads = np.cumsum(n) - n
+            gap[heads] = pos[heads]
+            lens = np.array([len(words[i]) for i in mine])
+            out.append((block, p, squeeze(b"".join(words[i] for i in mine)), squeeze(varints(lens)), squeeze(varints(count[mine])), squeeze(varints(gap)), None, None))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _MESSAGE_TYPES)], schema=pa.schema(list(zip(("block", "part", "words", "lens", "counts", "gaps", "doc_ids", "sizes"), _MESSAGE_TYPES))))
 
 
 def _messages(pattern: str, parts: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = regex.compile(pattern)
         task = TaskContext.get().partitionId()
-        schema = pa.schema([("block", pa.int64()), ("part", pa.int32()), *[(c, pa.binary()) for c in ("words", "lens", "counts", "gaps")], ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32()))])
-        for number, (ids, texts) in enumerate(_blocks(batches, size)):
-            block = (task << 24) + number
-            local: defaultdict = defaultdict()
-            local.default_factory = local.__len__
-            seq = []
-            for text in texts:
-                found = split.findall(text)
-                seq.append(np.fromiter(map(local.__getitem__, found), np.int32, len(found)))
-            sizes = [len(s) for s in seq]
-            seq = np.concatenate(seq)
-            words = [w.encode("utf-8", "surrogatepass") for w in local]
-            count = np.bincount(seq, minlength=len(words))
-            order = np.argsort(seq, kind="stable").astype(np.int64)
-            place = np.cumsum(count) - count
-            part = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % parts
-            hot = count * HOT_SHARE > len(seq)
-            part[hot] = (part[hot] + block) % parts
-            out = [(block, block % parts, None, None, None, None, ids, sizes)]
-            for p in range(parts):
-                mine = np.array(sorted(np.flatnonzero(part == p).tolist(), key=words.__getitem__), np.int64)
-                if not len(mine):
-                    continue
-                # gaps of words of like frequency stand together, for the sake of compression
-                often = mine[np.argsort(-count[mine], kind="stable")]
-                n = count[often]
-                pos = order[ragged(place[often], n)]
-                gap = np.diff(pos, prepend=0)
-                heads = np.cumsum(n) - n
-                gap[heads] = pos[heads]
-                lens = np.array([len(words[i]) for i in mine])
-                out.append((block, p, squeeze(b"".join(words[i] for i in mine)), squeeze(varints(lens)), squeeze(varints(count[mine])), squeeze(varints(gap)), None, None))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
+        number, block = 0, _Block()
+        for batch in batches:
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                text = text.as_py() or ""
+                block.add(doc_id, text, split.findall(text))
+                if block.chars >= size:
+                    yield block.messages((task << 24) + number, parts)
+                    number, block = number + 1, _Block()
+        if block.doc_ids:
+            yield block.messages((task << 24) + number, parts)
 
     return run
 
