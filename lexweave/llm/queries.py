@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import automata, bpe, chat, contain, crosspoly, feistel, forest, lattice, lineruns
+from . import automata, bpe, chat, contain, cotrain, crosspoly, feistel, forest, lattice, lineruns
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -107,3 +107,10 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return automata.dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op1_cotraining")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = cotrain.fit(docs, table(spark, sf_dir, "labels"))
+    return cotrain.score(docs, model).select("doc_id", "text_score", "page_score", "quality_score", "keep")
