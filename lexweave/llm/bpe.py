@@ -37,6 +37,7 @@ from .words import ragged
 
 BLOCK_CHARS = 18_000_000
 HOT_SHARE = 64
+GATHER = 1 << 19  # tokens put in place at once
 _MESSAGE = "block long, part int, words binary, lens binary, counts binary, gaps binary, doc_ids array<long>, sizes array<int>"
 _MESSAGE_TYPES = [pa.int64(), pa.int32(), *[pa.binary()] * 4, pa.list_(pa.int64()), pa.list_(pa.int32())]
 _ANSWER = "block long, ids binary, n_ids binary, counts binary, gaps binary, doc_ids array<long>, sizes array<int>"
@@ -181,12 +182,13 @@ def _one_block(rows: list[dict]) -> tuple[list, np.ndarray, np.ndarray]:
     """doc_ids, the ids of the block one after another, and where each document ends."""
     head = next(r for r in rows if r["doc_ids"] is not None)
     total = int(np.sum(head["sizes"], dtype=np.int64))
-    start, size = np.zeros(total, np.int64), np.zeros(total, np.int64)
+    start, size = np.zeros(total, np.int32), np.zeros(total, np.int32)
     flat, at = [], 0
     for r in rows:
         if r["ids"] is None:
             continue
         n, count, gap = (from_varints(spread(r[c])) for c in ("n_ids", "counts", "gaps"))
+        r["gaps"] = None
         ids = spread(r["ids"])
         ids = np.frombuffer(ids, "<u2" if len(ids) == 2 * n.sum() else "<u4").astype(np.uint32)
         first = at + np.cumsum(n) - n
@@ -199,9 +201,13 @@ def _one_block(rows: list[dict]) -> tuple[list, np.ndarray, np.ndarray]:
         size[pos] = np.repeat(n, count)
         flat.append(ids)
         at += len(ids)
-    ids = np.concatenate(flat)[ragged(start, size)] if flat else np.zeros(0, np.uint32)
-    ends = np.concatenate(([0], np.cumsum(size)))[np.cumsum(head["sizes"], dtype=np.int64)]
-    return head["doc_ids"], ids.astype("<u4"), ends
+    flat = np.concatenate(flat) if flat else np.zeros(0, np.uint32)
+    done = np.concatenate(([0], np.cumsum(size, dtype=np.int64)))
+    ids = np.empty(done[-1], "<u4")
+    for a in range(0, total, GATHER):
+        b = min(a + GATHER, total)
+        ids[done[a] : done[b]] = flat[ragged(start[a:b], size[a:b])]
+    return head["doc_ids"], ids, done[np.cumsum(head["sizes"], dtype=np.int64)]
 
 
 def _assemble(packed: bool):

@@ -136,4 +136,5 @@ def document_key(doc_id: str, text_col: str):
 def clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, **names: str) -> DataFrame:
     """``docs`` without the documents that hold an item."""
     leaked = matches(docs, items, threshold, **names).select(F.col("dk").alias("_leaked")).distinct()
-    return docs.join(leaked, F.xxhash64(F.col(names.get("doc_id", "doc_id")), F.col(names.get("text_col", "text"))) == F.col("_leaked"), "left_anti")
+    rows = docs.select(F.struct("*").alias("_doc"), document_key(names.get("doc_id", "doc_id"), names.get("text_col", "text")))
+    return rows.join(leaked, F.col("dk") == F.col("_leaked"), "left_anti").select("_doc.*")

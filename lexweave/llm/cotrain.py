@@ -140,6 +140,7 @@ def samples(docs: DataFrame, labels: DataFrame, max_labelled: int, max_pool: int
     known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(
         (F.min((F.col("quality") == 1).cast("int")) * (1 - F.max((F.coalesce("toxic", F.lit(0)) == 1).cast("int")))).alias("good"))
     order = F.xxhash64(F.lit(17), "_id")
+    docs = docs.select("doc_id", "text", "lang", "source", "n_chars")
     ids = docs.select(F.col("doc_id").cast("long").alias("_id")).where("_id is not null").distinct()
     chosen = known.join(ids, "_id").orderBy(order, "_id").limit(max_labelled)
     pool = ids.join(known, "_id", "left_anti").orderBy(order, "_id").limit(max_pool).withColumn("good", F.lit(None).cast("int"))
@@ -206,7 +207,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ma
 
 def score(docs: DataFrame, model: CoTrained, threshold: float = 0.5) -> DataFrame:
     """``docs`` with text_score, page_score, quality_score (chance of a good
-    document) and keep."""
+    document) and keep; they replace columns of these names."""
+    docs = docs.drop("text_score", "page_score", "quality_score", "keep")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     names = docs.columns
     position = {c: names.index(c) for c in ("text", "lang", "source", "n_chars")}

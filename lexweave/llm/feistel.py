@@ -294,7 +294,8 @@ def pseudonym(v: Column, key: str, undo: bool = False) -> Column:
 
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", undo: bool = False) -> DataFrame:
     """``docs`` with the text's personal data replaced, and ``kinds``: the kinds
-    of what was replaced, in order of place (empty for null text)."""
+    of what was replaced, in order of place (empty for null text; replaces a column
+    of this name)."""
     text = F.col(text_col)
     found = F.transform(F.regexp_extract_all(text, F.lit(CANDIDATE), 0), lambda v: pseudonym(v, key, undo))
 
@@ -305,8 +306,11 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", undo: bool =
             F.when(F.size(done) == 0, text).otherwise(F.array_join(F.zip_with(gaps, new, lambda g, p: F.concat(g, p)), "")).alias("text"),
             F.filter(F.transform(done, lambda p: p["kind"]), lambda k: k.isNotNull()).alias("kinds"))
 
-    out = docs.withColumn("_new", F.when(text.rlike("[0-9@]"), _let(found, put)))
-    return out.select(*[F.coalesce("_new.text", text).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], F.coalesce("_new.kinds", F.expr("cast(array() as array<string>)")).alias("kinds"))
+    doc = F.col("_doc")
+    out = docs.select(F.struct("*").alias("_doc"), F.when(text.rlike("[0-9@]"), _let(found, put)).alias("_new"))
+    return out.select(
+        *[F.coalesce("_new.text", doc[c]).alias(c) if c == text_col else doc[c].alias(c) for c in docs.columns if c != "kinds"],
+        F.coalesce("_new.kinds", F.expr("cast(array() as array<string>)")).alias("kinds"))
 
 
 def restore(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:

@@ -331,6 +331,5 @@ def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     group = F.coalesce(F.col("class_id").cast("string"), F.lit("null"))
     chosen = found.where("n_links > 0").groupBy(group.alias("_g")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "dk")).alias("_m")).select(F.col("_m.dk").alias("_dk"), F.lit(True).alias("_single"))
     kept = alone.unionByName(chosen).groupBy("_dk").agg(F.max("_single").alias("_single"))
-    rows = docs.join(kept, document_key(id_col, text_col) == F.col("_dk"))
-    many = rows.where("not _single").drop("_dk", "_single")
-    return many.unionByName(rows.where("_single").dropDuplicates(["_dk"]).drop("_dk", "_single"))
+    rows = docs.select(F.struct("*").alias("_doc"), document_key(id_col, text_col).alias("_k")).join(kept, F.col("_k") == F.col("_dk"))
+    return rows.where("not _single").select("_doc.*").unionByName(rows.where("_single").dropDuplicates(["_dk"]).select("_doc.*"))
