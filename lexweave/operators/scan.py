@@ -24,6 +24,20 @@ def _combine(kind: str, left: Column, right: Column) -> Column:
     return F.least(left, right) if kind == "min" else F.greatest(left, right)
 
 
+def join_null_safe(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], plain: Sequence[str] = (), how: str = "inner"
+) -> DataFrame:
+    """Join on ``keys`` with null equal to null, and on ``plain`` keys as usual;
+    the key columns of the left side stay."""
+    both = [*keys, *plain]
+    renamed = right.withColumnsRenamed({c: f"_r_{c}" for c in both})
+    on = F.lit(True)
+    for c in both:
+        hit = F.col(c).eqNullSafe(F.col(f"_r_{c}")) if c in keys else F.col(c) == F.col(f"_r_{c}")
+        on = on & hit
+    return left.join(renamed, on, how).drop(*[f"_r_{c}" for c in both])
+
+
 def ordered_scan(
     df: DataFrame,
     group: Sequence[str],
@@ -35,7 +49,7 @@ def ordered_scan(
     """Add inclusive running aggregates along ``order`` inside each ``group``.
 
     ``running`` maps an output column to (sum | min | max, input column).
-    ``order`` must be a total order within the group, and group keys not null.
+    ``order`` must be a total order within the group; null keys form a group.
     ``keep_range`` keeps the range number as ``_range``.
     """
     # Without a fixed number the adaptive planner merges small neighbouring
@@ -66,7 +80,7 @@ def ordered_scan(
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, 0)
     )
-    joined = ranged.join(carry, [*group, "_range"])
+    joined = join_null_safe(ranged, carry, group, ["_range"])
     out = joined.select(
         *df.columns,
         *(["_range"] if keep_range else []),
@@ -97,11 +111,12 @@ def value_histogram(df: DataFrame, group: Sequence[str], value: str) -> DataFram
 
 
 def average_ranks(df: DataFrame, group: Sequence[str], value: str, out: str = "rank") -> DataFrame:
-    """Average ranks with ties, computed on distinct values and joined back."""
+    """Average ranks with ties, computed on distinct values and joined back;
+    a null value has no rank."""
     spans = value_histogram(df, group, value).select(
         *group, value, ((F.col("lo") + 1 + F.col("hi")) / 2).alias(out)
     )
-    return df.join(spans, [*group, value])
+    return join_null_safe(df, spans, group, [value], "left")
 
 
 def quantiles(
@@ -115,7 +130,7 @@ def quantiles(
     group = list(group)
     spans = value_histogram(df, group, value)
     size = spans.groupBy(*group).agg(F.sum("n").alias("_size"))
-    spans = spans.join(size, group) if group else spans.withColumn(
+    spans = join_null_safe(spans, size, group) if group else spans.withColumn(
         "_size", size.select("_size").scalar()
     )
 

@@ -380,3 +380,15 @@ def test_multiple_testing(spark):
     h = sorted(r["p_holm"] for r in stats.holm(df, "p").collect())
     assert [round(v, 6) for v in h] == [0.04, 0.06, 0.06, 0.9]
     assert math.isfinite(q[0])
+
+
+def test_scans_keep_null_groups_and_values(spark):
+    from lexweave.operators.scan import average_ranks, ordered_scan, quantiles
+
+    rows = [(None, 1, 5.0), (None, 2, 7.0), ("a", 1, 1.0), ("a", 2, None), ("a", 3, 1.0)]
+    df = spark.createDataFrame(rows, "g string, o int, v double")
+    got = {(r.g, r.o): r.s for r in ordered_scan(df, ["g"], ["o"], {"s": ("sum", "v")}).collect()}
+    assert got == {(None, 1): 5.0, (None, 2): 12.0, ("a", 1): 1.0, ("a", 2): 1.0, ("a", 3): 2.0}
+    ranks = {(r.g, r.o): r["rank"] for r in average_ranks(df, ["g"], "v").collect()}
+    assert ranks == {(None, 1): 1.0, (None, 2): 2.0, ("a", 1): 1.5, ("a", 2): None, ("a", 3): 1.5}
+    assert {r.g: r.m for r in quantiles(df, ["g"], "v", {"m": 0.5}).collect()} == {None: 6.0, "a": 1.0}
