@@ -38,7 +38,7 @@ SHINGLE = 5
 THRESHOLD = 0.8
 TREES, DEPTH = 16, 8
 RECALL = 0.999
-BLOCK = 2048
+BLOCK = 1024
 ATTEMPTS = 64
 
 
@@ -238,7 +238,7 @@ def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
         dense = np.zeros((m, min(width, int(col[-1]) + 1 - at)), np.float32)
         dense[row[lo:hi], col[lo:hi] - at] = 1
         total += dense @ dense.T
-    return total.astype(np.int64)
+    return total.astype(np.int32)
 
 
 def _verified(threshold: float):
@@ -254,15 +254,20 @@ def _verified(threshold: float):
             docs, texts, root = np.zeros(len(cls), np.int64), np.zeros(len(cls), np.int64), cls.copy()
             for lo, hi in zip(start[:-1], start[1:]):
                 sets = hashes[lo:hi]
-                size = np.array([len(s) for s in sets])
+                size = np.array([len(s) for s in sets], np.int32)
                 same = shared_counts(sets)
                 link = same >= threshold * (size[:, None] + size[None, :] - same) - 1e-9
                 np.fill_diagonal(link, False)
                 if across[lo]:
                     link &= side[lo:hi, None] != side[None, lo:hi]
                 docs[lo:hi], texts[lo:hi] = link @ members[lo:hi], link.sum(1)
-                a, b = np.nonzero(np.triu(link))
-                root[lo:hi] = cls[lo:hi][joined(np.arange(hi - lo), a, b)]
+                parent = np.arange(hi - lo)
+                for a, row in enumerate(link):  # a row at a time: a dense group has millions of links
+                    b = np.flatnonzero(row)
+                    b = b[parent[b] != parent[a]]
+                    if len(b):
+                        parent = joined(parent, np.full(len(b), a), b)
+                root[lo:hi] = cls[lo:hi][parent]
             yield pa.RecordBatch.from_arrays([pa.array(cls), pa.array(docs), pa.array(texts), pa.array(root), table.column("component").combine_chunks()], names=["cls", "docs", "texts", "root", "component"])
 
     return run

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
+SLICE_ROWS = 4096
 SLICE_BYTES = 2_000_000  # text handled at once; one longer text makes its own slice
 BASE, BASE_WORDS = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
 _SPACE = np.zeros(256, bool)
@@ -62,7 +63,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, size: int = SLICE_BYTES
         _, off = buffers(batch.column(text))
         at = 0
         while at < batch.num_rows:
-            to = max(at + 1, int(np.searchsorted(off, off[at] + size, "right")) - 1)
+            to = min(at + SLICE_ROWS, max(at + 1, int(np.searchsorted(off, off[at] + size, "right")) - 1))
             yield batch.slice(at, to - at)
             at = to
 
