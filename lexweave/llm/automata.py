@@ -20,9 +20,10 @@ are removed.
    share is built once per task.
 
 Shards are sent to the documents that need them, not to all tasks: their total
-size grows with the corpus, so it has no bound for a broadcast.  Two bit arrays
-of fixed size carry what step 1 found to step 2; if they fill up, more windows
-are looked up and the result is the same.
+size grows with the corpus, so it has no bound for a broadcast.  Bit arrays of
+fixed size carry to the next pass over the documents what step 1 found, and who
+refers to whom; if they fill up, more is looked up or shuffled and the result is
+the same.
 
 Words are runs without ASCII white space, unchanged.  Null text has no words.
 A null id is neither reference nor referring.  Rows with equal ids are judged
@@ -31,6 +32,7 @@ one by one against smaller ids.
 
 from __future__ import annotations
 
+import itertools
 from collections import OrderedDict
 from collections.abc import Iterator
 
@@ -96,13 +98,29 @@ def _lookups(width: int, gram: int, one: np.ndarray, many: np.ndarray):
             start = np.concatenate((at[single], at[first[whole]]))
             key = np.concatenate((run_hash(words, at[single], at[single] + width), content[whole]))
             size = np.concatenate((np.ones(int(single.sum()), np.int64), n[whole]))
+            # a document asks for equal words once: all of it streams through what it gets
+            order = np.lexsort((start, key, words.row[start]))
+            start, key, size = start[order], key[order], size[order]
             row = words.row[start]
+            new = np.ones(len(row), bool)
+            new[1:] = (row[1:] != row[:-1]) | (key[1:] != key[:-1])
+            start, key, size, row = start[new], key[new], size[new], row[new]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(key.view(np.int64)), batch.column("doc_id").take(pa.array(row)), pa.array((start - words.first[row]).astype(np.int32)), pa.array(size.astype(np.int32))], names=["key", "doc_id", "pos", "n"])
 
     return run
 
 
+def _members(bits: np.ndarray):
+    """The rows whose key may be among those of the bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(passes(bits, batch.column("_key").to_numpy().view(np.uint64))))
+
+    return run
+
+
 def split_words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()  # bytes split on ASCII white space only
 
@@ -182,12 +200,18 @@ class SuffixAutomaton:
         return spans
 
 
-def _streamed(width: int, columns: list[str]):
+def _streamed(width: int, columns: list[str], others: np.ndarray | None = None):
+    """Repeats of every row against its shards; with ``others``, of the rows that
+    ``others`` leaves out, which have none."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         built: OrderedDict[tuple, SuffixAutomaton] = OrderedDict()
         for batch in batches:
+            if others is not None:
+                batch = batch.filter(pa.array(~passes(others, batch.column("_key").to_numpy().view(np.uint64))))
+            sent = batch.column("_shards").to_pylist() if others is None else itertools.repeat(None)
             n_words, removed, spans_out, kept = [], [], [], []
-            for text, shards in zip(batch.column("_text"), batch.column("_shards").to_pylist()):
+            for text, shards in zip(batch.column("_text"), sent):
                 words = split_words(text.as_py())
                 spans = []
                 if shards:
@@ -232,19 +256,25 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
     lookups_at = scratch_path(spark, "lookups")
     known.mapInArrow(_lookups(width, gram, one, many), "key long, doc_id long, pos int, n int").write.parquet(lookups_at)
     lookups = spark.read.parquet(lookups_at)
-    first = lookups.groupBy("key").agg(F.min(F.struct("doc_id", "pos")).alias("f"), F.max("doc_id").alias("last")).where("f.doc_id < last").select("key", F.col("f.doc_id").alias("ref"), F.col("f.pos").alias("ref_pos"))
-    referred = lookups.join(first, "key").where("doc_id > ref")
+    first_at = scratch_path(spark, "first")  # written, so that the join below is free to split hot keys
+    lookups.groupBy("key").agg(F.min(F.struct("doc_id", "pos")).alias("f"), F.max("doc_id").alias("last")).where("f.doc_id < last").select("key", F.col("f.doc_id").alias("ref"), F.col("f.pos").alias("ref_pos")).write.parquet(first_at)
+    referred = lookups.join(spark.read.parquet(first_at), "key").where("doc_id > ref")
     spans = referred.groupBy("doc_id", "ref", (F.col("ref_pos") - F.col("pos")).alias("_shift")).agg(F.min("ref_pos").alias("lo"), F.max(F.col("ref_pos") + F.col("n") + (width - 1)).alias("hi"))
     rounded = spans.select("doc_id", "ref", (F.floor(F.col("lo") / ROUND) * ROUND).cast("int").alias("lo"), (F.ceil(F.col("hi") / ROUND) * ROUND).cast("int").alias("hi")).distinct()
     wanted_at = scratch_path(spark, "wanted")
     rounded.write.parquet(wanted_at)
     wanted = spark.read.parquet(wanted_at)
 
+    # only texts that refer or are referred to are shuffled; the bits let a few more through
+    key = F.xxhash64("doc_id").alias("_key")
+    refs, asking = (bit_filter(wanted.select(F.xxhash64(c).alias("k")).distinct(), "k", filter_bits) for c in ("ref", "doc_id"))
     by_ref = wanted.select("ref", "lo", "hi").distinct().groupBy("ref").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    shards = texts.join(by_ref, F.col("doc_id") == F.col("ref")).select("ref", "text", "spans").mapInArrow(_cut, "ref long, lo int, hi int, shard binary")
+    held = known.select("doc_id", "text", key).mapInArrow(_members(refs), "doc_id long, text string, _key long")
+    shards = held.join(by_ref, F.col("doc_id") == F.col("ref")).select("ref", "text", "spans").mapInArrow(_cut, "ref long, lo int, hi int, shard binary")
     sent = wanted.join(shards, ["ref", "lo", "hi"]).groupBy(F.col("doc_id").alias("_to")).agg(F.collect_list("shard").alias("_shards"))
     kept = [c for c in carry if c != "doc_id"]
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *kept, F.col(text_col).cast("string").alias("_text"))
-    joined = rows.join(sent, F.col("doc_id") == F.col("_to"), "left").select("doc_id", *kept, "_text", "_shards")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields if not f.name.startswith("_"))
-    return joined.mapInArrow(_streamed(width, ["doc_id", *kept]), f"{fields}, n_words long, n_removed long, removed array<struct<start:int,end:int>>, kept string")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *kept, F.col(text_col).cast("string").alias("_text"), F.xxhash64(F.col(id_col).cast("long")).alias("_key"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if not f.name.startswith("_")) + ", n_words long, n_removed long, removed array<struct<start:int,end:int>>, kept string"
+    meeting = rows.mapInArrow(_members(asking), fields).join(sent, F.col("doc_id") == F.col("_to"), "left").select("doc_id", *kept, "_text", "_shards")
+    return rows.mapInArrow(_streamed(width, ["doc_id", *kept], asking), out).unionByName(meeting.mapInArrow(_streamed(width, ["doc_id", *kept]), out))
