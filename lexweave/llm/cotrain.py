@@ -35,6 +35,7 @@ from ..session import scratch_path
 
 MAX_LABELLED = 20_000
 MAX_POOL = 10_000
+FIT_PARTITIONS = 2  # the samples are bounded, and an iteration is one small job
 ROUNDS = 2
 SHARE = 0.1  # of the pool that a view labels in a round
 CONFIDENT = 0.95
@@ -94,7 +95,7 @@ class View:
 
 
 def _fit(rows: DataFrame, view: str, reg: float) -> LogisticRegressionModel:
-    return LogisticRegression(featuresCol=f"{view}_v", labelCol="y", maxIter=40, regParam=reg, elasticNetParam=1.0, standardization=False, aggregationDepth=2).fit(rows)
+    return LogisticRegression(featuresCol=f"{view}_v", labelCol="y", maxIter=25, regParam=reg, elasticNetParam=1.0, standardization=False).fit(rows.coalesce(FIT_PARTITIONS))
 
 
 def platt(margins: np.ndarray, good: np.ndarray, rounds: int = 60) -> tuple[float, float]:
@@ -167,7 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ma
         words[v] = CountVectorizer(inputCol=v, outputCol=f"{v}_v", binary=True, vocabSize=VOCABULARY, minDF=MIN_SHARE).fit(rows.where(train))
         rows = words[v].transform(rows)
     vectors_at = scratch_path(spark, "vectors")
-    rows.select("doc_id", "good", "aside", *[f"{v}_v" for v in VIEWS]).repartition(6).write.parquet(vectors_at)
+    rows.select("doc_id", "good", "aside", *[f"{v}_v" for v in VIEWS]).repartition(FIT_PARTITIONS).write.parquet(vectors_at)
     vectors = spark.read.parquet(vectors_at).persist()
     own = vectors.where(train).withColumn("y", F.col("good").cast("double"))
     pool = vectors.where("good is null")
