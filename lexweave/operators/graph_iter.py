@@ -8,6 +8,8 @@ hub skews only the edge side, which the adaptive skew join splits.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ from .graph import both_ways, nodes_of
 from .scan import md5_key
 
 
-def components(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """(node, component): the component is named by its smallest node.
 
     Hook-and-shortcut rounds: a node's root and the root's root move to the
@@ -26,7 +28,7 @@ def components(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int
     links = cut(both_ways(edges.withColumn("weight", F.lit(1))).select("node", "nbr"))
     all_nodes = nodes_of(edges, nodes)
     state = cut(all_nodes.select("node", F.col("node").alias("f"), F.col("node").alias("g")))
-    for _ in range(max_rounds):
+    while True:
         seen = links.join(state.select(F.col("node").alias("nbr"), F.col("g").alias("m")), "nbr").groupBy("node").agg(F.min("m").alias("m"))
         s = state.join(seen, "node", "left").withColumn("m", F.least("g", F.coalesce("m", "g")))
         moves = s.select(F.inline(F.array(
@@ -74,18 +76,20 @@ def core_subgraph(edges: DataFrame, keep_nodes: DataFrame) -> DataFrame:
 
 def pagerank(
     edges: DataFrame, nodes: DataFrame | None = None, alpha: float = 0.85,
-    rounds: int = 100, tol: float | None = 1e-6, check_every: int = 5,
+    rounds: int = 500, tol: float = 1e-6, check_every: int = 5,
 ) -> DataFrame:
     """Weighted PageRank of an undirected graph.
 
     Only isolated nodes dangle; they all carry the same rank, which follows a
-    scalar recurrence on the driver, so no round needs a global sum.
+    scalar recurrence on the driver, so no round needs a global sum.  Rounds go
+    on until the ranks change by less than ``tol`` per node; if they don't within
+    ``rounds``, that is an error.
     """
     everyone = cut(nodes_of(edges, nodes))
     n = everyone.count()
     links = both_ways(edges)
     strength = links.groupBy("node").agg(F.sum("weight").alias("s"))
-    step = cut(links.join(strength, "node").select("node", "nbr", (F.col("weight") / F.col("s")).alias("p")).repartition("node"))
+    step = cut(links.join(strength, "node").select("node", "nbr", (F.col("weight") / F.col("s")).alias("p")))
     linked = strength.select("node")
     alone = everyone.join(linked, "node", "left_anti")
     n_alone = alone.count()
@@ -98,36 +102,48 @@ def pagerank(
         lone = base
         if i % check_every == 0 or i == rounds:
             new = cut(new)
-            if tol is not None and i < rounds:
-                old = rank.withColumnRenamed("rank", "old")
-                if new.join(old, "node").agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] < n * tol:
-                    rank = new
-                    break
+            moved = new.join(rank.withColumnRenamed("rank", "old"), "node").agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
+            if (moved or 0.0) < n * tol:
+                rank = new
+                break
+            if i == rounds:
+                raise RuntimeError(f"ranks still change by {moved} after {rounds} rounds")
         rank = new
     return rank.unionByName(alone.withColumn("rank", F.lit(lone)))
 
 
-def eigenvector(edges: DataFrame, rounds: int = 50, check_every: int = 5) -> DataFrame:
+def eigenvector(edges: DataFrame, rounds: int = 1000, tol: float = 1e-9, check_every: int = 10) -> DataFrame:
     """Weighted eigenvector centrality by power iteration on A + I, unit length.
 
     Iterates are scaled by a constant (the largest strength), so normalising
-    once at the end is enough.
+    once at the end is enough.  Rounds go on until the unit vector moves by less
+    than ``tol`` in ``check_every`` rounds; if it doesn't within ``rounds``, that
+    is an error.
     """
-    links = cut(both_ways(edges).select("node", "nbr", F.col("weight").cast("double").alias("w")).repartition("node"))
+    links = cut(both_ways(edges).select("node", "nbr", F.col("weight").cast("double").alias("w")))
     scale = links.groupBy("node").agg(F.sum("w").alias("s")).agg(F.max("s")).first()[0] or 1.0
     loops = links.select("node").distinct().select("node", F.col("node").alias("nbr"), F.lit(1.0).alias("w"))
-    step = cut(links.unionByName(loops).withColumn("w", F.col("w") / F.lit(float(scale))).repartition("node"))
-    x = loops.select("node", F.lit(1.0).alias("x"))
+    step = cut(links.unionByName(loops).withColumn("w", F.col("w") / F.lit(float(scale))))
+    x, unit, last = loops.select("node", F.lit(1.0).alias("x")), loops.select("node", F.lit(1.0).alias("eigenvector")), None
     for i in range(1, rounds + 1):
         x = step.join(x, "node").groupBy(F.col("nbr").alias("node")).agg(F.sum(F.col("w") * F.col("x")).alias("x"))
-        if i % check_every == 0:
-            x = cut(x)
-    x = cut(x)
-    norm = x.agg(F.sqrt(F.sum(F.col("x") * F.col("x")))).scalar()
-    return x.select("node", (F.col("x") / norm).alias("eigenvector"))
-
-
-def betweenness(edges: DataFrame, sample: int, seed: str = "42", max_levels: int = 1000) -> DataFrame:
+        if i % check_every and i < rounds:
+            continue
+        x = cut(x)
+        unit = x.select("node", (F.col("x") / x.agg(F.sqrt(F.sum(F.col("x") * F.col("x")))).scalar()).alias("eigenvector"))
+        # the last unit vector starts the next rounds, so numbers stay near 1
+        x = unit = cut(unit)
+        if last is not None:
+            moved = unit.join(last, "node").agg(F.sqrt(F.sum(F.pow(F.col("eigenvector") - F.col("old"), 2)))).first()[0]
+            if (moved or 0.0) < tol:
+                break
+            if i >= rounds:
+                raise RuntimeError(f"the vector still moves by {moved} after {rounds} rounds")
+        last, x = unit.withColumnRenamed("eigenvector", "old"), unit.withColumnRenamed("eigenvector", "x")
+    return unit
+
+
+def betweenness(edges: DataFrame, sample: int, seed: str = "42") -> DataFrame:
     """Betweenness from md5-sampled sources, normalised (exact when the sample
     covers every node).
 
@@ -135,14 +151,14 @@ def betweenness(edges: DataFrame, sample: int, seed: str = "42", max_levels: int
     paths, backward rounds share out dependencies.  Paths are counted in hops;
     edge weights are not used as lengths.
     """
-    links = cut(both_ways(edges).select("node", "nbr").repartition("node"))
+    links = cut(both_ways(edges).select("node", "nbr"))
     everyone = cut(links.select("node").distinct())
     n = everyone.count()
     sources = everyone.orderBy(md5_key(F.col("node"), seed=seed), "node").limit(sample).select(F.col("node").alias("s"))
     k = min(sample, n)
     frontier = cut(sources.select("s", F.col("s").alias("node"), F.lit(0).alias("d"), F.lit(1.0).alias("sigma")))
     levels, visited = [frontier], frontier.select("s", "node")
-    while len(levels) < max_levels:
+    while True:
         reach = frontier.join(links, "node").groupBy("s", F.col("nbr").alias("node")).agg(F.sum("sigma").alias("sigma"))
         frontier = cut(reach.join(visited, ["s", "node"], "left_anti").select("s", "node", F.lit(len(levels)).alias("d"), "sigma"))
         if frontier.isEmpty():
@@ -162,12 +178,12 @@ def betweenness(edges: DataFrame, sample: int, seed: str = "42", max_levels: int
     return everyone.join(b, "node", "left").fillna(0.0, ["betweenness"])
 
 
-def hop_distances(edges: DataFrame, sources: DataFrame, max_hops: int = 10_000) -> DataFrame:
+def hop_distances(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """Hops from the nearest source; unreachable nodes are absent."""
-    links = cut(both_ways(edges.withColumn("weight", F.lit(1))).select("node", "nbr").repartition("node"))
+    links = cut(both_ways(edges.withColumn("weight", F.lit(1))).select("node", "nbr"))
     frontier = cut(sources.select("node").distinct())
     done = frontier.withColumn("hops", F.lit(0))
-    for hop in range(1, max_hops + 1):
+    for hop in itertools.count(1):
         nxt = links.join(frontier, "node", "left_semi").select(F.col("nbr").alias("node")).distinct()
         frontier = cut(nxt.join(done, "node", "left_anti"))
         if frontier.isEmpty():
@@ -200,14 +216,14 @@ def nearest_hub(reach: DataFrame, hubs: DataFrame) -> DataFrame:
         F.col("target").alias("node"), F.col("m.node").alias("hub"), F.col("m.hops").alias("hops"))
 
 
-def core_numbers(edges: DataFrame, max_rounds: int = 500) -> DataFrame:
+def core_numbers(edges: DataFrame) -> DataFrame:
     """k-core numbers: each node repeatedly takes the h-index of its
     neighbours' values, starting from the degree, until nothing changes.
 
     The h-index works on counts of distinct neighbour values, which are few
     even for a hub.
     """
-    links = cut(both_ways(edges).select("node", "nbr").repartition("nbr"))
+    links = cut(both_ways(edges).select("node", "nbr"))
     state = cut(links.groupBy("node").agg(F.count("*").alias("k")))
     w = Window.partitionBy("node").orderBy(F.desc("v")).rowsBetween(Window.unboundedPreceding, 0)
 
@@ -216,7 +232,7 @@ def core_numbers(edges: DataFrame, max_rounds: int = 500) -> DataFrame:
         hist = votes.groupBy("node", F.least("v", "k").alias("v")).agg(F.count("*").alias("c"))
         return hist.withColumn("at_least", F.sum("c").over(w)).groupBy("node").agg(F.max(F.least("v", "at_least")).alias("k"))
 
-    for _ in range(max_rounds):
+    while True:
         # two rounds per checkpoint: values only fall, so equality after both means done
         moved = cut(lower(lower(state)).join(state.withColumnRenamed("k", "old"), "node"))
         done = moved.where("k <> old").isEmpty()
@@ -235,7 +251,7 @@ def bridges(edges: DataFrame) -> DataFrame:
     (up to a 2^-64 chance per edge).
     """
     plain = edges.select("src", "dst")
-    links = cut(both_ways(plain.withColumn("weight", F.lit(1))).select("node", "nbr").repartition("node"))
+    links = cut(both_ways(plain.withColumn("weight", F.lit(1))).select("node", "nbr"))
     roots = components(plain).groupBy("component").agg(F.min("node").alias("node")).select("node")
     kind = plain.schema["src"].dataType
     frontier = cut(roots.select("node", F.lit(None).cast(kind).alias("parent"), F.lit(0).alias("depth")))
@@ -270,16 +286,17 @@ def bridge_fraction(edges: DataFrame, bridge_edges: DataFrame) -> DataFrame:
     return ends.groupBy("node").agg((F.sum("b") / F.count("*")).alias("bridge_fraction"))
 
 
-def label_communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
+def label_communities(edges: DataFrame, rounds: int) -> DataFrame:
     """Communities by weighted label propagation.
 
     Every round one half of the nodes (by hash) takes the label with the
     largest summed weight among its neighbours, its own label counting one;
     ties go to the larger label.  Halves avoid the oscillation of a fully
-    synchronous update.  Deterministic, but not the partition a modularity
+    synchronous update.  ``rounds`` is part of the definition: labels may go on
+    changing, and the result is the labels after that many rounds.  Deterministic, but not the partition a modularity
     optimiser would give.
     """
-    links = cut(both_ways(edges).select("node", "nbr", F.col("weight").cast("double").alias("w")).repartition("nbr"))
+    links = cut(both_ways(edges).select("node", "nbr", F.col("weight").cast("double").alias("w")))
     state = cut(links.select("node").distinct().withColumn("label", F.col("node")))
     for i in range(rounds):
         turn = F.conv(F.substring(F.md5(F.col("node").cast("string")), 1, 4), 16, 10).cast("int") % 2 == i % 2

@@ -235,11 +235,15 @@ def outliers(neighbours: DataFrame) -> DataFrame:
 
 
 def project_2d(df: DataFrame) -> DataFrame:
-    """First two principal components of (id, vec)."""
-    from pyspark.ml.feature import PCA
+    """First two principal components of (id, vec), of the vectors less their mean;
+    each axis points to where its largest weight is positive."""
+    from pyspark.ml.feature import PCA, StandardScaler
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
     v = df.select("id", array_to_vector(F.col("vec").cast("array<double>")).alias("features"))
-    model = PCA(k=2, inputCol="features", outputCol="pc").fit(v)
+    v = StandardScaler(withMean=True, withStd=False, inputCol="features", outputCol="centred").fit(v).transform(v)
+    model = PCA(k=2, inputCol="centred", outputCol="pc").fit(v)
+    axes = model.pc.toArray()
+    sign = [1.0 if axes[abs(axes[:, i]).argmax(), i] > 0 else -1.0 for i in range(2)]
     xy = vector_to_array("pc")
-    return model.transform(v).select("id", xy[0].alias("x"), xy[1].alias("y"))
+    return model.transform(v).select("id", (xy[0] * sign[0]).alias("x"), (xy[1] * sign[1]).alias("y"))

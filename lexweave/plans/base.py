@@ -23,7 +23,7 @@ DOC_TERMS_SQL = TOKENS_SQL + """, doc_terms AS (
   SELECT doc_id, term, count(*) AS tf FROM tokens GROUP BY ALL)"""
 PART_PAIRS_SQL = """members AS (
   SELECT DISTINCT l_orderkey AS ctx, l_partkey AS node FROM lineitem),
-pair_edges AS (
+pair_edges AS MATERIALIZED (
   SELECT a.node AS src, b.node AS dst, count(*) AS weight
   FROM members a JOIN members b ON a.ctx = b.ctx AND a.node < b.node GROUP BY ALL)"""
 TYPED_SQL = """typed AS (

@@ -13,9 +13,9 @@ from ..sources.tables import table
 from .base import COORDS_SQL, LINES_SQL, PART_PAIRS_SQL, TYPED_SQL, coords, doc_lines, part_members, r6, typed_edges
 from .registry import query
 
-_BOTH = "links AS (SELECT src AS node, dst AS nbr, weight FROM pair_edges UNION ALL SELECT dst, src, weight FROM pair_edges)"
+_BOTH = "links AS MATERIALIZED (SELECT src AS node, dst AS nbr, weight FROM pair_edges UNION ALL SELECT dst, src, weight FROM pair_edges)"
 _G = f"{PART_PAIRS_SQL}, {_BOTH}"
-_SIMPLE = "pair_edges AS (SELECT least(src, dst) AS src, greatest(src, dst) AS dst, count(*) AS weight FROM typed WHERE relation <> 'low' GROUP BY ALL)"
+_SIMPLE = "pair_edges AS MATERIALIZED (SELECT least(src, dst) AS src, greatest(src, dst) AS dst, count(*) AS weight FROM typed WHERE relation <> 'low' GROUP BY ALL)"
 
 
 def part_graph(spark, d):
@@ -79,12 +79,12 @@ def j6(spark, d):
     return graph.degrees(cut(part_graph(spark, d))).withColumn("degree_centrality", r6("degree_centrality"))
 
 
-_COPIES = f"""{LINES_SQL}, bip AS (SELECT DISTINCT 'd' || doc_id AS src, 'h' || md5(line) AS dst FROM lines WHERE length(line) >= 30)"""
+_COPIES = f"""{LINES_SQL}, bip AS (SELECT DISTINCT 'd' || doc_id AS src, 'h' || md5(line) AS dst FROM lines WHERE trim(line) <> '')"""
 
 
 def copy_edges(spark, d):
-    """Documents and the long lines they hold; copies share line nodes."""
-    return doc_lines(spark, d).where(F.length("line") >= 30).select(
+    """Documents and the lines they hold, blank ones apart; copies share line nodes."""
+    return doc_lines(spark, d).where(F.trim("line") != "").select(
         F.concat(F.lit("d"), "doc_id").alias("src"), F.concat(F.lit("h"), F.md5("line")).alias("dst")).distinct()
 
 
@@ -110,9 +110,9 @@ def _unrolled_pagerank(rounds: int) -> str:
     return ", ".join(steps)
 
 
-@query("J8_pagerank", f"WITH {_G}, {_unrolled_pagerank(10)} SELECT node, round(r, 8) AS pagerank FROM r10")
+@query("J8_pagerank", f"WITH {_G}, {_unrolled_pagerank(40)} SELECT node, round(r, 7) AS pagerank FROM r40")
 def j8(spark, d):
-    return graph_iter.pagerank(cut(part_graph(spark, d)), rounds=10, tol=None).select("node", r6("rank", 8).alias("pagerank"))
+    return graph_iter.pagerank(cut(part_graph(spark, d)), tol=1e-16).select("node", r6("rank", 7).alias("pagerank"))
 
 
 def _unrolled_eigen(rounds: int) -> str:
@@ -123,14 +123,14 @@ def _unrolled_eigen(rounds: int) -> str:
     return ", ".join(steps)
 
 
-@query("J9_eigenvector", f"WITH {_G}, {_unrolled_eigen(10)} SELECT node, round(x / sqrt((SELECT sum(x * x) FROM e10)), 8) AS eigenvector FROM e10")
+@query("J9_eigenvector", f"WITH {_G}, {_unrolled_eigen(60)} SELECT node, round(x / sqrt((SELECT sum(x * x) FROM e60)), 7) AS eigenvector FROM e60")
 def j9(spark, d):
-    return graph_iter.eigenvector(cut(part_graph(spark, d)), rounds=10).select("node", r6("eigenvector", 8).alias("eigenvector"))
+    return graph_iter.eigenvector(cut(part_graph(spark, d)), tol=1e-12).select("node", r6("eigenvector", 7).alias("eigenvector"))
 
 
 @query("J10_sampled_betweenness")
 def j10(spark, d):
-    return graph_iter.betweenness(cut(part_graph(spark, d)), sample=16).select("node", r6("betweenness", 9).alias("betweenness"))
+    return graph_iter.betweenness(cut(part_graph(spark, d)), sample=200).select("node", r6("betweenness", 9).alias("betweenness"))
 
 
 @query("J11_clustering", f"""WITH {_G}, tri AS MATERIALIZED (SELECT a.src AS x, a.dst AS y, b.dst AS z, cbrt(a.weight * b.weight * c.weight / pow((SELECT max(weight) FROM pair_edges), 3)) AS g FROM pair_edges a JOIN pair_edges b ON b.src = a.dst JOIN pair_edges c ON c.src = a.src AND c.dst = b.dst),
@@ -161,14 +161,14 @@ def j13b(spark, d):
     return graph_iter.bridge_fraction(e, graph_iter.bridges(e)).where(F.startswith("node", F.lit("d"))).withColumn("bridge_fraction", r6("bridge_fraction"))
 
 
-_HUBS = "hub AS (SELECT node FROM (SELECT node, count(*) AS k FROM links GROUP BY ALL) ORDER BY k DESC, node LIMIT 3)"
+_HUBS = "hs AS (SELECT node, count(*) AS k FROM links GROUP BY ALL), hub AS MATERIALIZED (SELECT node FROM hs, (SELECT list_sort(list(k)) AS a FROM hs) WHERE k >= a[CAST(floor((len(a) - 1) * 0.95) AS BIGINT) + 1])"
 
 
-@query("J14_hop_distance", f"""WITH RECURSIVE {TYPED_SQL}, {_SIMPLE}, {_BOTH}, {_HUBS}, bfs(node, hops) AS (SELECT node, 0 FROM hub UNION SELECT l.nbr, b.hops + 1 FROM bfs b JOIN (SELECT DISTINCT node, nbr FROM links) l ON l.node = b.node WHERE b.hops < 6)
+@query("J14_hop_distance", f"""WITH RECURSIVE {TYPED_SQL}, {_SIMPLE}, {_BOTH}, {_HUBS}, bfs(node, hops) AS (SELECT node, 0 FROM hub UNION SELECT l.nbr, b.hops + 1 FROM bfs b JOIN (SELECT DISTINCT node, nbr FROM links) l ON l.node = b.node WHERE b.hops < 12)
 SELECT node, CAST(min(hops) AS INTEGER) AS hops FROM bfs GROUP BY ALL""")
 def j14(spark, d):
     g = cut(typed_graph(spark, d))
-    hubs = graph.degrees(g).orderBy(F.desc("degree"), "node").limit(3).select("node")
+    hubs = cut(graph.hubs(graph.degrees(g), ["degree"], 0.95))
     return graph_iter.hop_distances(g, hubs)
 
 
@@ -176,7 +176,7 @@ def j14(spark, d):
 a AS (SELECT target, node, min(h) AS h FROM (SELECT target, node, 1 AS h FROM h1 UNION ALL SELECT target, node, 2 FROM h2 UNION ALL SELECT node, node, 0 FROM hub) GROUP BY ALL) SELECT target AS node, count(*) FILTER (WHERE h = 1) AS at_1, count(*) FILTER (WHERE h = 2) AS at_2 FROM a GROUP BY ALL""")
 def j14b(spark, d):
     g = cut(typed_graph(spark, d))
-    hubs = graph.degrees(g).orderBy(F.desc("degree"), "node").limit(3).select("node")
+    hubs = cut(graph.hubs(graph.degrees(g), ["degree"], 0.95))
     return graph_iter.reach_counts(graph_iter.local_reach(g, hubs, 2), 2)
 
 
@@ -184,7 +184,7 @@ def j14b(spark, d):
 c AS (SELECT target, node, min(h) AS h FROM (SELECT target, node, 1 AS h FROM h1 UNION ALL SELECT target, node, 2 FROM h2) GROUP BY ALL) SELECT target AS node, arg_min(c.node, (h, c.node)) AS hub, CAST(min(h) AS INTEGER) AS hops FROM c JOIN hub ON hub.node = c.node WHERE c.node <> target GROUP BY target""")
 def j14c(spark, d):
     g = cut(typed_graph(spark, d))
-    hubs = graph.degrees(g).orderBy(F.desc("degree"), "node").limit(3).select("node")
+    hubs = cut(graph.hubs(graph.degrees(g), ["degree"], 0.95))
     return graph_iter.nearest_hub(graph_iter.local_reach(g, hubs, 2), hubs)
 
 
@@ -255,7 +255,7 @@ def j18b(spark, d):
 
 
 @query("J19_core_subgraph", f"""WITH {_G}, s AS (SELECT node FROM links GROUP BY node HAVING sum(weight) >= (SELECT 1.05 * avg(w) FROM (SELECT sum(weight) AS w FROM links GROUP BY node)))
-SELECT src, dst, weight FROM pair_edges WHERE src IN (SELECT node FROM s) AND dst IN (SELECT node FROM s)""")
+SELECT src, dst, weight FROM pair_edges SEMI JOIN (SELECT node AS src FROM s) x USING (src) SEMI JOIN (SELECT node AS dst FROM s) y USING (dst)""")
 def j19(spark, d):
     # At this density both component steps keep everything, which the SQL relies on.
     g = cut(part_graph(spark, d))
@@ -275,7 +275,7 @@ def j20(spark, d):
     m = mentions_by_class(spark, d)
     g = cut(graph.cooccurrence(m.where("cls IN ('F', 'O')").select("ctx", "node").distinct(), "ctx", "node"))
     cls = graph.class_contexts(m, "node", "ctx", "cls", ["F", "O", "P"])
-    scored = graph.bridge_scores(graph_iter.betweenness(g, sample=8), cls, "F", "O")
+    scored = graph.bridge_scores(graph_iter.betweenness(g, sample=200), cls, "F", "O")
     return scored.orderBy(F.desc("bridge_score"), "node").limit(60).select("node", "F", "O", r6("bridge_score", 9).alias("bridge_score"))
 
 
@@ -293,7 +293,7 @@ def j21b(spark, d):
 
 
 @query("J22_ego_network", f"""WITH {_G}, c AS (SELECT node FROM links GROUP BY node ORDER BY sum(weight) DESC, node LIMIT 1), n AS (SELECT nbr AS node FROM links WHERE node = (SELECT node FROM c) ORDER BY weight DESC, nbr LIMIT 20), a AS (SELECT node FROM n UNION SELECT node FROM c)
-SELECT src, dst, weight FROM pair_edges WHERE src IN (SELECT node FROM a) AND dst IN (SELECT node FROM a)""")
+SELECT src, dst, weight FROM pair_edges SEMI JOIN (SELECT node AS src FROM a) x USING (src) SEMI JOIN (SELECT node AS dst FROM a) y USING (dst)""")
 def j22(spark, d):
     g = cut(part_graph(spark, d))
     centre = graph.degrees(g).orderBy(F.desc("strength"), "node").limit(1).select("node").scalar()
@@ -357,7 +357,7 @@ def j26(spark, d):
     return connect.ubiquity(mem, wide=30).withColumn("mean_ubiquity", r6("mean_ubiquity"))
 
 
-_RARE = "rare AS MATERIALIZED (SELECT DISTINCT l_suppkey AS node, l_partkey AS item FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45), kin AS (SELECT p_partkey AS item, p_partkey + 1 AS kin_item FROM part UNION ALL SELECT p_partkey + 1, p_partkey FROM part)"
+_RARE = "rare AS MATERIALIZED (SELECT DISTINCT l_suppkey AS node, l_partkey AS item FROM lineitem WHERE l_returnflag = 'R'), kin AS (SELECT p_partkey AS item, p_partkey + 1 AS kin_item FROM part UNION ALL SELECT p_partkey + 1, p_partkey FROM part)"
 
 
 def kinship(spark, d):
@@ -366,7 +366,7 @@ def kinship(spark, d):
 
 
 def rare_members(spark, d):
-    return table(spark, d, "lineitem").where("l_returnflag = 'R' AND l_quantity > 45").select(F.col("l_suppkey").alias("node"), F.col("l_partkey").alias("item")).distinct()
+    return table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_suppkey").alias("node"), F.col("l_partkey").alias("item")).distinct()
 
 
 @query("J27_kin_linked_places", f"WITH {_RARE} SELECT DISTINCT a.node, b.node AS nbr FROM rare a JOIN kin ON kin.item = a.item JOIN rare b ON b.item = kin.kin_item WHERE a.node <> b.node AND NOT EXISTS (SELECT 1 FROM rare z WHERE z.node = a.node AND z.item = kin.kin_item)")
@@ -397,7 +397,7 @@ def j29(spark, d):
 SELECT sz.node, round(coalesce(max(k / (sz.s + h.s - k)), 0), 6) AS hub_jaccard FROM sz LEFT JOIN c ON c.node = sz.node LEFT JOIN sz h ON h.node = c.hub GROUP BY sz.node""")
 def j30(spark, d):
     g = cut(typed_graph(spark, d))
-    hubs = graph.degrees(g).orderBy(F.desc("degree"), "node").limit(3).select("node")
+    hubs = cut(graph.hubs(graph.degrees(g), ["degree"], 0.95))
     return connect.hub_overlap(graph.both_ways(g).select("node", "nbr"), hubs).withColumn("hub_jaccard", r6("hub_jaccard"))
 
 
@@ -470,15 +470,18 @@ def j34b(spark, d):
     g = cut(copy_edges(spark, d).withColumn("weight", F.lit(1).cast("long")))
     targets = table(spark, d, "documents").select(F.concat(F.lit("d"), "doc_id").alias("node"))
     deg = cut(graph.degrees(g, graph.nodes_of(g, targets)))
-    rank = cut(graph_iter.pagerank(g, targets, rounds=20).withColumnRenamed("rank", "pagerank"))
-    hubs = cut(rank.orderBy(F.desc("pagerank"), "node").limit(50).select("node"))
+    rank = cut(graph_iter.pagerank(g, targets).withColumnRenamed("rank", "pagerank"))
+    # the 50 (at most a twentieth of the nodes) with the highest rank, and ties
+    most = max(1, min(50, rank.count() // 20))
+    bar = rank.orderBy(F.desc("pagerank")).limit(most).agg(F.min("pagerank")).scalar()
+    hubs = cut(rank.where(F.col("pagerank") >= bar).select("node"))
     links = graph.both_ways(g).select("node", "nbr")
     nb = links.join(hubs.select(F.col("node").alias("nbr"), F.lit(True).alias("is_hub")), "nbr", "left").fillna(False, ["is_hub"])
     labels = graph_iter.label_communities(g, rounds=5)
     size = graph_iter.component_sizes(graph_iter.components(g, targets)).select("node", F.col("size").alias("component_size"))
     community = labels.join(labels.groupBy("label").agg(F.count("*").alias("community_size")), "label").select("node", "community_size")
     parts = [
-        deg, rank, graph_iter.betweenness(g, 8), graph.clustering(g).select("node", "weighted_clustering"), size, community,
+        deg, rank, graph_iter.betweenness(g, 200), graph.clustering(g).select("node", "weighted_clustering"), size, community,
         graph_iter.core_numbers(g), graph_iter.hop_distances(g, hubs), connect.hub_context(nb, rank), connect.hub_overlap(links, hubs),
         graph.cartography(g, labels).drop("label"), graph_iter.bridge_fraction(g, graph_iter.bridges(g)),
     ]

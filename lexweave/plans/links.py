@@ -57,10 +57,10 @@ def k11(spark, d):
     return linking.with_curated(linking.link_places(p, e), curated, e)
 
 
-@query("K12_curation_queue", f"""WITH {_PE}, pk AS (SELECT form, unnest({variants('form', True, True, True)}) AS tok FROM pl WHERE place_id % 2 = 0), lk AS (SELECT unnest({variants('label', False, False, False)}) AS tok FROM en WHERE authority_id = '')
-SELECT form FROM pl WHERE place_id % 2 = 0 AND place_id % 11 <> 0 AND form NOT IN (SELECT form FROM pk JOIN lk USING (tok)) AND form NOT IN (SELECT form FROM (SELECT form, unnest({translit_keys(variants('form', True, True, True))}) AS tok FROM pl) a JOIN (SELECT unnest({translit_keys(variants('label', False, False, False))}) AS tok FROM en WHERE authority_id = '') b USING (tok))""")
+@query("K12_curation_queue", f"""WITH {_PE}, pk AS (SELECT form, unnest({variants('form', True, True, True)}) AS tok FROM pl), lk AS (SELECT unnest({variants('label', False, False, False)}) AS tok FROM en WHERE authority_id = '')
+SELECT form FROM pl WHERE place_id % 11 <> 0 AND form NOT IN (SELECT form FROM pk JOIN lk USING (tok)) AND form NOT IN (SELECT form FROM (SELECT form, unnest({translit_keys(variants('form', True, True, True))}) AS tok FROM pl) a JOIN (SELECT unnest({translit_keys(variants('label', False, False, False))}) AS tok FROM en WHERE authority_id = '') b USING (tok))""")
 def k12(spark, d):
-    p = places(spark, d).where("place_id % 2 = 0")
+    p = places(spark, d)
     linked = linking.entity_keys(entities(spark, d).where("authority_id = ''"), "entity_id", "label")
     decided = p.where("place_id % 11 = 0").select("form")
     return linking.unlinked(p, "form", linked, decided)
