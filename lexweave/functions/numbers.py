@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -45,13 +44,3 @@ def g_statistic(a: Column, b: Column, total_a: Column, total_b: Column) -> Colum
 def length_bin(n: Column, width: int = 5, top: int = 40) -> Column:
     return F.least(F.lit(top), (F.floor(n / width) * width).cast("int"))
 
-
-def safe_div(num: Column, den: Column, default: float = 0.0) -> Column:
-    return F.when(den != 0, num / den).otherwise(F.lit(default))
-
-
-def scott_bandwidth(n: Column, std: Column) -> Column:
-    return std * F.pow(n.cast("double"), F.lit(-0.2))
-
-
-SQRT_2PI = math.sqrt(2.0 * math.pi)

@@ -172,13 +172,3 @@ def fisher_two_sided(a: int, b: int, c: int, d: int) -> float:
 
     return min(1.0, tail(mode + 1, hi, 1) + tail(mode, lo, -1))
 
-
-@F.pandas_udf(T.DoubleType())
-def fisher_p(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
-    memo: dict[tuple, float] = {}
-    out = []
-    for cell in zip(a.astype(int), b.astype(int), c.astype(int), d.astype(int)):
-        if cell not in memo:
-            memo[cell] = fisher_two_sided(*cell)
-        out.append(memo[cell])
-    return pd.Series(out, dtype=float)

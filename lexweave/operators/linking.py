@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-import difflib
-import functools
 from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import names
 from .scan import top_per_group
@@ -119,17 +115,6 @@ RARE_FIRST = "zqxjkvbpygfwmucldrhsnioate0123456789"
 MIN_SCORE, BONUS = 0.6, 0.15
 
 
-@functools.lru_cache(maxsize=200_000)
-def _ratio(a: str, b: str) -> float:
-    return difflib.SequenceMatcher(None, a, b).ratio()
-
-
-@F.pandas_udf(T.DoubleType())
-def matcher_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Longest-matching-block ratio of two keys, on candidate pairs only."""
-    return pd.Series([_ratio(x, y) for x, y in zip(a, b)], dtype=float)
-
-
 def _prefix(df: DataFrame, key: str, share: float) -> DataFrame:
     """Blocking tokens of a key: its rarest characters, as many as could all be
     missing from the other key while a ``share`` of the key still matches."""
@@ -146,17 +131,17 @@ def _prefix(df: DataFrame, key: str, share: float) -> DataFrame:
 
 
 def shortlist(
-    place_keys_df: DataFrame, entity_keys_df: DataFrame, k: int, method: str = "levenshtein"
+    place_keys_df: DataFrame, entity_keys_df: DataFrame, k: int
 ) -> DataFrame:
     """Top-k entities per place by best key similarity (+ bonus for containment).
 
     Inputs are (place_id, key) and (entity_id, key).  Similarity is
-    1 - levenshtein / longer length, or the matching-block ratio.  Either one
-    needs a minimum share of equal characters, so the keys meet on their rarest
+    1 - levenshtein / longer length.  It needs a minimum share of equal
+    characters, so the keys meet on their rarest
     characters (prefix filter: no qualifying pair is missed); containment pairs
     meet on the four-letter opening of the contained key.
     """
-    share = MIN_SCORE if method == "levenshtein" else (MIN_SCORE / 2) / (1 - MIN_SCORE / 2)
+    share = MIN_SCORE
     a = place_keys_df.select(F.col("key").alias("a")).distinct()
     b = entity_keys_df.select(F.col("key").alias("b")).distinct()
     similar = _prefix(a, "a", share).join(_prefix(b, "b", share), "token").select("a", "b")
@@ -174,9 +159,7 @@ def shortlist(
 
     contained = inside(a, "a", b, "b").unionByName(inside(b, "b", a, "a")).distinct()
     longest = F.greatest(F.length("a"), F.length("b"))
-    sim = (
-        1 - F.levenshtein("a", "b") / longest if method == "levenshtein" else matcher_ratio("a", "b")
-    )
+    sim = 1 - F.levenshtein("a", "b") / longest
     pairs = similar.unionByName(contained).distinct().withColumn("sim", sim)
     flags = contained.withColumn("inside", F.lit(1))
     scored = pairs.join(flags, ["a", "b"], "left")

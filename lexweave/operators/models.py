@@ -7,6 +7,7 @@ Gram matrices of the feature count reach the driver.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -24,6 +25,8 @@ from .scan import md5_key, ordered_scan, top_per_group
 from .terms import features as select_terms
 
 
+FITS_AT_ONCE = 4  # independent models whose jobs share the cluster
+
 # Splits and metrics ------------------------------------------------------
 
 
@@ -174,14 +177,18 @@ def leave_group_out(docs: DataFrame, group: str, **fit) -> tuple[DataFrame, list
     The groups are few (books); each is one fit over the shared cached input.
     """
     names = [r[0] for r in docs.select(group).distinct().orderBy(group).collect()]
+
+    def fitted(g):
+        return fit_text_model(docs.where(F.col(group) != g), **fit)
+
     out, skipped = None, []
-    for g in names:
-        model = fit_text_model(docs.where(F.col(group) != g), **fit)
-        if not model.available:
-            skipped.append(str(g))
-            continue
-        part = model.predict(docs.where(F.col(group) == g)).drop("toks")
-        out = part if out is None else out.unionByName(part)
+    with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
+        for g, model in zip(names, pool.map(fitted, names)):
+            if not model.available:
+                skipped.append(str(g))
+                continue
+            part = model.predict(docs.where(F.col(group) == g)).drop("toks")
+            out = part if out is None else out.unionByName(part)
     return out, skipped
 
 

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numbers import safe_div
 from .scan import average_ranks, ordered_scan, quantiles, value_histogram
 
 
@@ -35,7 +34,8 @@ def _adjust(df: DataFrame, p: str, out: str, holm: bool) -> DataFrame:
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
-    ranked = average_ranks(average_ranks(df, [], x, "_rx"), [], y, "_ry")
+    both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    ranked = average_ranks(average_ranks(both, [], x, "_rx"), [], y, "_ry")
     return ranked.agg(F.count("*").alias("n"), F.corr("_rx", "_ry").alias("spearman"))
 
 

@@ -30,11 +30,6 @@ def fingerprint(df: DataFrame, columns: Sequence[str], params: Mapping[str, obje
     )
 
 
-def unchanged(current: DataFrame, previous: DataFrame) -> bool:
-    """True when two fingerprints agree, so a rebuild can be skipped."""
-    return current.exceptAll(previous.select(*current.columns)).isEmpty()
-
-
 def endpoint_counts(edges: DataFrame, src: str, dst: str) -> DataFrame:
     ends = edges.select(F.col(src).alias("node")).union(edges.select(dst))
     return ends.groupBy("node").agg(F.count("*").alias("n"))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..functions.numbers import safe_div
 from ..operators import labels as lab
 from ..operators import summaries
 from ..operators.scan import md5_key, quantiles

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import math
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -49,7 +52,7 @@ def h7(spark, d):
     docs = labelled_docs(spark, d)
     freq = terms.class_frequencies(docs, "toks", "label")
     totals = docs.agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg"))
-    keep = terms.association_q(freq, totals).where("q_value < 0.1").orderBy("q_value", "term").limit(MAX_FEATURES)
+    keep = terms.association_q(freq, totals).where("q_value < 0.1").orderBy("q_value", "term")
     m = models.fit_text_model(docs, vocabulary=[r["term"] for r in keep.select("term").collect()], binary=True, normalize=False)
     if not m.available:
         return models.guard(docs, "label", 20, 5).select("status", "reason")
@@ -116,7 +119,7 @@ def h11(spark, d):
 
 @query("H12_leave_one_group_out")
 def h12(spark, d):
-    docs = labelled_docs(spark, d).withColumn("group", F.col("book") % 5)
+    docs = labelled_docs(spark, d).withColumn("group", F.col("book"))
     pred, _ = models.leave_group_out(docs, "group", max_features=MAX_FEATURES)
     return models.binary_metrics(pred, "label", "predicted", ["group"]).select("group", "n", "tp", "fp", "fn", "tn", "accuracy", "majority_accuracy", (F.col("accuracy") - F.col("majority_accuracy")).alias("delta"))
 
@@ -183,24 +186,26 @@ def joint(spark, d):
 
 
 @query("H16_label_noise_draws", f"""WITH {_JOINT}, p AS (SELECT observed, sum(CASE manual WHEN 'historical' THEN 1 WHEN 'mixed' THEN 0.5 ELSE 0 END)::DOUBLE AS h, sum(CASE manual WHEN 'mythic' THEN 1 WHEN 'mixed' THEN 0.5 ELSE 0 END)::DOUBLE AS m, sum(CASE manual WHEN 'other' THEN 1 ELSE 0 END)::DOUBLE AS o FROM j GROUP BY ALL),
-u AS (SELECT unit, CAST(run AS INTEGER) AS run, h, m, CAST('0x' || substr(md5('noise|' || unit || '|' || run), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE * (h + m + o) AS u FROM j JOIN p USING (observed), range(4) r(run)) SELECT unit, run, CASE WHEN u < h THEN 'historical' WHEN u < h + m THEN 'mythic' ELSE 'other' END AS label FROM u""")
+u AS (SELECT unit, CAST(run AS INTEGER) AS run, h, m, CAST('0x' || substr(md5('noise|' || unit || '|' || run), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE * (h + m + o) AS u FROM j JOIN p USING (observed), range(30) r(run)) SELECT unit, run, CASE WHEN u < h THEN 'historical' WHEN u < h + m THEN 'mythic' ELSE 'other' END AS label FROM u""")
 def h16(spark, d):
     j = joint(spark, d)
-    return models.noisy_labels(j.select("unit", "observed"), j.select("observed", "manual"), ("historical", "mythic", "other"), 4, "noise")
+    return models.noisy_labels(j.select("unit", "observed"), j.select("observed", "manual"), ("historical", "mythic", "other"), 30, "noise")
 
 
 @query("H16_label_noise_models")
 def h16b(spark, d):
     j = joint(spark, d)
-    draws = cut(models.noisy_labels(j.select("unit", "observed"), j.select("observed", "manual"), ("historical", "mythic", "other"), 4, "noise"))
+    draws = cut(models.noisy_labels(j.select("unit", "observed"), j.select("observed", "manual"), ("historical", "mythic", "other"), 30, "noise"))
     docs = labelled_docs(spark, d).drop("label")
-    out = None
-    for run in range(4):
+
+    def fitted(run: int):
         lab = draws.where(F.col("run") == run).where("label <> 'other'").select("unit", (F.col("label") == "mythic").cast("int").alias("label"))
         m = models.fit_text_model(docs.join(lab, "unit"), MAX_FEATURES)
-        if m.available:
-            c = m.coefficients(spark).withColumn("run", F.lit(run))
-            out = c if out is None else out.unionByName(c)
+        return m.coefficients(spark).withColumn("run", F.lit(run)) if m.available else None
+
+    with ThreadPoolExecutor(models.FITS_AT_ONCE) as pool:
+        runs = [c for c in pool.map(fitted, range(30)) if c is not None]
+    out = functools.reduce(DataFrame.unionByName, runs)
     v = F.col("coefficient")
     return out.groupBy("term").agg(
         F.count("*").alias("present"), F.count_if(v > 0).alias("positive"), F.count_if(v < 0).alias("negative"), r6(F.avg(v)).alias("mean"), r6(F.min(v)).alias("lowest"), r6(F.max(v)).alias("highest"),
