@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 _lgamma = np.vectorize(math.lgamma, otypes=[float])
 _TINY = 1e-300
+_STEPS = 200_000  # steps grow with the root of the parameters; beyond this it is an error
 
 
 def gamma_q(a, x):
@@ -27,12 +28,14 @@ def gamma_q(a, x):
         aa, xx = a[series], x[series]
         term = 1.0 / aa
         total, n = term.copy(), aa.copy()
-        for _ in range(2000):
+        for _ in range(_STEPS):
             n = n + 1
             term = term * xx / n
             total += term
             if np.all(np.abs(term) < np.abs(total) * 1e-16):
                 break
+        else:
+            raise ArithmeticError("the series of the incomplete gamma function has not settled")
         out[series] = 1.0 - total * np.exp(-xx + aa * np.log(xx) - _lgamma(aa))
     frac = (x > 0) & (x >= a + 1)
     if frac.any():
@@ -41,7 +44,7 @@ def gamma_q(a, x):
         c = np.full_like(xx, 1.0 / _TINY)
         d = 1.0 / b
         h = d.copy()
-        for i in range(1, 2000):
+        for i in range(1, _STEPS):
             an = -i * (i - aa)
             b = b + 2.0
             d = an * d + b
@@ -53,6 +56,8 @@ def gamma_q(a, x):
             h = h * delta
             if np.all(np.abs(delta - 1.0) < 1e-15):
                 break
+        else:
+            raise ArithmeticError("the fraction of the incomplete gamma function has not settled")
         out[frac] = h * np.exp(-xx + aa * np.log(xx) - _lgamma(aa))
     return np.clip(out, 0.0, 1.0)
 
@@ -63,7 +68,7 @@ def _beta_fraction(a, b, x):
     d[np.abs(d) < _TINY] = _TINY
     d = 1.0 / d
     h = d.copy()
-    for m in range(1, 5000):
+    for m in range(1, _STEPS):
         for num in (
             m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
             -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)),
@@ -77,6 +82,8 @@ def _beta_fraction(a, b, x):
             h = h * delta
         if np.all(np.abs(delta - 1.0) < 1e-15):
             break
+    else:
+        raise ArithmeticError("the fraction of the incomplete beta function has not settled")
     return h
 
 

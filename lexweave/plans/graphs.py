@@ -387,10 +387,11 @@ def j28(spark, d):
 STRATA = (("early", None, 1994), ("middle", 1995, 1997), ("late", 1998, 1999))
 
 
-@query("J29_dated_attestations", f"""WITH {TYPED_SQL}, ends AS (SELECT src AS node, year FROM typed WHERE relation <> 'low' UNION ALL SELECT dst, year FROM typed WHERE relation <> 'low')
-SELECT node, count(*) FILTER (WHERE year <= 1994) AS early, count(*) FILTER (WHERE year BETWEEN 1995 AND 1997) AS middle, count(*) FILTER (WHERE year BETWEEN 1998 AND 1999) AS late, min(year) AS earliest, max(year) AS latest, max(year) - min(year) AS span FROM ends GROUP BY ALL""")
+@query("J29_dated_attestations", f"""WITH {TYPED_SQL}, ends AS (SELECT src AS node, year FROM typed WHERE relation <> 'low' UNION ALL SELECT dst, year FROM typed WHERE relation <> 'low'), every AS (SELECT 'c' || c_custkey AS node FROM customer UNION SELECT 's' || s_suppkey FROM supplier)
+SELECT every.node, count(*) FILTER (WHERE year <= 1994) AS early, count(*) FILTER (WHERE year BETWEEN 1995 AND 1997) AS middle, count(*) FILTER (WHERE year BETWEEN 1998 AND 1999) AS late, coalesce(min(year), 200) AS earliest, coalesce(max(year), -1400) AS latest, coalesce(max(year) - min(year), 0) AS span FROM every LEFT JOIN ends ON ends.node = every.node GROUP BY every.node""")
 def j29(spark, d):
-    return connect.attestations(typed_edges(spark, d), STRATA, ("low",))
+    everyone = table(spark, d, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("node")).unionByName(table(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("node")))
+    return connect.attestations(typed_edges(spark, d), STRATA, ("low",), everyone)
 
 
 @query("J30_hub_neighbourhood", f"""WITH {TYPED_SQL}, {_SIMPLE}, {_BOTH}, {_HUBS}, sz AS (SELECT node, count(*) AS s FROM links GROUP BY ALL), c AS (SELECT a.node, b.node AS hub, count(*) AS k FROM links a JOIN links b ON b.nbr = a.nbr JOIN hub ON hub.node = b.node GROUP BY ALL)

@@ -163,6 +163,17 @@ def l10c(spark, d):
     return plain(usage.run_complete(s).select("user_id", "start", "used", "requests"))
 
 
+@query("L10_late_rows", """SELECT event_id, ts FROM events WHERE event_id % 2 = 1 AND ts < (SELECT max(ts) FROM events WHERE event_id % 2 = 0) - INTERVAL 6 HOUR""")
+def l10d(spark, d):
+    # the odd events arrive after the even ones, in a second run of the query
+    e = table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    source, out, chk = (scratch_path(spark, name) for name in ("arrivals", "by-lateness", "lateness-chk"))
+    for part in (0, 1):
+        e.where(F.col("event_id") % 2 == part).write.mode("append").parquet(source)
+        _, late = usage.append_with_late(spark.readStream.schema(e.schema).parquet(source), "ts", 6 * 3600, out, chk)
+    return plain(late, "ts")
+
+
 @query("L11_idempotent_reingest", "SELECT event_id, event_type FROM events")
 def l11(spark, d):
     folder = scratch_path(spark, "twice")

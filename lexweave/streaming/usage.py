@@ -57,11 +57,29 @@ def split_late(df: DataFrame, ts: str, high_water, delay_seconds: int) -> tuple[
     trace, so they are set aside here first.
     """
     if high_water is None:
-        return df, df.limit(0)
-    edge = F.lit(high_water).cast("timestamp") - F.make_interval(secs=F.lit(delay_seconds))
+        return df, df.where(F.lit(False))
+    edge = F.lit(high_water) - F.make_interval(secs=F.lit(delay_seconds))
     return df.where(F.col(ts) >= edge), df.where(F.col(ts) < edge)
 
 
+def append_with_late(stream: DataFrame, ts: str, delay_seconds: int, folder: str, checkpoint: str) -> tuple[DataFrame, DataFrame]:
+    """Append a stream to two tables, on time and late, and return both.
+
+    The newest event time is read back from the batches before, so a restarted
+    query judges its first batch like any other, and a replayed batch replaces
+    its own rows.
+    """
+    spark = stream.sparkSession
+
+    def sink(df: DataFrame, batch_id: int) -> None:
+        high = None if batch_id == 0 else spark.read.parquet(f"{folder}/on_time").where(F.col("batch") < batch_id).agg(F.max(ts)).first()[0]
+        for name, rows in zip(("on_time", "late"), split_late(df, ts, high, delay_seconds)):
+            rows.write.mode("overwrite").parquet(f"{folder}/{name}/batch={batch_id}")
+
+    stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return tuple(spark.read.parquet(f"{folder}/{name}").drop("batch") for name in ("on_time", "late"))
+
+
 def event_stream(spark: SparkSession, folder: str, schema: T.StructType, pattern: str = "events.parquet") -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
 
