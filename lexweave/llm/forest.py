@@ -300,7 +300,8 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, n: int = SHINGLE, id_col
     dealt = in_blocks(paths, bucket, "cls", sizes, block)
     by = [*bucket, "lo", "hi"]
     edges_at = scratch_path(spark, "edges")
-    dealt.repartition(*by).sortWithinPartitions(*by).mapInArrow(_candidates(threshold), "a long, b long").distinct().write.parquet(edges_at)
+    # within a group by class, so that the trees join a class with the same smallest one, and few edges differ
+    dealt.repartition(*by).sortWithinPartitions(*by, "cls").mapInArrow(_candidates(threshold), "a long, b long").distinct().write.parquet(edges_at)
     edges = spark.read.parquet(edges_at).select(F.col("a").alias("src"), F.col("b").alias("dst"))
     comp = components(edges).select(F.col("node").alias("cls"), "component")
 
@@ -310,7 +311,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, n: int = SHINGLE, id_col
     pairs = in_blocks(sets, ["component"], "cls", in_comp, block)
     by = ["component", "lo", "hi"]
     links_at = scratch_path(spark, "links")
-    pairs.repartition(*by).sortWithinPartitions(*by).mapInArrow(_verified(threshold), "cls long, docs long, texts long, root long, component long").write.parquet(links_at)
+    pairs.repartition(*by).sortWithinPartitions(*by, "cls").mapInArrow(_verified(threshold), "cls long, docs long, texts long, root long, component long").write.parquet(links_at)
     links = spark.read.parquet(links_at)
     wide = in_comp.where(F.col("_n") > block).select("component")
     # roots of a component in one block are final; those of several blocks are joined
