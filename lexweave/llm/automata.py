@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from .contain import bit_filter, passes
-from .words import Words, run_hash, sliding_min, slices, words_of
+from .words import Words, run_hash, sliding_min, slices, text_batches, words_of
 
 WIDTH = 50
 GRAM = 24
@@ -244,6 +244,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
     removed holds the maximal spans (start, end) of words that go, kept the words
     that stay, joined by one space.  Runs jobs while it is called."""
     spark = docs.sparkSession
+    text_batches(spark)
     gram = min(gram, width)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     known = texts.where("doc_id is not null")

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import ragged
+from .words import give_back, ragged, text_batches
 
 BLOCK_CHARS = 18_000_000
 HOT_SHARE = 64
@@ -136,8 +136,11 @@ def _messages(pattern: str, parts: int, size: int):
                 if block.chars >= size:
                     yield block.messages((task << 24) + number, parts)
                     number, block = number + 1, _Block()
+                    give_back()
         if block.doc_ids:
             yield block.messages((task << 24) + number, parts)
+        del block
+        give_back()
 
     return run
 
@@ -219,6 +222,8 @@ def _assemble(packed: bool):
             column = (pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(off * 4), pa.py_buffer(ids)]).cast(pa.binary()) if packed
                       else pa.LargeListArray.from_arrays(off, pa.array(ids.astype(np.int32))).cast(pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(np.diff(off)), column], names=["doc_id", "n_tokens", "ids"])
+            del column, ids
+            give_back()
 
     return run
 
@@ -227,6 +232,7 @@ def encode(docs: DataFrame, file: str, pattern: str, id_col: str = "doc_id", tex
     """(doc_id, n_tokens, ids): ids as an array, or with ``packed`` as
     little-endian unsigned 32-bit values in one binary."""
     spark = docs.sparkSession
+    text_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sent = texts.mapInArrow(_messages(pattern, parts, block_chars), _MESSAGE)

@@ -79,7 +79,7 @@ def windows(turns: DataFrame, window_tokens: int = WINDOW_TOKENS, history: int =
 
     firsts = starts.groupBy("conv_id").agg(F.min("window").alias("_first"))
     firsts = system.select("conv_id").join(firsts.withColumnRenamed("conv_id", "_c"), F.col("conv_id").eqNullSafe(F.col("_c")), "left").select("conv_id", F.coalesce("_first", F.lit(0).cast("long")).alias("window"))
-    spread = starts.select("conv_id", "window").unionByName(firsts).groupBy("conv_id", "window").agg(F.max(F.lit(1)).alias("_x"))
+    spread = starts.select("conv_id", "window").unionByName(firsts).distinct()
     led = spread.join(system.withColumnRenamed("conv_id", "_c"), F.col("conv_id").eqNullSafe(F.col("_c"))).drop("_c")
     led = led.join(firsts.select(F.col("conv_id").alias("_c"), F.col("window").alias("_first")), F.col("conv_id").eqNullSafe(F.col("_c")))
     led = led.select("conv_id", "window", F.when(F.col("window") == F.col("_first"), 2).otherwise(0).alias("_kind"), F.lit(1).cast("long").alias("n"), F.lit("system").alias("role"), F.col("_system").alias("text"))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from .words import ngrams, slices, words_of
+from .words import ngrams, slices, text_batches, words_of
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -59,10 +59,10 @@ def _item_shingles(n: int, threshold: float):
         for batch in slices(batches, "text"):
             words = words_of(batch.column("text"), alnum=True)
             hashes, at = ngrams(words, n)
-            rows = words.row[at]
+            cut = np.searchsorted(words.row[at], np.arange(batch.num_rows + 1))
             out = ([], [], [], [])
-            for row in np.unique(rows):
-                h, first = np.unique(hashes[rows == row], return_index=True)  # ascending: the sketch comes first
+            for row in np.flatnonzero(np.diff(cut)):
+                h = np.unique(hashes[cut[row] : cut[row + 1]])  # ascending: the sketch comes first
                 out[0].append(np.full(len(h), row))
                 out[1].append(h)
                 out[2].append(np.full(len(h), len(h)))
@@ -98,6 +98,7 @@ def matches(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, n:
     and item with containment >= threshold.  dk names the document's row by id
     and text.  Runs jobs while it is called (items, then one pass over ``docs``)."""
     spark = docs.sparkSession
+    text_batches(spark)
     tests = items.select(F.xxhash64(F.col(item_id), F.col(text_col)).alias("ik"), F.col(item_id).alias("item_id"), F.col(text_col).cast("string").alias("text")).dropDuplicates(["ik"])
     at = scratch_path(spark, "items")
     tests.select("ik", "text").mapInArrow(_item_shingles(n, threshold), "ik long, h long, n long, sketch boolean").write.parquet(at)

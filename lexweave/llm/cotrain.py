@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
+from .words import text_batches
 
 MAX_LABELLED = 20_000
 MAX_POOL = 10_000
@@ -154,6 +155,7 @@ def samples(docs: DataFrame, labels: DataFrame, max_labelled: int, max_pool: int
 
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_pool: int = MAX_POOL, rounds: int = ROUNDS, share: float = SHARE, reg: float = REG) -> CoTrained:
     spark = docs.sparkSession
+    text_batches(spark)
     at = scratch_path(spark, "cotrain")
     samples(docs, labels, max_labelled, max_pool).write.parquet(at)
     rows = spark.read.parquet(at)
@@ -181,7 +183,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ma
             ids, p = scored.column("doc_id").to_numpy(), scored.column("p").to_numpy()
             most = int(share * len(ids))
             best = ids[np.lexsort((ids, -p))[: int(most * prior)]], ids[np.lexsort((ids, p))[: int(most * (1 - prior))]]
-            given[v] = {int(i): 1.0 for i in best[0] if i in set(ids[p >= CONFIDENT])} | {int(i): 0.0 for i in best[1] if i in set(ids[p <= 1 - CONFIDENT])}
+            good, bad = set(ids[p >= CONFIDENT]), set(ids[p <= 1 - CONFIDENT])
+            given[v] = {int(i): 1.0 for i in best[0] if i in good} | {int(i): 0.0 for i in best[1] if i in bad}
         if not any(given.values()):
             break
         for v, other in zip(VIEWS, VIEWS[::-1]):
@@ -193,12 +196,16 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ma
     models = {v: _fit(training[v], v, reg) for v in VIEWS}
     views = {v: View({w.encode("latin-1"): float(c) for w, c in zip(words[v].vocabulary, models[v].coefficients.toArray()) if c}, float(models[v].intercept)) for v in VIEWS}
     fitted = CoTrained(views, prior)
-    kept = rows.where("good is not null and aside").select("good", *VIEWS).toArrow()  # at most max_labelled rows
+    aside = vectors.where("good is not null and aside")
+    for v in VIEWS:
+        models[v].setProbabilityCol("").setPredictionCol("").setRawPredictionCol(f"{v}_m")
+        aside = models[v].transform(aside)
+    kept = aside.select("good", *[F.get(vector_to_array(f"{v}_m"), F.lit(1)).alias(v) for v in VIEWS]).toArrow()  # at most max_labelled rows
     good = kept.column("good").to_numpy() == 1
     if good.any() and not good.all():
         odds = np.zeros(len(good))
         for v in VIEWS:
-            margins = np.array([views[v].margin({w.encode("latin-1") for w in tokens}) for tokens in kept.column(v).to_pylist()])
+            margins = kept.column(v).to_numpy()
             views[v].scale, views[v].shift = platt(margins, good)
             odds += views[v].scale * margins + views[v].shift
         fitted.scale, fitted.shift = platt(odds - math.log(prior / (1 - prior)), good)
@@ -209,6 +216,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ma
 def score(docs: DataFrame, model: CoTrained, threshold: float = 0.5) -> DataFrame:
     """``docs`` with text_score, page_score, quality_score (chance of a good
     document) and keep; they replace columns of these names."""
+    text_batches(docs.sparkSession)
     docs = docs.drop("text_score", "page_score", "quality_score", "keep")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     names = docs.columns

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph_iter import components
 from ..session import scratch_path
-from .words import Words, mix, ngrams, run_hash, slices, words_of
+from .words import Words, mix, ngrams, run_hash, slices, text_batches, words_of
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -285,6 +285,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, n: int = SHINGLE, id_col
     with the very same shingles; dk: key of the row by id and text.  Rows equal
     in id and text are documents of their own.  Runs jobs while it is called."""
     spark = docs.sparkSession
+    text_batches(spark)
     d = prefix_length(threshold, trees, depth, recall)
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), document_key(id_col, text_col).alias("dk"), F.col(text_col).cast("string").alias("text"))
     signed_at = scratch_path(spark, "signed")

@@ -37,7 +37,7 @@ from sentencepiece import SentencePieceProcessor
 
 from ..session import scratch_path
 from .bpe import from_varints, varints
-from .words import BASE, _BYTES, _power, mix, ragged
+from .words import BASE, _BYTES, _power, give_back, mix, ragged, text_batches
 
 ROUNDS = 2
 BLOCK_CHARS = 12_000_000
@@ -230,6 +230,7 @@ def _messages(parts: int):
                     pairs, ids, held, sizes = [], [], [], []
         if ids:
             yield packed(number, local, pairs, ids, held, sizes)
+        give_back()
 
     return run
 
@@ -289,6 +290,7 @@ def score(docs: DataFrame, file: str, held_out: Column | None = None, id_col: st
     fold of the id).  Runs jobs while it is called: counts, and one per round.
     """
     spark = docs.sparkSession
+    text_batches(spark)
     flag = held_out_flag(F.col(id_col)) if held_out is None else held_out
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(flag, F.lit(False)).alias("held"), F.col(text_col).cast("string").alias("text"))
     counts_at = scratch_path(spark, "words")

@@ -7,11 +7,13 @@ All hashes depend on the words alone, never on their place in a batch.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 SLICE_ROWS = 4096
 SLICE_BYTES = 2_000_000  # text handled at once; one longer text makes its own slice
@@ -24,9 +26,26 @@ _FOLD[65:91] += 32
 _ALNUM = np.zeros(256, bool)
 _ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _BYTES = np.random.default_rng(20240611).integers(1, 2**63, 256, dtype=np.uint64)
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
+def text_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of ``rows`` texts, unless the session has set a number of
+    its own: Spark's default suits short rows, and texts may be long."""
+    if spark.conf.get(ARROW_ROWS) == "10000":
+        spark.conf.set(ARROW_ROWS, str(rows))
+
+
+def give_back() -> None:
+    """Return freed memory to the system, as Python workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library has no such call, and no need for it
+        pass
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values."""
     x = x ^ (x >> np.uint64(30))
