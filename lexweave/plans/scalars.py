@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import dates, entities, names, numbers
 from ..functions import text as tx
 from ..operators import spelling, terms
+from ..operators.quality import GONE_PHRASES, status_from_text
 from ..sources.tables import table
 from .base import COORDS_SQL, LINES_SQL, TOKENS_SQL, TYPED_SQL, coords, doc_lines, doc_words, documents, r6, tokens, typed_edges
 from .registry import query
@@ -177,16 +178,17 @@ def g16(spark, d):
     return entities.tag_candidates(lines, ["doc_id", "line_no"], "line", RULES, "regex", "v1")
 
 
-@query("G17_ordered_first_match", """WITH t AS (SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'a city In Ruins and deserted ' WHEN 1 THEN 'now DESERTED; no longer a town ' WHEN 2 THEN 'unlocatable ' WHEN 3 THEN 'was destroyed ' WHEN 4 THEN 'no longer there ' ELSE 'stands ' END || event_type AS s FROM events)
-SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'ruins' WHEN 1 THEN 'deserted' WHEN 2 THEN 'unlocatable_without_survival_status' WHEN 3 THEN 'destroyed' WHEN 4 THEN 'no_longer' ELSE 'mentioned_without_negative_status' END AS reason,
- CASE event_id % 7 WHEN 0 THEN 'In Ruins' WHEN 1 THEN 'DESERTED' WHEN 2 THEN 'unlocatable' WHEN 3 THEN 'destroyed' WHEN 4 THEN 'no longer' ELSE '' END AS matched FROM t""")
-def g17(spark, d):
-    from ..operators.quality import status_from_text
+_PHRASES = ("a city In Ruins and deserted", "now DESERTED; no longer a town", "unlocatable", "was destroyed", "no longer there", "stands", "stands, but Unlocated")
+_GONE = " ".join(f"WHEN regexp_matches(s, '(?i){pattern}') THEN {{'reason': '{reason}', 'matched': regexp_extract(s, '(?i){pattern}')}}" for pattern, reason in GONE_PHRASES)
+
 
-    texts = ["a city In Ruins and deserted ", "now DESERTED; no longer a town ", "unlocatable ", "was destroyed ", "no longer there ", "stands ", "stands "]
-    s = F.concat(F.element_at(F.array(*[F.lit(t) for t in texts]), (F.col("event_id") % 7 + 1).cast("int")), "event_type")
-    v = table(spark, d, "events").select("event_id", status_from_text(s).alias("v"))
-    return v.select("event_id", "v.reason", "v.matched")
+@query("G17_ordered_first_match", f"""WITH t AS (SELECT doc_id, text || ' ' || ['{"', '".join(_PHRASES)}'][doc_id % 7 + 1] AS s FROM documents)
+SELECT doc_id, v.reason, v.matched FROM (SELECT doc_id, CASE {_GONE} WHEN regexp_matches(s, '(?i)\\bunlocat(able|ed)\\b') THEN {{'reason': 'unlocatable_without_survival_status', 'matched': 'unlocatable'}} ELSE {{'reason': 'mentioned_without_negative_status', 'matched': ''}} END AS v FROM t)""")
+def g17(spark, d):
+    # whole texts, each followed by a phrase, as invented texts hold none
+    s = F.concat("text", F.lit(" "), F.element_at(F.array(*[F.lit(t) for t in _PHRASES]), (F.col("doc_id") % 7 + 1).cast("int")))
+    v = table(spark, d, "documents").select("doc_id", status_from_text(s).alias("v"))
+    return v.select("doc_id", "v.reason", "v.matched")
 
 
 _CITE = """cite AS (SELECT o_orderkey AS id, CASE o_orderkey % 6 WHEN 0 THEN 'Author ' || (o_custkey % 900 + 1) || ' BCE' WHEN 1 THEN (o_custkey % 9 + 1) || 'th century BC' WHEN 2 THEN (o_custkey % 3 + 1) || ' c. CE, copied 120 AD'

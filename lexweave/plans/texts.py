@@ -22,7 +22,7 @@ SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) A
 def h1(spark, d):
     dt = doc_terms(spark, d)
     vocab = terms.features(dt, MIN_DF, TOP)
-    return terms.tfidf(dt, vocab, n_docs(spark, d), TOP).select("doc_id", "term", r6("weight").alias("weight"))
+    return terms.tfidf(dt, vocab, n_docs(spark, d)).select("doc_id", "term", r6("weight").alias("weight"))
 
 
 @query("H2_binary_tfidf", f"""WITH {DOC_TERMS_SQL}, v AS (SELECT term, count(*) AS df, sum(tf) AS total FROM doc_terms GROUP BY ALL HAVING count(*) >= {MIN_DF} ORDER BY total DESC, term LIMIT {TOP})
@@ -30,7 +30,7 @@ SELECT doc_id, doc_terms.term, round(ln((1 + (SELECT count(*) FROM documents)) /
 def h2(spark, d):
     dt = doc_terms(spark, d)
     vocab = terms.features(dt, MIN_DF, TOP)
-    return terms.tfidf(dt, vocab, n_docs(spark, d), TOP, binary=True, normalize=False).select("doc_id", "term", r6("weight").alias("weight"))
+    return terms.tfidf(dt, vocab, n_docs(spark, d), binary=True, normalize=False).select("doc_id", "term", r6("weight").alias("weight"))
 
 
 _FREQ = r"""cf AS (SELECT term, count(*) FILTER (WHERE quality = 1) AS pos, count(*) FILTER (WHERE quality = 0) AS neg FROM

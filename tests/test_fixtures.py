@@ -118,9 +118,7 @@ def test_links(spark):
     assert got == {(1, "m"): ("exact_normalized_name", "medium"), (2, "a"): ("exact_normalized_name", "high"), (3, "k"): ("transliteration", "medium")}
 
 
-@pytest.mark.parametrize("method", ["levenshtein", "ratio"])
-def test_shortlist_misses_nothing(spark, method):
-    import difflib
+def test_shortlist_misses_nothing(spark):
     import random
 
     rng = random.Random(1)
@@ -136,10 +134,9 @@ def test_shortlist_misses_nothing(spark, method):
                 prev, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, prev + (x != y))
         return row[-1]
 
-    sim = (lambda a, b: 1 - lev(a, b) / max(len(a), len(b))) if method == "levenshtein" else (lambda a, b: difflib.SequenceMatcher(None, a, b).ratio())
     want = {(i, j) for i, a in enumerate(words[:20]) for j, b in enumerate(words[20:])
-            if sim(a, b) + (0.15 if len(a) >= 4 and len(b) >= 4 and (a in b or b in a) else 0) >= 0.6 - 1e-12}
-    got = {(r["place_id"], r["entity_id"]) for r in linking.shortlist(p, e, 1000, method).collect()}
+            if 1 - lev(a, b) / max(len(a), len(b)) + (0.15 if len(a) >= 4 and len(b) >= 4 and (a in b or b in a) else 0) >= 0.6 - 1e-12}
+    got = {(r["place_id"], r["entity_id"]) for r in linking.shortlist(p, e, 1000).collect()}
     assert got == want
 
 
