@@ -95,6 +95,13 @@ def j7(spark, d):
     return comp.where(F.startswith("node", F.lit("d")))
 
 
+@query("J7_all_components", f"""WITH RECURSIVE {_COPIES}, dd AS MATERIALIZED (SELECT DISTINCT a.src AS x, b.src AS y FROM bip a JOIN bip b ON a.dst = b.dst), reach(node, comp) AS (SELECT x, x FROM dd UNION SELECT r.node, dd.y FROM reach r JOIN dd ON dd.x = r.comp),
+c AS MATERIALIZED (SELECT node, min(comp) AS component FROM reach GROUP BY ALL) SELECT node, component FROM c UNION ALL SELECT bip.dst, min(component) FROM bip JOIN c ON c.node = bip.src GROUP BY bip.dst""")
+def j7_all(spark, d):
+    """Lines as well as documents."""
+    return graph_iter.components(copy_edges(spark, d))
+
+
 @query("J7_component_sizes", f"""WITH RECURSIVE {_COPIES}, dd AS MATERIALIZED (SELECT DISTINCT a.src AS x, b.src AS y FROM bip a JOIN bip b ON a.dst = b.dst), reach(node, comp) AS (SELECT x, x FROM dd UNION SELECT r.node, dd.y FROM reach r JOIN dd ON dd.x = r.comp),
 c AS (SELECT node, min(comp) AS comp FROM reach GROUP BY ALL), n AS (SELECT comp, count(DISTINCT c.node) + count(DISTINCT bip.dst) AS size FROM c JOIN bip ON bip.src = c.node GROUP BY ALL) SELECT size, count(*) AS components FROM n GROUP BY ALL""")
 def j7b(spark, d):
@@ -148,17 +155,22 @@ def j12(spark, d):
 
 @query("J13_leaf_bridges", f"""WITH {_COPIES}, deg AS (SELECT dst, count(*) AS k FROM bip GROUP BY ALL) SELECT src, dst FROM bip JOIN deg USING (dst) WHERE k = 1""")
 def j13(spark, d):
-    # Lines held by one document hang on it, so each is a bridge; the bridges
-    # between groups of copies are checked against brute force in the tests.
+    # Lines held by one document hang on it, so each is a bridge: the part of
+    # J13_bridges that SQL can give.
     e = copy_edges(spark, d)
     leaves = e.groupBy("dst").agg(F.count("*").alias("k")).where("k = 1")
     return graph_iter.bridges(e).join(leaves.select("dst"), "dst", "left_semi").select("src", "dst")
 
 
+@query("J13_bridges")
+def j13_all(spark, d):
+    return graph_iter.bridges(copy_edges(spark, d)).select("src", "dst")
+
+
 @query("J13_bridge_fraction")
 def j13b(spark, d):
     e = cut(copy_edges(spark, d))
-    return graph_iter.bridge_fraction(e, graph_iter.bridges(e)).where(F.startswith("node", F.lit("d"))).withColumn("bridge_fraction", r6("bridge_fraction"))
+    return graph_iter.bridge_fraction(e, graph_iter.bridges(e)).withColumn("bridge_fraction", r6("bridge_fraction"))
 
 
 _HUBS = "hs AS (SELECT node, count(*) AS k FROM links GROUP BY ALL), hub AS MATERIALIZED (SELECT node FROM hs, (SELECT list_sort(list(k)) AS a FROM hs) WHERE k >= a[CAST(floor((len(a) - 1) * 0.95) AS BIGINT) + 1])"
