@@ -18,7 +18,10 @@ the key can undo it (``restore``).  No shuffle, no join: one pass over the rows.
 | ip | the four octets | |
 | date | days of 1900-2099; 29 February among leap years | layout, separators |
 
-Candidates that fail validation stay as they are.  Null text stays null, other
+The date of a timestamp ('2024-03-05T12:34:56Z') counts, its time stays.  Ten
+digits in a row count as a phone number if area and exchange are North American
+ones and they are no part of a longer number.  Candidates that fail validation
+stay as they are.  Null text stays null, other
 columns pass through.
 """
 
@@ -30,15 +33,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}"
+EMAIL = r"(?<![A-Za-z0-9._%+-])(?=[A-Za-z0-9._%+-]{1,64}@)[._%+-]*[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}"
 DATE = r"\d{4}([-/.])\d{1,2}\1\d{1,2}|\d{1,2}([-/.])\d{1,2}\2\d{4}"
 IP = r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}"
 SSN = r"\d{3}-\d{2}-\d{4}"
-PHONE = r"(?:\+\d{1,3}[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4}|\+\d{1,3}(?:[ .-]\d{2,4}){2,5}|\+\d{9,15}"
+PHONE = r"(?:\+\d{1,3}[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4}|\+\d{1,3}(?:[ .-]\d{2,4}){2,5}|\+\d{9,15}|(?<!\d[.,:/-])[2-9]\d{2}[2-9]\d{6}(?![.,:/-]\d)"
 CARD = r"\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5}|\d{13,19}"
 IBAN = r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"
 NUMBERS = "|".join([IP, DATE, SSN, PHONE, CARD, IBAN])
-CANDIDATE = rf"(?<![0-9A-Za-z])(?:{NUMBERS})(?![0-9A-Za-z]|[.]\d)|{EMAIL}"
+#: the date of a timestamp: a time follows after T
+STAMPED = "|".join(rf"\d{{4}}{sep}\d{{1,2}}{sep}\d{{1,2}}|\d{{1,2}}{sep}\d{{1,2}}{sep}\d{{4}}" for sep in ("-", "/", "[.]"))
+CANDIDATE = rf"(?<![0-9A-Za-z])(?:(?:{STAMPED})(?=[Tt]\d)|(?:{NUMBERS})(?![0-9A-Za-z]|[.]\d))|{EMAIL}"
 #: ISO alphabets
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 

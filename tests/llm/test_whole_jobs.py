@@ -1,6 +1,6 @@
 """What thresholds and patterns must not leave out."""
 
-from lexweave.llm import lineruns
+from lexweave.llm import feistel, lineruns
 
 
 def test_short_repeated_lines_go(spark):
@@ -10,3 +10,20 @@ def test_short_repeated_lines_go(spark):
     assert out[0].n_deleted == 0 and notice in out[0].text
     for i in range(1, 4):
         assert out[i].n_deleted == 1 and out[i].text == "\n".join(x for t in [notice, *trivial] for x in (f"own line {i} before {t}", t) if x != notice)
+
+
+def test_candidates_beside_letters_and_marks(spark):
+    same = [("2024-03-05", "2024-03-05T12:34:56Z"), ("31.12.1999", "31.12.1999T08:00"), ("2024/2/29", "2024/2/29t1"), ("john@x.com", "_john@x.com"), ("j.ohn7@x.com", "+j.ohn7@x.com"), ("a@x.com", f"{'.' * 63}a@x.com"), ("212-555-0100", "2125550100")]
+    other = ["1700000000", "0.2125550100", "2125550100.5", "21255501001", "2024-13-05T12:00", "2024-03-05Tea", "-@x.com", f"{'.' * 64}a@x.com"]
+    texts = [f"on {t}, so" for pair in same for t in pair] + other
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    made = feistel.pseudonymise(df, "k")
+    got = {r.doc_id: r for r in made.collect()}
+    bare = lambda t: "".join(c for c in t if c.isalnum())
+    for i, (plain, marked) in enumerate(same):
+        a, b = got[2 * i], got[2 * i + 1]
+        assert len(a.kinds) == 1 and a.kinds == b.kinds and a.text != texts[2 * i]
+        rest = marked[len(plain):] if marked.startswith(plain) else ""
+        assert bare(b.text) == bare(a.text.replace(", so", f"{rest}, so"))
+    assert [got[2 * len(same) + i].text for i in range(len(other))] == other and not any(got[2 * len(same) + i].kinds for i in range(len(other)))
+    assert {r.doc_id: r.text for r in feistel.restore(made.select("doc_id", "text"), "k").collect()} == dict(enumerate(texts))
