@@ -42,7 +42,8 @@ SHARE = 0.1  # of the pool that a view labels in a round
 CONFIDENT = 0.95
 REG = 4e-4  # absolute values: few of the words tell anything
 VOCABULARY = 1 << 16
-MIN_SHARE = 0.004  # of the training documents that hold a token
+MIN_DOCS = 2  # training documents that hold a token; the penalty chooses among the rest
+FEW = 50  # with fewer training documents any token counts
 VIEWS = ("text", "page")
 _SHAPE = bytes(88 if 65 <= b <= 90 else 120 if 97 <= b <= 122 or b >= 128 else 57 if 48 <= b <= 57 else b for b in range(256))
 _EDGES = b".,;:!?()[]{}\"'"
@@ -166,8 +167,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ma
     prior = n1 / (n0 + n1)
     train = "good is not null and not aside"
     words: dict[str, CountVectorizerModel] = {}
+    least = MIN_DOCS if n0 + n1 >= FEW else 1
     for v in VIEWS:
-        words[v] = CountVectorizer(inputCol=v, outputCol=f"{v}_v", binary=True, vocabSize=VOCABULARY, minDF=MIN_SHARE).fit(rows.where(train))
+        words[v] = CountVectorizer(inputCol=v, outputCol=f"{v}_v", binary=True, vocabSize=VOCABULARY, minDF=least).fit(rows.where(train))
         rows = words[v].transform(rows)
     vectors_at = scratch_path(spark, "vectors")
     rows.select("doc_id", "good", "aside", *[f"{v}_v" for v in VIEWS]).repartition(FIT_PARTITIONS).write.parquet(vectors_at)

@@ -1,6 +1,8 @@
 """What thresholds and patterns must not leave out."""
 
-from lexweave.llm import feistel, lineruns
+import numpy as np
+
+from lexweave.llm import cotrain, feistel, lineruns
 
 
 def test_short_repeated_lines_go(spark):
@@ -27,3 +29,11 @@ def test_candidates_beside_letters_and_marks(spark):
         assert bare(b.text) == bare(a.text.replace(", so", f"{rest}, so"))
     assert [got[2 * len(same) + i].text for i in range(len(other))] == other and not any(got[2 * len(same) + i].kinds for i in range(len(other)))
     assert {r.doc_id: r.text for r in feistel.restore(made.select("doc_id", "text"), "k").collect()} == dict(enumerate(texts))
+
+
+def test_a_rare_telling_word_gets_a_weight(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, " ".join([*(f"w{x}" for x in rng.integers(0, 200, 20)), *(["vile"] if i % 350 == 9 else [])]), "en", "src", 80) for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, 1, int(i % 350 == 9)) for i in range(2000)], "doc_id long, quality int, toxic int")
+    assert cotrain.fit(df, labels).views["text"].weights.get(b"vile", 0.0) < 0
