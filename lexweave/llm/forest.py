@@ -1,12 +1,13 @@
-"""N-gram Jaccard join by a MinHash LSH forest.
+"""N-gram Jaccard join by MinHash LSH banding.
 
 Documents are sets of word shingles.  Documents with the same set form a class
 and go on as one.  A signature of ``trees * depth`` minima (one permutation,
 empty bins filled from others) labels each class with one path of ``depth``
-values per tree.  A tree is a trie kept in sorted order; two classes are
-compared where their paths share a prefix.  The prefix is shortened from the
-whole path until the share of pairs at the threshold that meet in some tree,
-1 - (1 - t**d)**trees, reaches the target recall.
+values per tree.  Two classes are compared where their paths share a prefix.
+Its length d is the same everywhere and follows from the constants: the longest
+for which the share of pairs at the threshold that meet in some tree,
+1 - (1 - t**d)**trees, reaches the target recall.  No sorted trie is searched,
+and no prefix is shortened by what is found.
 
 Classes in one bucket are compared on their signatures, with a margin of five
 standard errors, and joined to candidate components.  Inside a component every
