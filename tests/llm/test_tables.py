@@ -96,7 +96,7 @@ def test_rotation_keeps_lengths():
 
 def test_named_queries(spark):
     names = set(entry.queries())
-    assert {f"op{n}" for n in range(1, 11)} == {n.split("_")[0] for n in queries.QUERIES} and set(queries.QUERIES) | {"pipeline"} <= names
+    assert {f"op{n}" for n in range(1, 14)} == {n.split("_")[0] for n in queries.QUERIES} and set(queries.QUERIES) | {"pipeline"} <= names
     con = connect(DIR)
     for name in queries.ORACLES:
         assert [p for p in compare(queries.QUERIES[name](spark, DIR), con, queries.ORACLES[name]) if p != "EMPTY"] == []
