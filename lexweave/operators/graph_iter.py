@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 from .graph import both_ways, nodes_of
-from .scan import md5_key
 
 
 def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
@@ -143,41 +142,6 @@ def eigenvector(edges: DataFrame, rounds: int = 1000, tol: float = 1e-9, check_e
     return unit
 
 
-def betweenness(edges: DataFrame, sample: int, seed: str = "42") -> DataFrame:
-    """Betweenness from md5-sampled sources, normalised (exact when the sample
-    covers every node).
-
-    All sources run together, level by level: forward rounds count shortest
-    paths, backward rounds share out dependencies.  Paths are counted in hops;
-    edge weights are not used as lengths.
-    """
-    links = cut(both_ways(edges).select("node", "nbr"))
-    everyone = cut(links.select("node").distinct())
-    n = everyone.count()
-    sources = everyone.orderBy(md5_key(F.col("node"), seed=seed), "node").limit(sample).select(F.col("node").alias("s"))
-    k = min(sample, n)
-    frontier = cut(sources.select("s", F.col("s").alias("node"), F.lit(0).alias("d"), F.lit(1.0).alias("sigma")))
-    levels, visited = [frontier], frontier.select("s", "node")
-    while True:
-        reach = frontier.join(links, "node").groupBy("s", F.col("nbr").alias("node")).agg(F.sum("sigma").alias("sigma"))
-        frontier = cut(reach.join(visited, ["s", "node"], "left_anti").select("s", "node", F.lit(len(levels)).alias("d"), "sigma"))
-        if frontier.isEmpty():
-            break
-        levels.append(frontier)
-        visited = _grown(visited, frontier.select("s", "node"), len(levels))
-    delta = levels[-1].select("s", "node", "sigma", F.lit(0.0).alias("delta"))
-    total = delta.select("s", "node", "delta")
-    for level in range(len(levels) - 1, 0, -1):
-        share = delta.select("s", F.col("node").alias("nbr"), ((1 + F.col("delta")) / F.col("sigma")).alias("c"))
-        up = share.join(links, "nbr").join(levels[level - 1].select("s", "node", "sigma"), ["s", "node"]).groupBy("s", "node", "sigma").agg(
-            (F.col("sigma") * F.sum("c")).alias("delta"))
-        delta = cut(levels[level - 1].select("s", "node", "sigma").join(up.select("s", "node", "delta"), ["s", "node"], "left").fillna(0.0, ["delta"]))
-        total = total.unionByName(delta.select("s", "node", "delta"))
-    scale = (n / k) / ((n - 1) * (n - 2)) if n > 2 else 0.0
-    b = total.where(F.col("s") != F.col("node")).groupBy("node").agg((F.sum("delta") * F.lit(scale)).alias("betweenness"))
-    return everyone.join(b, "node", "left").fillna(0.0, ["betweenness"])
-
-
 def hop_distances(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """Hops from the nearest source; unreachable nodes are absent."""
     links = cut(both_ways(edges.withColumn("weight", F.lit(1))).select("node", "nbr"))
@@ -242,43 +206,6 @@ def core_numbers(edges: DataFrame) -> DataFrame:
     return state.select("node", F.col("k").alias("core"))
 
 
-def bridges(edges: DataFrame) -> DataFrame:
-    """Edges whose removal disconnects their ends.
-
-    Every edge outside a breadth-first forest gets a 64-bit hash label and every
-    node the xor of its labels; a tree edge is a bridge when the xor over the
-    subtree below it is zero, because then no outside edge leaves the subtree
-    (up to a 2^-64 chance per edge).
-    """
-    plain = edges.select("src", "dst")
-    links = cut(both_ways(plain.withColumn("weight", F.lit(1))).select("node", "nbr"))
-    roots = components(plain).groupBy("component").agg(F.min("node").alias("node")).select("node")
-    kind = plain.schema["src"].dataType
-    frontier = cut(roots.select("node", F.lit(None).cast(kind).alias("parent"), F.lit(0).alias("depth")))
-    levels = [frontier]
-    done = frontier
-    while True:
-        nxt = links.join(frontier.select("node"), "node").groupBy(F.col("nbr").alias("node")).agg(F.min("node").alias("parent"))
-        frontier = cut(nxt.join(done.select("node"), "node", "left_anti").select("node", "parent", F.lit(len(levels)).alias("depth")))
-        if frontier.isEmpty():
-            break
-        levels.append(frontier)
-        done = _grown(done, frontier, len(levels))
-    tree = done.where(F.col("parent").isNotNull()).select(F.least("node", "parent").alias("src"), F.greatest("node", "parent").alias("dst"))
-    extra = plain.join(tree, ["src", "dst"], "left_anti").select("src", "dst", F.xxhash64(F.lit("bridge"), "src", "dst").alias("h"))
-    own = extra.select(F.explode(F.array("src", "dst")).alias("node"), "h").groupBy("node").agg(F.bit_xor("h").alias("x"))
-    own = cut(done.join(own, "node", "left").fillna(0, ["x"]).select("node", "parent", "depth", "x"))
-    found = None
-    below = own.where(F.col("depth") == len(levels) - 1)
-    for depth in range(len(levels) - 1, 0, -1):
-        hit = below.where("x = 0").select(F.least("node", "parent").alias("src"), F.greatest("node", "parent").alias("dst"))
-        found = hit if found is None else found.unionByName(hit)
-        up = below.groupBy(F.col("parent").alias("node")).agg(F.bit_xor("x").alias("y"))
-        below = cut(own.where(F.col("depth") == depth - 1).join(up, "node", "left").select(
-            "node", "parent", "depth", F.col("x").bitwiseXOR(F.coalesce("y", F.lit(0))).alias("x")))
-    return found if found is not None else plain.limit(0)
-
-
 def bridge_fraction(edges: DataFrame, bridge_edges: DataFrame) -> DataFrame:
     """Share of each node's edges that are bridges."""
     flagged = edges.select("src", "dst").join(bridge_edges.withColumn("b", F.lit(1)), ["src", "dst"], "left").fillna(0, ["b"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import entities
-from ..operators import connect, geo, graph, graph_iter
+from ..operators import communities, connect, geo, graph, graph_iter, paths, tours
 from ..operators.pairs import pairs_between, pairs_within
 from ..operators.scan import top_per_group
 from ..session import cut
@@ -135,9 +135,46 @@ def j9(spark, d):
     return graph_iter.eigenvector(cut(part_graph(spark, d)), tol=1e-12).select("node", r6("eigenvector", 7).alias("eigenvector"))
 
 
-@query("J10_sampled_betweenness")
+def _unrolled_betweenness(length: str, rounds: int, hops: int, sample: int = 200) -> str:
+    """Relaxed lengths, then path counts and shares by the number of edges."""
+    steps = [f"el AS MATERIALIZED (SELECT node, nbr, round(CAST({length} AS DOUBLE), 9) AS len FROM links)",
+             f"sources AS MATERIALIZED (SELECT node AS s FROM (SELECT DISTINCT node FROM links) ORDER BY md5('42|' || node), node LIMIT {sample})",
+             "d0 AS MATERIALIZED (SELECT s, s AS node, 0.0::DOUBLE AS d, true AS new FROM sources)"]
+    for i in range(rounds):
+        steps.append(f"""d{i + 1} AS MATERIALIZED (SELECT s, node, min(d) AS d, min(d) < coalesce(min(d) FILTER (WHERE old), 1e300) AS new FROM (SELECT s, node, d, true AS old FROM d{i}
+ UNION ALL SELECT s, el.nbr, min(round(d + len, 9)), false FROM d{i} JOIN el USING (node) WHERE new GROUP BY s, el.nbr) GROUP BY s, node)""")
+    steps += [f"dag AS MATERIALIZED (SELECT x.s, x.node AS u, y.node AS v FROM d{rounds} x JOIN el USING (node) JOIN d{rounds} y ON y.s = x.s AND y.node = el.nbr WHERE round(x.d + el.len, 9) = y.d)",
+              "g0 AS MATERIALIZED (SELECT s, s AS node, 1.0::DOUBLE AS g FROM sources)"]
+    steps += [f"g{i + 1} AS MATERIALIZED (SELECT s, v AS node, sum(g) AS g FROM g{i} JOIN dag ON dag.s = g{i}.s AND dag.u = g{i}.node GROUP BY ALL)".replace("SELECT s, v", f"SELECT g{i}.s, v") for i in range(hops)]
+    steps += ["sigma AS MATERIALIZED (SELECT s, node, sum(g) AS sigma FROM (" + " UNION ALL ".join(f"FROM g{i}" for i in range(hops + 1)) + ") GROUP BY ALL)",
+              "t0 AS MATERIALIZED (SELECT s, node, 1 / sigma AS t FROM sigma)"]
+    steps += [f"t{i + 1} AS MATERIALIZED (SELECT t{i}.s, u AS node, sum(t) AS t FROM t{i} JOIN dag ON dag.s = t{i}.s AND dag.v = t{i}.node GROUP BY ALL)" for i in range(hops)]
+    steps += ["share AS (SELECT s, node, sum(t) AS t FROM (" + " UNION ALL ".join(f"FROM t{i}" for i in range(1, hops + 1)) + ") GROUP BY ALL)",
+              "nn AS (SELECT count(DISTINCT node) AS n, (SELECT count(*) FROM sources) AS k FROM links)",
+              """btw AS MATERIALIZED (SELECT a.node, coalesce(b, 0.0::DOUBLE) * (n / k) / ((n - 1) * (n - 2)) AS b FROM (SELECT DISTINCT node FROM links) a CROSS JOIN nn
+ LEFT JOIN (SELECT node, sum(sigma * t) AS b FROM share JOIN sigma USING (s, node) WHERE node <> s GROUP BY node) x ON x.node = a.node)"""]
+    return ", ".join(steps)
+
+
+@query("J10_sampled_betweenness", f"WITH {_G}, {_unrolled_betweenness('weight', 8, 8)} SELECT node, round(b, 9) AS betweenness FROM btw")
 def j10(spark, d):
-    return graph_iter.betweenness(cut(part_graph(spark, d)), sample=200).select("node", r6("betweenness", 9).alias("betweenness"))
+    """Weights as lengths."""
+    return _betweenness(spark, d, F.col("weight"))
+
+
+@query("J10_inverse_weight_betweenness", f"WITH {_G}, {_unrolled_betweenness('1.0::DOUBLE / weight', 10, 10)} SELECT node, round(b, 9) AS betweenness FROM btw")
+def j10b(spark, d):
+    """Strong ties are near."""
+    return _betweenness(spark, d, 1.0 / F.col("weight"))
+
+
+@query("J10_hop_betweenness", f"WITH {_G}, {_unrolled_betweenness('1', 6, 6)} SELECT node, round(b, 9) AS betweenness FROM btw")
+def j10c(spark, d):
+    return _betweenness(spark, d, None)
+
+
+def _betweenness(spark, d, length):
+    return paths.betweenness(cut(part_graph(spark, d)), 200, length=length).select("node", r6("betweenness", 9).alias("betweenness"))
 
 
 @query("J11_clustering", f"""WITH {_G}, tri AS MATERIALIZED (SELECT a.src AS x, a.dst AS y, b.dst AS z, cbrt(a.weight * b.weight * c.weight / pow((SELECT max(weight) FROM pair_edges), 3)) AS g FROM pair_edges a JOIN pair_edges b ON b.src = a.dst JOIN pair_edges c ON c.src = a.src AND c.dst = b.dst),
@@ -159,18 +196,18 @@ def j13(spark, d):
     # J13_bridges that SQL can give.
     e = copy_edges(spark, d)
     leaves = e.groupBy("dst").agg(F.count("*").alias("k")).where("k = 1")
-    return graph_iter.bridges(e).join(leaves.select("dst"), "dst", "left_semi").select("src", "dst")
+    return tours.bridges(e).join(leaves.select("dst"), "dst", "left_semi").select("src", "dst")
 
 
 @query("J13_bridges")
 def j13_all(spark, d):
-    return graph_iter.bridges(copy_edges(spark, d)).select("src", "dst")
+    return tours.bridges(copy_edges(spark, d)).select("src", "dst")
 
 
 @query("J13_bridge_fraction")
 def j13b(spark, d):
     e = cut(copy_edges(spark, d))
-    return graph_iter.bridge_fraction(e, graph_iter.bridges(e)).withColumn("bridge_fraction", r6("bridge_fraction"))
+    return graph_iter.bridge_fraction(e, tours.bridges(e)).withColumn("bridge_fraction", r6("bridge_fraction"))
 
 
 _HUBS = "hs AS (SELECT node, count(*) AS k FROM links GROUP BY ALL), hub AS MATERIALIZED (SELECT node FROM hs, (SELECT list_sort(list(k)) AS a FROM hs) WHERE k >= a[CAST(floor((len(a) - 1) * 0.95) AS BIGINT) + 1])"
@@ -232,6 +269,18 @@ def j16(spark, d):
     return graph.modularity(*labelled_graph(spark, d)).select(r6("modularity").alias("modularity"))
 
 
+@query("J15_modularity_communities")
+def j15b(spark, d):
+    return communities.louvain(cut(part_graph(spark, d))).labels
+
+
+@query("J16_detected_communities")
+def j16e(spark, d):
+    """Size, inner edges and weight of the communities that modularity finds."""
+    g = cut(part_graph(spark, d))
+    return graph.community_table(g, communities.louvain(g).labels)
+
+
 @query("J16_community_table", f"WITH {_G}, {_LAB}, {_LE} SELECT label, count(*) AS size, any_value(coalesce(edges, 0)) AS edges, CAST(any_value(coalesce(w, 0)) AS BIGINT) AS weight FROM lab LEFT JOIN (SELECT ls AS label, count(*) AS edges, sum(weight) AS w FROM le WHERE ls = ld GROUP BY ALL) USING (label) GROUP BY label")
 def j16b(spark, d):
     return graph.community_table(*labelled_graph(spark, d))
@@ -282,12 +331,18 @@ def mentions_by_class(spark, d):
     return li.join(o, "ctx")
 
 
-@query("J20_bridge_scores")
+_BRIDGES = """members AS (SELECT DISTINCT l_orderkey AS ctx, l_partkey AS node, o_orderstatus AS c FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+pair_edges AS MATERIALIZED (SELECT a.node AS src, b.node AS dst, count(*) AS weight FROM members a JOIN members b ON a.ctx = b.ctx AND a.node < b.node WHERE a.c IN ('F', 'O') GROUP BY ALL)"""
+_CLASSES = "cls AS (SELECT node, count(*) FILTER (WHERE c = 'F') AS f, count(*) FILTER (WHERE c = 'O') AS o FROM members GROUP BY ALL)"
+
+
+@query("J20_bridge_scores", f"""WITH {_BRIDGES}, {_BOTH}, {_unrolled_betweenness('1.0::DOUBLE / weight', 10, 10)}, {_CLASSES}
+SELECT node, f AS F, o AS O, round(b * (1 + ln(1 + f + o)) * (2.0::DOUBLE * least(f, o) / (f + o)), 9) AS bridge_score FROM btw JOIN cls USING (node) WHERE f > 0 AND o > 0 ORDER BY b * (1 + ln(1 + f + o)) * (2.0::DOUBLE * least(f, o) / (f + o)) DESC, node LIMIT 60""")
 def j20(spark, d):
     m = mentions_by_class(spark, d)
     g = cut(graph.cooccurrence(m.where("cls IN ('F', 'O')").select("ctx", "node").distinct(), "ctx", "node"))
     cls = graph.class_contexts(m, "node", "ctx", "cls", ["F", "O", "P"])
-    scored = graph.bridge_scores(graph_iter.betweenness(g, sample=200), cls, "F", "O")
+    scored = graph.bridge_scores(paths.betweenness(g, 200, length=1.0 / F.col("weight")), cls, "F", "O")
     return scored.orderBy(F.desc("bridge_score"), "node").limit(60).select("node", "F", "O", r6("bridge_score", 9).alias("bridge_score"))
 
 
@@ -490,13 +545,13 @@ def j34b(spark, d):
     hubs = cut(rank.where(F.col("pagerank") >= bar).select("node"))
     links = graph.both_ways(g).select("node", "nbr")
     nb = links.join(hubs.select(F.col("node").alias("nbr"), F.lit(True).alias("is_hub")), "nbr", "left").fillna(False, ["is_hub"])
-    labels = graph_iter.label_communities(g, rounds=5)
+    labels = cut(communities.louvain(g).labels)
     size = graph_iter.component_sizes(graph_iter.components(g, targets)).select("node", F.col("size").alias("component_size"))
     community = labels.join(labels.groupBy("label").agg(F.count("*").alias("community_size")), "label").select("node", "community_size")
     parts = [
-        deg, rank, graph_iter.betweenness(g, 200), graph.clustering(g).select("node", "weighted_clustering"), size, community,
+        deg, rank, paths.betweenness(g, 200, length=F.col("weight")), graph.clustering(g).select("node", "weighted_clustering"), size, community,
         graph_iter.core_numbers(g), graph_iter.hop_distances(g, hubs), connect.hub_context(nb, rank), connect.hub_overlap(links, hubs),
-        graph.cartography(g, labels).drop("label"), graph_iter.bridge_fraction(g, graph_iter.bridges(g)),
+        graph.cartography(g, labels).drop("label"), graph_iter.bridge_fraction(g, tours.bridges(g)),
     ]
     fills = {c: 0 for p in parts for c in p.columns if c not in ("node", "hops", "component_size", "community_size")}
     return connect.feature_row(targets, parts, {**fills, "hops": 99, "component_size": 1, "community_size": 1})

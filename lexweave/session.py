@@ -57,3 +57,13 @@ def cut(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The rows as a table in the shared folder, for rounds that join their own
+    result again.  A checkpoint keeps the estimated size of its plan, a product
+    over all joins so far that grows with every round; a table has its real
+    size, so the planner stays fast and can broadcast what is small."""
+    at = scratch_path(df.sparkSession, "round")
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)

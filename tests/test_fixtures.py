@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lexweave.functions import dates, entities, names, special
 from lexweave.functions import text as tx
-from lexweave.operators import chunks, connect, graph, graph_iter, labels, ledger, linking, models, profiles, quality, spelling, stats, style, summaries, terms
+from lexweave.operators import chunks, connect, graph, graph_iter, labels, ledger, linking, models, paths, profiles, quality, spelling, stats, style, summaries, terms, tours
 from lexweave.sources import records
 from lexweave.sources import text as marked
 
@@ -151,7 +151,7 @@ def test_graph_toys(spark):
     a = spark.createDataFrame([("a",)], "node string")
     reach = graph_iter.local_reach(g, a, 3)
     assert tuple(graph_iter.reach_counts(reach, 3).first())[1:] == (1, 1, 2)
-    frac = {r[0]: round(r[1], 6) for r in graph_iter.bridge_fraction(g, graph_iter.bridges(g)).collect()}
+    frac = {r[0]: round(r[1], 6) for r in graph_iter.bridge_fraction(g, tours.bridges(g)).collect()}
     assert frac["a"] == 1.0 and frac["x"] == 1.0 and frac["c"] == round(1 / 3, 6)
     core = {r[0]: r[1] for r in graph_iter.core_numbers(g).collect()}
     assert core == {"a": 1, "b": 1, "c": 2, "d": 2, "e": 2, "x": 1, "y": 1}
@@ -196,10 +196,10 @@ def test_betweenness_and_bridges_against_brute_force(spark):
                 if s != t and v not in (s, t) and t in all_[s][0] and v in all_[s][0] and t in all_[v][0] and all_[s][0][v] + all_[v][0][t] == all_[s][0][t]:
                     total += all_[s][1][v] * all_[v][1][t] / all_[s][1][t]
         want[v] = total / ((len(nodes) - 1) * (len(nodes) - 2))
-    got = {r[0]: r[1] for r in graph_iter.betweenness(g, 1000).collect()}
+    got = {r[0]: r[1] for r in paths.betweenness(g, 1000).collect()}
     assert all(abs(got[n] - want[n]) < 1e-9 for n in nodes)
     cut_edges = {e for e in edges if e[1] not in bfs(e[0], e)[0]}
-    assert {(r["src"], r["dst"]) for r in graph_iter.bridges(g).collect()} == cut_edges
+    assert {(r["src"], r["dst"]) for r in tours.bridges(g).collect()} == cut_edges
 
 
 def test_bookkeeping_relations(spark):
