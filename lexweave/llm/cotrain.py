@@ -2,19 +2,21 @@
 
 The text view sees words and word shapes; the page view sees metadata (language,
 source, length) and layout (lines, line length, share of distinct lines).  Each
-view has a logistic model.  In every round each labels the pool and hands its
-most confident documents, in the proportions of the labels, to the other view's
-training set.  Both are then calibrated on labelled documents kept aside, and
-their log odds over the prior are added up and calibrated again.  A document is
-good if its quality label is 1 and its toxic label is not.
-
-Fitting uses bounded samples, chosen by hash of the id: at most
-``max_labelled`` labelled documents and a pool of ``max_pool`` others.  Scoring
-covers all documents, in one pass.
+view has a logistic model.  In every round each view scores all unlabelled
+documents and hands the most confident ones, in the proportions of the labels,
+to the other view's training set.  Both are then calibrated on labelled
+documents kept aside, and their log odds over the prior are added up and
+calibrated again.  A document is good if its quality label is 1 and its toxic
+label is not.
+
+The training sets are bounded: at most ``max_labelled`` labelled documents, by
+hash of the id, and at most ``max_given`` pseudo-labels from a view in a round,
+chosen out of everything.  Each round and the final scoring are one map pass
+over all documents; a round's training rows are a table, so no plan grows.
 
 Null values are values of their own ("lang=null"); null text has no words.
 Labels without id or quality don't count; of several labels for one id the worst
-holds.  If the labels lack one of the classes, there is nothing to tell apart:
+holds, and of several texts for one id the one with the smallest hash trains.  If the labels lack one of the classes, there is nothing to tell apart:
 every score is the share of good labels (1 without labels).
 """
 
@@ -31,14 +33,14 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.scan import top_per_group
 from ..session import scratch_path
 from .words import text_batches
 
 MAX_LABELLED = 20_000
-MAX_POOL = 10_000
+MAX_GIVEN = 1_000
 FIT_PARTITIONS = 2  # the samples are bounded, and an iteration is one small job
 ROUNDS = 2
-SHARE = 0.1  # of the pool that a view labels in a round
 CONFIDENT = 0.95
 REG = 4e-4  # absolute values: few of the words tell anything
 VOCABULARY = 1 << 16
@@ -138,67 +140,105 @@ def sigmoid(x: float) -> float:
     return 1 / (1 + math.exp(-max(-700.0, min(700.0, x))))
 
 
-def samples(docs: DataFrame, labels: DataFrame, max_labelled: int, max_pool: int) -> DataFrame:
-    """(doc_id, good, aside, text, page): labelled documents and the pool (good is null)."""
-    known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(
+def judged(labels: DataFrame) -> DataFrame:
+    """(_id, good) of every labelled id."""
+    return labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(
         (F.min((F.col("quality") == 1).cast("int")) * (1 - F.max((F.coalesce("toxic", F.lit(0)) == 1).cast("int")))).alias("good"))
-    order = F.xxhash64(F.lit(17), "_id")
-    docs = docs.select("doc_id", "text", "lang", "source", "n_chars")
-    ids = docs.select(F.col("doc_id").cast("long").alias("_id")).where("_id is not null").distinct()
-    chosen = known.join(ids, "_id").orderBy(order, "_id").limit(max_labelled)
-    pool = ids.join(known, "_id", "left_anti").orderBy(order, "_id").limit(max_pool).withColumn("good", F.lit(None).cast("int"))
-    # at most max_labelled + max_pool ids
-    wanted = F.broadcast(chosen.unionByName(pool).withColumn("aside", F.col("good").isNotNull() & (F.pmod(F.xxhash64(F.lit(5), "_id"), F.lit(5)) == 0)))
-    rows = docs.join(wanted, F.col("doc_id") == F.col("_id")).dropDuplicates(["_id"]).select(
-        F.col("doc_id").cast("long").alias("doc_id"), "good", "aside", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("n_chars").cast("long").alias("n_chars"))
-    return rows.mapInArrow(_tokenised, "doc_id long, good int, aside boolean, text array<string>, page array<string>")
-
-
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_pool: int = MAX_POOL, rounds: int = ROUNDS, share: float = SHARE, reg: float = REG) -> CoTrained:
+
+
+def readable(docs: DataFrame) -> DataFrame:
+    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).cast("string").alias(c) for c in ("text", "lang", "source")], F.col("n_chars").cast("long").alias("n_chars"))
+
+
+def tokenised(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, good, aside, text, page) of the ids in ``wanted``, a bounded table (_id, good, aside)."""
+    rows = docs.join(F.broadcast(wanted), F.col("doc_id") == F.col("_id")).drop("_id")
+    first = F.struct(F.xxhash64("text"), F.xxhash64("lang", "source", "n_chars"))
+    one = rows.groupBy("doc_id").agg(F.min_by(F.struct(*[c for c in rows.columns if c != "doc_id"]), first).alias("r")).select("doc_id", "r.*")
+    return one.mapInArrow(_tokenised, "doc_id long, good int, aside boolean, text array<string>, page array<string>")
+
+
+def _confident(views: dict[str, View], bar: float):
+    """(doc_id, view, good, p) of every document that a view is sure of."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for doc, t, *rest in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "lang", "source", "n_chars"))):
+                for view, tokens in (("text", text_tokens(t)), ("page", page_tokens(t, *rest))):
+                    p = sigmoid(views[view].margin(tokens))
+                    if max(p, 1 - p) >= bar:
+                        out.append((doc, view, int(p >= 0.5), max(p, 1 - p)))
+            cols = list(zip(*out)) or [()] * 4
+            kinds = [pa.int64(), pa.string(), pa.int32(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "view", "good", "p"])
+
+    return run
+
+
+def pseudo_labels(docs: DataFrame, known: DataFrame, views: dict[str, View], most: dict[int, int], given: set[int]) -> dict[str, dict[int, float]]:
+    """For each view the labels of its most confident documents, at most
+    ``most[label]`` of them, out of all that have no label and were not given."""
+    sure = docs.mapInArrow(_confident(views, CONFIDENT), "doc_id long, view string, good int, p double")
+    new = sure.join(known.select(F.col("_id").alias("doc_id")), "doc_id", "left_anti")
+    new = new.groupBy("doc_id", "view", "good").agg(F.max("p").alias("p"))  # an id may have several texts, and two labels
+    ranked = top_per_group(new, ["view", "good"], [F.desc("p"), F.asc(F.xxhash64("doc_id")), F.asc("doc_id")], 2 * max(most.values()) + len(given))
+    out: dict[str, dict[int, float]] = {v: {} for v in VIEWS}
+    left = {(v, g): most[g] for v in VIEWS for g in (0, 1)}
+    for r in ranked.orderBy("view", "good", "rn").toArrow().to_pylist():  # at most four times that many rows
+        if left[r["view"], r["good"]] and r["doc_id"] not in given and r["doc_id"] not in out[r["view"]]:
+            out[r["view"]][r["doc_id"]] = float(r["good"])
+            left[r["view"], r["good"]] -= 1
+    return out
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_given: int = MAX_GIVEN, rounds: int = ROUNDS, reg: float = REG) -> CoTrained:
     spark = docs.sparkSession
     text_batches(spark)
-    at = scratch_path(spark, "cotrain")
-    samples(docs, labels, max_labelled, max_pool).write.parquet(at)
-    rows = spark.read.parquet(at)
-    seen = dict(rows.where("good is not null").groupBy("good").count().collect())
+    docs = readable(docs)
+
+    def table(rows: DataFrame, name: str) -> DataFrame:
+        at = scratch_path(spark, name)
+        rows.write.parquet(at)
+        return spark.read.parquet(at)
+
+    known = table(judged(labels), "judged")
+    chosen = known.join(docs.select(F.col("doc_id").alias("_id")).distinct(), "_id").orderBy(F.xxhash64(F.lit(17), "_id"), "_id").limit(max_labelled)
+    rows = table(tokenised(docs, chosen.withColumn("aside", F.pmod(F.xxhash64(F.lit(5), "_id"), F.lit(5)) == 0)), "labelled")
+    seen = dict(rows.groupBy("good").count().collect())
     n0, n1 = seen.get(0, 0), seen.get(1, 0)
     if not n0 or not n1:
         return CoTrained(None, 1.0 if not n0 else 0.0)
     prior = n1 / (n0 + n1)
-    train = "good is not null and not aside"
     words: dict[str, CountVectorizerModel] = {}
     least = MIN_DOCS if n0 + n1 >= FEW else 1
     for v in VIEWS:
-        words[v] = CountVectorizer(inputCol=v, outputCol=f"{v}_v", binary=True, vocabSize=VOCABULARY, minDF=least).fit(rows.where(train))
-        rows = words[v].transform(rows)
-    vectors_at = scratch_path(spark, "vectors")
-    rows.select("doc_id", "good", "aside", *[f"{v}_v" for v in VIEWS]).repartition(FIT_PARTITIONS).write.parquet(vectors_at)
-    vectors = spark.read.parquet(vectors_at).persist()
-    own = vectors.where(train).withColumn("y", F.col("good").cast("double"))
-    pool = vectors.where("good is null")
-    training, models = dict.fromkeys(VIEWS, own), {}
-    for _ in range(rounds):
-        models = {v: _fit(training[v], v, reg) for v in VIEWS}
-        given = {}
+        words[v] = CountVectorizer(inputCol=v, outputCol=f"{v}_v", binary=True, vocabSize=VOCABULARY, minDF=least).fit(rows.where("not aside"))
+
+    def vectors(tokens: DataFrame, name: str) -> DataFrame:
         for v in VIEWS:
-            scored = models[v].transform(pool).select("doc_id", F.get(vector_to_array("probability"), F.lit(1)).alias("p")).toArrow()  # at most max_pool rows
-            ids, p = scored.column("doc_id").to_numpy(), scored.column("p").to_numpy()
-            most = int(share * len(ids))
-            best = ids[np.lexsort((ids, -p))[: int(most * prior)]], ids[np.lexsort((ids, p))[: int(most * (1 - prior))]]
-            good, bad = set(ids[p >= CONFIDENT]), set(ids[p <= 1 - CONFIDENT])
-            given[v] = {int(i): 1.0 for i in best[0] if i in good} | {int(i): 0.0 for i in best[1] if i in bad}
-        if not any(given.values()):
+            tokens = words[v].transform(tokens)
+        return table(tokens.select("doc_id", "good", "aside", F.col("good").cast("double").alias("y"), *[f"{v}_v" for v in VIEWS]).coalesce(FIT_PARTITIONS), name)
+
+    own = vectors(rows, "vectors")
+    training = {v: own.where("not aside").select("y", f"{v}_v") for v in VIEWS}
+    given: set[int] = set()
+    most = {1: int(max_given * prior), 0: int(max_given * (1 - prior))}
+    for number in range(rounds + 1):
+        models = {v: _fit(training[v], v, reg) for v in VIEWS}
+        views = {v: View({w.encode("latin-1"): float(c) for w, c in zip(words[v].vocabulary, models[v].coefficients.toArray()) if c}, float(models[v].intercept)) for v in VIEWS}
+        if number == rounds:
+            break
+        found = pseudo_labels(docs, known, views, most, given)
+        if not any(found.values()):
             break
+        given |= {i for g in found.values() for i in g}
         for v, other in zip(VIEWS, VIEWS[::-1]):
-            if given[v]:
-                named = F.broadcast(spark.createDataFrame(list(given[v].items()), "doc_id long, y double"))
-                training[other] = training[other].unionByName(pool.join(named, "doc_id").select(*training[other].columns))
-        taken = sorted({i for g in given.values() for i in g})
-        pool = pool.join(F.broadcast(spark.createDataFrame([(i,) for i in taken], "doc_id long")), "doc_id", "left_anti")
-    models = {v: _fit(training[v], v, reg) for v in VIEWS}
-    views = {v: View({w.encode("latin-1"): float(c) for w, c in zip(words[v].vocabulary, models[v].coefficients.toArray()) if c}, float(models[v].intercept)) for v in VIEWS}
+            if found[v]:
+                named = spark.createDataFrame([(i, int(y), False) for i, y in found[v].items()], "_id long, good int, aside boolean")
+                training[other] = training[other].unionByName(vectors(tokenised(docs, named), "given").select("y", f"{other}_v"))
     fitted = CoTrained(views, prior)
-    aside = vectors.where("good is not null and aside")
+    aside = own.where("aside")
     for v in VIEWS:
         models[v].setProbabilityCol("").setPredictionCol("").setRawPredictionCol(f"{v}_m")
         aside = models[v].transform(aside)
@@ -211,7 +251,6 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ma
             views[v].scale, views[v].shift = platt(margins, good)
             odds += views[v].scale * margins + views[v].shift
         fitted.scale, fitted.shift = platt(odds - math.log(prior / (1 - prior)), good)
-    vectors.unpersist()
     return fitted
 
 

@@ -37,3 +37,23 @@ def test_a_rare_telling_word_gets_a_weight(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     labels = spark.createDataFrame([(i, 1, int(i % 350 == 9)) for i in range(2000)], "doc_id long, quality int, toxic int")
     assert cotrain.fit(df, labels).views["text"].weights.get(b"vile", 0.0) < 0
+
+
+def test_equal_ids_and_order(spark):
+    """Of two texts of one id always the same one trains; pseudo-labels come
+    from all unlabelled documents, the most confident first."""
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i % 300, " ".join(rng.choice(words, 12)) + (" awful" if i % 3 == 0 else " fine"), "en", "a" if i % 3 else "b", 80) for i in range(900)]
+    labels = spark.createDataFrame([(i, int(i % 3 != 0), 0) for i in range(200)], "doc_id long, quality int, toxic int")
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    fits = [cotrain.fit(spark.createDataFrame(order, kind), labels) for order in (rows, rows[::-1])]
+    a, b = (m.views["text"].weights for m in fits)
+    assert a.keys() == b.keys() and all(abs(a[w] - b[w]) < 1e-9 for w in a) and abs(fits[0].shift - fits[1].shift) < 1e-9
+    df, known = cotrain.readable(spark.createDataFrame(rows, kind)), cotrain.judged(labels)
+    views = {"text": cotrain.View({b"fine": 9.0, b"w1": 0.5}, -4.0), "page": cotrain.View({}, 0.0)}
+    found = cotrain.pseudo_labels(df, known, views, {1: 10, 0: 5}, {200, 201})
+    assert found["page"] == {} and sorted(found["text"].values()) == [0.0] * 5 + [1.0] * 10
+    assert all(200 < i < 300 and i not in (200, 201) and y == (i % 3 != 0) for i, y in found["text"].items())
+    best = {i for i, t, *_ in rows if i > 201 and "fine" in t and "w1 " in t}
+    assert {i for i, y in found["text"].items() if y} <= best
