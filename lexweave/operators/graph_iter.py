@@ -1,8 +1,8 @@
 """Iterative graph operators as rounds of joins.
 
-Each round cuts its lineage with a reliable checkpoint, so plans stay short
-and a lost executor only repeats the current round.  Convergence is a count on
-the cut table.  Joins meet an edge table with a node table of unique keys, so a
+Each round cuts its lineage with a reliable checkpoint or a table in the shared
+folder, so plans stay short and a lost executor only repeats the current round.
+Convergence is a count on the cut table.  Joins meet an edge table with a node table of unique keys, so a
 hub skews only the edge side, which the adaptive skew join splits.
 """
 
@@ -13,7 +13,7 @@ import itertools
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, written
 from .graph import both_ways, nodes_of
 
 
@@ -47,7 +47,7 @@ def _grown(done: DataFrame, frontier: DataFrame, round_no: int) -> DataFrame:
     """Visited rows plus a frontier that is already cut: a short union, folded
     into one checkpoint every few rounds."""
     both = done.unionByName(frontier)
-    return cut(both) if round_no % 6 == 0 else both
+    return written(both) if round_no % 6 == 0 else both
 
 
 def component_sizes(comp: DataFrame) -> DataFrame:
@@ -84,11 +84,11 @@ def pagerank(
     on until the ranks change by less than ``tol`` per node; if they don't within
     ``rounds``, that is an error.
     """
-    everyone = cut(nodes_of(edges, nodes))
+    everyone = written(nodes_of(edges, nodes))
     n = everyone.count()
     links = both_ways(edges)
     strength = links.groupBy("node").agg(F.sum("weight").alias("s"))
-    step = cut(links.join(strength, "node").select("node", "nbr", (F.col("weight") / F.col("s")).alias("p")))
+    step = written(links.join(strength, "node").select("node", "nbr", (F.col("weight") / F.col("s")).alias("p")))
     linked = strength.select("node")
     alone = everyone.join(linked, "node", "left_anti")
     n_alone = alone.count()
@@ -100,7 +100,7 @@ def pagerank(
             (F.lit(base) + F.lit(alpha) * F.sum(F.col("rank") * F.col("p"))).alias("rank"))
         lone = base
         if i % check_every == 0 or i == rounds:
-            new = cut(new)
+            new = written(new)
             moved = new.join(rank.withColumnRenamed("rank", "old"), "node").agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
             if (moved or 0.0) < n * tol:
                 rank = new
@@ -119,19 +119,19 @@ def eigenvector(edges: DataFrame, rounds: int = 1000, tol: float = 1e-9, check_e
     than ``tol`` in ``check_every`` rounds; if it doesn't within ``rounds``, that
     is an error.
     """
-    links = cut(both_ways(edges).select("node", "nbr", F.col("weight").cast("double").alias("w")))
+    links = written(both_ways(edges).select("node", "nbr", F.col("weight").cast("double").alias("w")))
     scale = links.groupBy("node").agg(F.sum("w").alias("s")).agg(F.max("s")).first()[0] or 1.0
     loops = links.select("node").distinct().select("node", F.col("node").alias("nbr"), F.lit(1.0).alias("w"))
-    step = cut(links.unionByName(loops).withColumn("w", F.col("w") / F.lit(float(scale))))
+    step = written(links.unionByName(loops).withColumn("w", F.col("w") / F.lit(float(scale))))
     x, unit, last = loops.select("node", F.lit(1.0).alias("x")), loops.select("node", F.lit(1.0).alias("eigenvector")), None
     for i in range(1, rounds + 1):
         x = step.join(x, "node").groupBy(F.col("nbr").alias("node")).agg(F.sum(F.col("w") * F.col("x")).alias("x"))
         if i % check_every and i < rounds:
             continue
-        x = cut(x)
+        x = written(x)
         unit = x.select("node", (F.col("x") / x.agg(F.sqrt(F.sum(F.col("x") * F.col("x")))).scalar()).alias("eigenvector"))
         # the last unit vector starts the next rounds, so numbers stay near 1
-        x = unit = cut(unit)
+        x = unit = written(unit)
         if last is not None:
             moved = unit.join(last, "node").agg(F.sqrt(F.sum(F.pow(F.col("eigenvector") - F.col("old"), 2)))).first()[0]
             if (moved or 0.0) < tol:
@@ -144,12 +144,12 @@ def eigenvector(edges: DataFrame, rounds: int = 1000, tol: float = 1e-9, check_e
 
 def hop_distances(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """Hops from the nearest source; unreachable nodes are absent."""
-    links = cut(both_ways(edges.withColumn("weight", F.lit(1))).select("node", "nbr"))
-    frontier = cut(sources.select("node").distinct())
+    links = written(both_ways(edges.withColumn("weight", F.lit(1))).select("node", "nbr"))
+    frontier = written(sources.select("node").distinct())
     done = frontier.withColumn("hops", F.lit(0))
     for hop in itertools.count(1):
         nxt = links.join(frontier, "node", "left_semi").select(F.col("nbr").alias("node")).distinct()
-        frontier = cut(nxt.join(done, "node", "left_anti"))
+        frontier = written(nxt.join(done, "node", "left_anti"))
         if frontier.isEmpty():
             break
         done = _grown(done, frontier.withColumn("hops", F.lit(hop)), hop)
@@ -163,8 +163,8 @@ def local_reach(edges: DataFrame, targets: DataFrame, cutoff: int) -> DataFrame:
     seen = frontier.withColumn("hops", F.lit(0))
     for hop in range(1, cutoff + 1):
         nxt = frontier.join(links, "node").select("target", F.col("nbr").alias("node")).distinct()
-        frontier = cut(nxt.join(seen, ["target", "node"], "left_anti"))
-        seen = cut(seen.unionByName(frontier.withColumn("hops", F.lit(hop))))
+        frontier = written(nxt.join(seen, ["target", "node"], "left_anti"))
+        seen = written(seen.unionByName(frontier.withColumn("hops", F.lit(hop))))
     return seen
 
 
@@ -187,8 +187,8 @@ def core_numbers(edges: DataFrame) -> DataFrame:
     The h-index works on counts of distinct neighbour values, which are few
     even for a hub.
     """
-    links = cut(both_ways(edges).select("node", "nbr"))
-    state = cut(links.groupBy("node").agg(F.count("*").alias("k")))
+    links = written(both_ways(edges).select("node", "nbr"))
+    state = written(links.groupBy("node").agg(F.count("*").alias("k")))
     w = Window.partitionBy("node").orderBy(F.desc("v")).rowsBetween(Window.unboundedPreceding, 0)
 
     def lower(now: DataFrame) -> DataFrame:
@@ -198,7 +198,7 @@ def core_numbers(edges: DataFrame) -> DataFrame:
 
     while True:
         # two rounds per checkpoint: values only fall, so equality after both means done
-        moved = cut(lower(lower(state)).join(state.withColumnRenamed("k", "old"), "node"))
+        moved = written(lower(lower(state)).join(state.withColumnRenamed("k", "old"), "node"))
         done = moved.where("k <> old").isEmpty()
         state = moved.select("node", "k")
         if done:
@@ -223,12 +223,12 @@ def label_communities(edges: DataFrame, rounds: int) -> DataFrame:
     changing, and the result is the labels after that many rounds.  Deterministic, but not the partition a modularity
     optimiser would give.
     """
-    links = cut(both_ways(edges).select("node", "nbr", F.col("weight").cast("double").alias("w")))
-    state = cut(links.select("node").distinct().withColumn("label", F.col("node")))
+    links = written(both_ways(edges).select("node", "nbr", F.col("weight").cast("double").alias("w")))
+    state = written(links.select("node").distinct().withColumn("label", F.col("node")))
     for i in range(rounds):
         turn = F.conv(F.substring(F.md5(F.col("node").cast("string")), 1, 4), 16, 10).cast("int") % 2 == i % 2
         votes = links.join(state.select(F.col("node").alias("nbr"), "label"), "nbr").select("node", "label", "w").unionByName(
             state.select("node", "label", F.lit(1.0).alias("w")))
         best = votes.groupBy("node", "label").agg(F.sum("w").alias("w")).groupBy("node").agg(F.max(F.struct("w", "label")).alias("b"))
-        state = cut(state.join(best, "node").select("node", F.when(turn, F.col("b.label")).otherwise(F.col("label")).alias("label")))
+        state = written(state.join(best, "node").select("node", F.when(turn, F.col("b.label")).otherwise(F.col("label")).alias("label")))
     return state

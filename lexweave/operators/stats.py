@@ -249,15 +249,18 @@ def kde(df: DataFrame, group: str, value: str, points: int = 140, pad: float = 2
 
 
 def lpm_slope(df: DataFrame, x: str, y: str, category: str) -> DataFrame:
-    """Slope of y on x with category dummies, by within-category demeaning."""
+    """Slope of y on x with category dummies, by within-category demeaning, and
+    the R² of the whole model."""
     g = df.groupBy(category).agg(
         F.count("*").alias("n"), F.avg(x).alias("mx"), F.avg(y).alias("my"),
         F.regr_sxx(y, x).alias("sxx"), F.regr_sxy(y, x).alias("sxy"), F.regr_syy(y, x).alias("syy"))
-    s = g.agg(F.sum("n").alias("n"), F.count("*").alias("k"), F.sum("sxx").alias("sxx"), F.sum("sxy").alias("sxy"), F.sum("syy").alias("syy"))
+    s = g.agg(F.sum("n").alias("n"), F.count("*").alias("k"), F.sum("sxx").alias("sxx"), F.sum("sxy").alias("sxy"), F.sum("syy").alias("syy"),
+        (F.sum("syy") + F.sum(F.col("n") * F.col("my") * F.col("my")) - F.pow(F.sum(F.col("n") * F.col("my")), F.lit(2)) / F.sum("n")).alias("sst"))
     dof = F.col("n") - F.col("k") - 1
     slope = F.col("sxy") / F.col("sxx")
     sse = F.col("syy") - slope * F.col("sxy")
     ok = (F.col("sxx") > 0) & (dof > 0)
     return s.select(
         "n", F.col("k").alias("categories"), F.when(ok, slope).alias("slope"),
-        F.when(ok, F.sqrt(sse / dof / F.col("sxx"))).alias("stderr"), dof.alias("dof"))
+        F.when(ok, F.sqrt(sse / dof / F.col("sxx"))).alias("stderr"), dof.alias("dof"),
+        F.when(ok & (F.col("sst") > 0), 1 - sse / F.col("sst")).alias("r2"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numbers import length_bin
-from ..session import cut
+from ..session import cut, written
 from .pairs import pairs_within
 from .scan import md5_key, top_per_group
 
@@ -58,6 +58,38 @@ def morphosyntax_counts(tokens: DataFrame, unit: Sequence[str], sentence: Sequen
     return per_token.unionByName(bins.select(*unit, label.alias("feature"))).groupBy(*unit, "feature").agg(F.count("*").alias("n"))
 
 
+def dependency_paths(tokens: DataFrame, sentence: Sequence[str]) -> DataFrame:
+    """(sentence…, index, path, steps): the ``deprel-upos`` steps from the
+    sentence's root down to every token.
+
+    Pointer doubling: a token takes over its ancestor's ancestor and path, so
+    rounds grow with the logarithm of the depth, and no sentence is gathered.  A
+    head of 0 or null is the root's.  A token under a missing head or inside or
+    below a cycle has no path (null).  Of tokens with one index the first by
+    head, relation and part of speech counts.
+    """
+    keys = list(sentence)
+    step = F.struct(F.coalesce("head", F.lit(0)).alias("up"), F.concat_ws("-", F.coalesce("deprel", F.lit("")), F.coalesce("upos", F.lit(""))).alias("path"))
+    state = written(tokens.groupBy(*keys, "index").agg(F.min(step).alias("_s")).select(*keys, "index", F.col("_s.up").cast("long").alias("up"), "_s.path", F.lit(1).alias("steps")))
+    longest = state.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    whole, open_ = state.where("up = 0"), state.where("up <> 0")
+    # after this many doublings a path would have more steps than the sentence has tokens
+    for _ in range(int(longest).bit_length()):
+        if open_.isEmpty():
+            break
+        above = whole.unionByName(open_).select(*keys, F.col("index").alias("up"), F.col("up").alias("_up"), F.col("path").alias("_path"), F.col("steps").alias("_steps"))
+        state = written(whole.unionByName(open_.join(above, [*keys, "up"]).select(
+            *keys, "index", F.col("_up").alias("up"), F.concat_ws(">", "_path", "path").alias("path"), (F.col("_steps") + F.col("steps")).alias("steps"))))
+        whole, open_ = state.where("up = 0"), state.where("up <> 0")
+    return tokens.select(*keys, "index").distinct().join(whole.drop("up"), [*keys, "index"], "left")
+
+
+def path_counts(tokens: DataFrame, unit: Sequence[str], sentence: Sequence[str]) -> DataFrame:
+    """(unit…, feature, n) of the tokens' dependency paths; ``malformed`` counts tokens without one."""
+    sent = list(dict.fromkeys([*unit, *sentence]))
+    return dependency_paths(tokens, sent).groupBy(*unit, F.coalesce("path", F.lit("malformed")).alias("feature")).agg(F.count("*").alias("n"))
+
+
 def function_words(tokens: DataFrame, unit: Sequence[str], upos_set: Sequence[str] = FUNCTION_UPOS) -> DataFrame:
     """Function-word profile counts from (upos, form, deprel) tokens."""
     upos, rel, form = F.upper("upos"), F.lower(F.coalesce("deprel", F.lit(""))), F.lower("form")

@@ -129,10 +129,10 @@ def i7(spark, d):
 
 @query("I8_linear_probability", f"""WITH b AS (SELECT CAST(substr(source, 4) AS DOUBLE) AS x, quality AS y, lang FROM documents JOIN labels USING (doc_id)),
 g AS (SELECT x - avg(x) OVER (PARTITION BY lang) AS dx, y - avg(y) OVER (PARTITION BY lang) AS dy, lang FROM b), s AS (SELECT count(*) AS n, count(DISTINCT lang) AS k, sum(dx * dx) AS xx, sum(dx * dy) AS xy, sum(dy * dy) AS yy FROM g)
-SELECT n, k AS categories, round(xy / xx, 6) AS slope, round(sqrt((yy - xy * xy / xx) / (n - k - 1) / xx), 6) AS stderr, n - k - 1 AS dof, round({t_sql("(xy / xx) / sqrt((yy - xy * xy / xx) / (n - k - 1) / xx)", "n - k - 1")}, 6) AS p_value FROM s""")
+SELECT n, k AS categories, round(xy / xx, 6) AS slope, round(sqrt((yy - xy * xy / xx) / (n - k - 1) / xx), 6) AS stderr, n - k - 1 AS dof, round(1 - (yy - xy * xy / xx) / (SELECT var_pop(y) * count(*) FROM b), 6) AS r2, round({t_sql("(xy / xx) / sqrt((yy - xy * xy / xx) / (n - k - 1) / xx)", "n - k - 1")}, 6) AS p_value FROM s""")
 def i8(spark, d):
     b = bucket_docs(spark, d).select(F.col("book").cast("double").alias("x"), F.col("quality").cast("double").alias("y"), "lang")
-    return stats.lpm_slope(b, "x", "y", "lang").select("n", "categories", r6("slope").alias("slope"), r6("stderr").alias("stderr"), "dof", r6(t_two_sided(F.col("slope") / F.col("stderr"), F.col("dof"))).alias("p_value"))
+    return stats.lpm_slope(b, "x", "y", "lang").select("n", "categories", r6("slope").alias("slope"), r6("stderr").alias("stderr"), "dof", r6("r2").alias("r2"), r6(t_two_sided(F.col("slope") / F.col("stderr"), F.col("dof"))).alias("p_value"))
 
 
 _LEN = "v AS (SELECT source AS g, CAST(n_chars AS DOUBLE) AS v FROM documents)"

@@ -10,6 +10,7 @@ from ..sources import text as marked
 from ..sources.tables import scan, table
 from .base import LINES_SQL, PART_PAIRS_SQL, book, part_members
 from .registry import query
+from ..operators import graph_iter
 from ..operators.pairs import pairs_within
 
 
@@ -210,11 +211,18 @@ def a11(spark, d):
     return spark.read.schema(out.schema).csv(path, header=True, escape='"')
 
 
+#: smallest names, carried over edges until they stay (the graph's diameter is below eight)
+_NAMED = ", ".join(
+    ["n0 AS MATERIALIZED (SELECT DISTINCT node, node AS c FROM members)", "l AS MATERIALIZED (SELECT src AS node, dst AS nbr FROM pair_edges UNION ALL SELECT dst, src FROM pair_edges)"]
+    + [f"n{i + 1} AS MATERIALIZED (SELECT node, min(c) AS c FROM (FROM n{i} UNION ALL SELECT l.node, c FROM l JOIN n{i} ON n{i}.node = l.nbr) GROUP BY node)" for i in range(8)])
+
+
 @query(
     "A12_graph_json_sink",
-    f"""WITH {PART_PAIRS_SQL}
+    f"""WITH {PART_PAIRS_SQL}, {_NAMED}
 SELECT 'link' AS kind, src AS id, dst AS target, weight FROM pair_edges
-UNION ALL SELECT 'node', node, NULL, count(*) FROM members GROUP BY node""",
+UNION ALL SELECT 'node', node, NULL, count(*) FROM members GROUP BY node
+UNION ALL SELECT 'component', c, NULL, count(*) FROM n8 GROUP BY c""",
 )
 def a12(spark, d):
     path = scratch_path(spark, "graph")
@@ -222,12 +230,17 @@ def a12(spark, d):
     links = pairs_within(m, ["ctx"], "node").groupBy(
         F.col("node_a").alias("source"), F.col("node_b").alias("target")).agg(F.count("*").alias("weight"))
     nodes = m.groupBy(F.col("node").alias("id")).agg(F.count("*").alias("contexts"))
-    sinks.write_graph_json(nodes, links, nodes.groupBy().agg(F.count("*").alias("nodes")), path)
+    # the third file: every component with its number of nodes
+    found = graph_iter.components(links.select(F.col("source").alias("src"), F.col("target").alias("dst")), nodes.select(F.col("id").alias("node")))
+    parts = found.groupBy("component").agg(F.count("*").alias("nodes"))
+    sinks.write_graph_json(nodes, links, parts, path)
+    c = spark.read.schema(parts.schema).json(f"{path}/components").select(
+        F.lit("component").alias("kind"), F.col("component").alias("id"), F.lit(None).cast("long").alias("target"), F.col("nodes").alias("weight"))
     n = spark.read.schema(nodes.schema).json(f"{path}/nodes").select(
         F.lit("node").alias("kind"), "id", F.lit(None).cast("long").alias("target"), F.col("contexts").alias("weight"))
     e = spark.read.schema(links.schema).json(f"{path}/links").select(
         F.lit("link").alias("kind"), F.col("source").alias("id"), "target", "weight")
-    return n.unionByName(e)
+    return n.unionByName(e).unionByName(c)
 
 
 @query(

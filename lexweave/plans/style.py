@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import audit, quality, spelling, stats, style, terms
+from ..operators import audit, permute, quality, spelling, stats, style, terms
 from ..operators.scan import top_per_group
 from ..session import scratch_path
 from ..sources.tables import resolve, table
@@ -54,6 +54,13 @@ def k2(spark, d):
     return style.morphosyntax_counts(syntax(spark, d), ["unit"], ["sentence"])
 
 
+@query("K2_dependency_paths", f"""WITH RECURSIVE t AS (SELECT l_orderkey AS s, l_linenumber AS i, min({{'h': CAST(l_partkey % 6 AS BIGINT), 'p': CASE WHEN l_linestatus = 'O' THEN 'obj' ELSE 'nsubj' END || '-' || {UPOS_SQL}}}) AS x FROM lineitem GROUP BY ALL),
+w(s, i, up, path, depth) AS (SELECT s, i, x.h, x.p, 1 FROM t UNION ALL SELECT w.s, w.i, t.x.h, t.x.p || '>' || w.path, depth + 1 FROM w JOIN t ON t.s = w.s AND t.i = w.up WHERE w.up <> 0 AND depth < 9)
+SELECT t.s % 50 AS unit, coalesce(path, 'malformed') AS feature, count(*) AS n FROM t LEFT JOIN (SELECT * FROM w WHERE up = 0) r ON r.s = t.s AND r.i = t.i GROUP BY ALL""")
+def k2b(spark, d):
+    return style.path_counts(syntax(spark, d), ["unit"], ["sentence"])
+
+
 _COUNTS = f"{TOKENS_SQL}, counts AS (SELECT source AS unit, term AS feature, count(*) AS n FROM tokens GROUP BY ALL), sel AS (SELECT feature, CAST(sum(n) AS BIGINT) AS total FROM counts GROUP BY ALL HAVING sum(n) >= 2 ORDER BY total DESC, feature LIMIT 150)"
 _REL = _COUNTS + ", rel AS (SELECT unit, feature, n / t AS v FROM counts JOIN (SELECT unit, sum(n) AS t FROM counts GROUP BY ALL) USING (unit) WHERE feature IN (SELECT feature FROM sel)), un AS (SELECT unit, feature, v / sqrt(sum(v * v) OVER (PARTITION BY unit)) AS u FROM rel)"
 
@@ -125,6 +132,28 @@ def k7b(spark, d):
     return out.select("feature", *[r6(c, 9).alias(c) for c in ("positive_mean", "negative_mean", "delta")])
 
 
+@query("K7_span_permutation", """WITH r AS (SELECT lang, doc_id, CAST(n_chars AS DOUBLE) AS v, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS pos, count(*) OVER (PARTITION BY lang) AS n, sum(CAST(n_chars AS DOUBLE)) OVER (PARTITION BY lang) AS total, sum(CAST(n_chars AS DOUBLE)) OVER (PARTITION BY lang ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS cum FROM documents),
+sp AS (SELECT lang, min(pos) FILTER (WHERE s) AS a, count(*) FILTER (WHERE s) AS size FROM (SELECT *, doc_id >= (SELECT 0.2::DOUBLE * max(doc_id) FROM documents) AND doc_id < (SELECT 0.3::DOUBLE * max(doc_id) FROM documents) AS s FROM r) GROUP BY lang),
+g AS (SELECT x.lang, x.pos, a, size, x.n, y.cum - x.cum + x.v + CASE WHEN y.pos < x.pos THEN x.total ELSE 0 END AS w, x.total FROM r x JOIN sp ON sp.lang = x.lang JOIN r y ON y.lang = x.lang AND y.pos = (x.pos + size - 2) % x.n + 1 WHERE size > 0 AND size < x.n),
+q AS (SELECT *, round(w / size - (total - w) / (n - size), 9) AS gap FROM g), o AS (SELECT lang, n, size, gap FROM q WHERE pos = a),
+k AS (SELECT lang, gap, row_number() OVER (PARTITION BY lang ORDER BY md5('span|' || lang || '|' || pos), pos) AS rn FROM q WHERE pos <> a)
+SELECT lang, any_value(o.n) AS "rows", any_value(size) AS span, round(any_value(o.gap), 6) AS difference, count(*) AS shifts, count(*) FILTER (WHERE abs(k.gap) >= abs(o.gap)) AS as_extreme, round((1 + count(*) FILTER (WHERE abs(k.gap) >= abs(o.gap))) / (1 + count(*)), 6) AS p_value FROM k JOIN o USING (lang) WHERE rn <= 199 GROUP BY lang""")
+def k7c(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "lang", "n_chars")
+    top = docs.agg(F.max("doc_id").cast("double")).scalar()
+    out = permute.span_permutation(docs, ["lang"], ["doc_id"], "n_chars", (F.col("doc_id") >= F.lit(0.2) * top) & (F.col("doc_id") < F.lit(0.3) * top), 199)
+    return out.withColumn("difference", r6("difference")).withColumn("p_value", r6("p_value"))
+
+
+@query("K7_bootstrap_intervals", """WITH h AS (SELECT source, CAST(n_chars AS DOUBLE) AS v, r, CAST('0x' || substr(md5('boot|' || (r // 8) || '|' || doc_id), CAST(4 * (r % 8) + 1 AS BIGINT), 4) AS INTEGER) / 65536.0::DOUBLE AS u FROM documents, range(40) t(r)),
+m AS (SELECT source, r, sum(w * v) / sum(w) AS m FROM (SELECT source, v, r, len(list_filter([0.36787944117144233::DOUBLE, 0.7357588823428847::DOUBLE, 0.9196986029286058::DOUBLE, 0.9810118431238462::DOUBLE, 0.9963401531726563::DOUBLE, 0.9994058151824183::DOUBLE, 0.9999167588507119::DOUBLE], lambda p: u >= p)) AS w FROM h) GROUP BY ALL HAVING sum(w) > 0),
+l AS (SELECT source, list_sort(list(m)) AS a, stddev_samp(m) AS s FROM m GROUP BY source)
+SELECT source, n, round(mean, 4) AS mean, round(s, 4) AS stderr, round(a[CAST(floor((len(a) - 1) * 0.025) AS BIGINT) + 1], 4) AS low, round(a[CAST(floor((len(a) - 1) * 0.975) AS BIGINT) + 1], 4) AS high FROM l JOIN (SELECT source, count(*) AS n, avg(CAST(n_chars AS DOUBLE)) AS mean FROM documents GROUP BY source) USING (source)""")
+def k7d(spark, d):
+    out = permute.poisson_bootstrap(table(spark, d, "documents"), ["source"], ["doc_id"], "n_chars", 40)
+    return out.select("source", "n", *[r6(c, 4).alias(c) for c in ("mean", "stderr", "low", "high")])
+
+
 @query("K8_projection_2d")
 def k8(spark, d):
     return style.project_2d(vectors(spark, d))
