@@ -7,7 +7,6 @@ Gram matrices of the feature count reach the driver.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -21,12 +20,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .many_fits import fit_many
 from .scan import md5_key, ordered_scan, top_per_group
 from .terms import features as select_terms
 
 
-FITS_AT_ONCE = 4  # independent models whose jobs share the cluster
-
 # Splits and metrics ------------------------------------------------------
 
 
@@ -174,22 +172,14 @@ def point_scores(docs: DataFrame, points: DataFrame, threshold: Column) -> DataF
 def leave_group_out(docs: DataFrame, group: str, **fit) -> tuple[DataFrame, list[str]]:
     """Predictions for each group from a model trained on all the others.
 
-    The groups are few (books); each is one fit over the shared cached input.
+    The groups are few (books); their models are fitted together.
     """
-    names = [r[0] for r in docs.select(group).distinct().orderBy(group).collect()]
-
-    def fitted(g):
-        return fit_text_model(docs.where(F.col(group) != g), **fit)
-
-    out, skipped = None, []
-    with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
-        for g, model in zip(names, pool.map(fitted, names)):
-            if not model.available:
-                skipped.append(str(g))
-                continue
-            part = model.predict(docs.where(F.col(group) == g)).drop("toks")
-            out = part if out is None else out.unionByName(part)
-    return out, skipped
+    names = [str(r[0]) for r in docs.select(group).where(F.col(group).isNotNull()).distinct().orderBy(group).collect()]
+    own = F.col(group).cast("string")
+    members = docs.select(F.explode(F.array(*map(F.lit, names))).alias("model"), "unit", "label", own.alias("_own")).where("model <> _own").drop("_own")
+    fits = fit_many(docs, members, **fit)
+    predicted = fits.predict(docs, docs.where(own.isNotNull()).select(own.alias("model"), "unit"))
+    return predicted.drop("model").join(docs.drop("toks"), "unit"), fits.skipped
 
 
 def group_metrics_summary(per_group: DataFrame) -> DataFrame:

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import functools
 import math
-from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import models, stats, style, terms
+from ..operators import many_fits, models, stats, style, terms
 from ..session import cut
 from ..sources.tables import table
 from .base import BUCKET_SQL, TOKENS_SQL, doc_lines, doc_terms, doc_words, documents, labelled, r6, tokens
@@ -87,20 +86,26 @@ def h10(spark, d):
     toks = lambda df, c: df.groupBy(F.col("doc_id").alias("unit")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.col(c).alias("t")))), lambda x: x["t"]).alias("toks"))
     meta = documents(spark, d).select(F.col("doc_id").alias("unit"), "book").join(
         table(spark, d, "labels").select(F.col("doc_id").alias("unit"), F.col("quality").alias("label")), "unit")
-    out = None
+    # four token lists of every document, two splits of the documents
+    texts, members, tests = [], [], []
+    splits = {wide: cut(models.holdout(meta if wide else meta.where(~F.col("book").isin(4, 8)), ["unit"], "label", 0.25, "42")) for wide in (True, False)}
     for source, col in (("surface", "term"), ("lemma", "lemma")):
-        base = cut(toks(lem, col).join(meta, "unit"))
-        for wide in (True, False):
-            for extra in (False, True):
-                docs = base if wide else base.where(~F.col("book").isin(4, 8))
-                if extra:
-                    docs = docs.withColumn("toks", terms.drop_stopwords(F.col("toks"), STOP))
-                s = cut(models.holdout(docs, ["unit"], "label", 0.25, "42"))
-                m = models.fit_text_model(s.where("NOT is_test"), MAX_FEATURES)
-                row = models.binary_metrics(m.predict(s.where("is_test")), "label", "predicted").select(
-                    F.lit(source).alias("token_source"), F.lit(wide).alias("all_books"), F.lit(extra).alias("extra_stopwords"), F.lit(len(m.terms)).alias("features"), "n", "accuracy", "balanced_accuracy", "macro_f1")
-                out = row if out is None else out.unionByName(row)
-    return out
+        plain = toks(lem, col).join(meta.select("unit"), "unit")
+        for extra in (False, True):
+            own = F.concat_ws("|", F.lit(source), F.lit(extra), "unit")
+            texts.append(plain.select(own.alias("unit"), (terms.drop_stopwords(F.col("toks"), STOP) if extra else F.col("toks")).alias("toks")))
+            for wide, split in splits.items():
+                model = F.concat_ws("|", F.lit(source), F.lit(wide), F.lit(extra)).alias("model")
+                members.append(split.where("NOT is_test").select(model, own.alias("unit"), "label"))
+                tests.append(split.where("is_test").select(model, own.alias("unit"), "label"))
+    docs, members, tests = (functools.reduce(DataFrame.unionByName, x) for x in (texts, members, tests))
+    docs = cut(docs)
+    # documents without any token have no row in ``docs`` and belong to no model
+    fits = many_fits.fit_many(docs, members.join(docs.select("unit"), "unit"), MAX_FEATURES)
+    tests = tests.join(docs.select("unit"), "unit")
+    row = models.binary_metrics(fits.predict(docs, tests).join(tests, ["model", "unit"]), "label", "predicted", ["model"]).join(fits.coefficients.groupBy("model").agg(F.count("*").cast("int").alias("features")), "model")
+    part = F.split("model", r"\|")
+    return row.select(part[0].alias("token_source"), part[1].cast("boolean").alias("all_books"), part[2].cast("boolean").alias("extra_stopwords"), "features", "n", "accuracy", "balanced_accuracy", "macro_f1")
 
 
 @query("H11_term_field_ablation")
@@ -198,14 +203,8 @@ def h16b(spark, d):
     draws = cut(models.noisy_labels(j.select("unit", "observed"), j.select("observed", "manual"), ("historical", "mythic", "other"), 30, "noise"))
     docs = labelled_docs(spark, d).drop("label")
 
-    def fitted(run: int):
-        lab = draws.where(F.col("run") == run).where("label <> 'other'").select("unit", (F.col("label") == "mythic").cast("int").alias("label"))
-        m = models.fit_text_model(docs.join(lab, "unit"), MAX_FEATURES)
-        return m.coefficients(spark).withColumn("run", F.lit(run)) if m.available else None
-
-    with ThreadPoolExecutor(models.FITS_AT_ONCE) as pool:
-        runs = [c for c in pool.map(fitted, range(30)) if c is not None]
-    out = functools.reduce(DataFrame.unionByName, runs)
+    members = draws.where("label <> 'other'").select(F.col("run").cast("string").alias("model"), "unit", (F.col("label") == "mythic").cast("int").alias("label")).join(docs.select("unit"), "unit")
+    out = many_fits.fit_many(docs, members, MAX_FEATURES).coefficients
     v = F.col("coefficient")
     return out.groupBy("term").agg(
         F.count("*").alias("present"), F.count_if(v > 0).alias("positive"), F.count_if(v < 0).alias("negative"), r6(F.avg(v)).alias("mean"), r6(F.min(v)).alias("lowest"), r6(F.max(v)).alias("highest"),
@@ -232,10 +231,9 @@ def h17b(spark, d):
 @query("H17_cross_validated_model")
 def h17c(spark, d):
     docs = cut(models.folds(labelled_docs(spark, d), ["unit"], "label", 3, "k3"))
-    out = None
-    for f in range(3):
-        p = models.fit_text_model(docs.where(F.col("fold") != f), MAX_FEATURES).predict(docs.where(F.col("fold") == f)).drop("toks")
-        out = p if out is None else out.unionByName(p)
+    members = docs.select(F.explode(F.array(*map(F.lit, "012"))).alias("model"), "unit", "label", "fold").where("model <> string(fold)").drop("fold")
+    fits = many_fits.fit_many(docs, members, MAX_FEATURES)
+    out = fits.predict(docs, docs.select(F.col("fold").cast("string").alias("model"), "unit")).join(docs.select("unit", "label"), "unit")
     return models.binary_metrics(out, "label", "predicted")
 
 
