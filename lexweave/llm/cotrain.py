@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from ..operators.scan import top_per_group
 from ..session import scratch_path
-from .words import text_batches
+from .words import give_back, text_batches
 
 MAX_LABELLED = 20_000
 MAX_GIVEN = 1_000
@@ -164,7 +164,8 @@ def _confident(views: dict[str, View], bar: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc, t, *rest in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "lang", "source", "n_chars"))):
+            for t, doc, *rest in zip(batch.column("text"), *(batch.column(c).to_pylist() for c in ("doc_id", "lang", "source", "n_chars"))):
+                t = t.as_py()
                 for view, tokens in (("text", text_tokens(t)), ("page", page_tokens(t, *rest))):
                     p = sigmoid(views[view].margin(tokens))
                     if max(p, 1 - p) >= bar:
@@ -172,6 +173,7 @@ def _confident(views: dict[str, View], bar: float):
             cols = list(zip(*out)) or [()] * 4
             kinds = [pa.int64(), pa.string(), pa.int32(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "view", "good", "p"])
+            give_back()
 
     return run
 
@@ -269,5 +271,6 @@ def score(docs: DataFrame, model: CoTrained, threshold: float = 0.5) -> DataFram
             found = [model.scores(t.as_py(), *rest) for t, *rest in zip(batch.column(position["text"]), lang, source, n)]
             cols = [pa.array([f[i] for f in found], pa.float64()) for i in range(3)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *cols, pa.array([f[2] >= threshold for f in found], pa.bool_())], names=[*names, "text_score", "page_score", "quality_score", "keep"])
+            give_back()
 
     return docs.mapInArrow(run, f"{fields}, text_score double, page_score double, quality_score double, keep boolean")
