@@ -424,7 +424,7 @@ def j26(spark, d):
     return connect.ubiquity(mem, wide=30).withColumn("mean_ubiquity", r6("mean_ubiquity"))
 
 
-_RARE = "rare AS MATERIALIZED (SELECT DISTINCT l_suppkey AS node, l_partkey AS item FROM lineitem WHERE l_returnflag = 'R'), kin AS (SELECT p_partkey AS item, p_partkey + 1 AS kin_item FROM part UNION ALL SELECT p_partkey + 1, p_partkey FROM part)"
+_KIN = "kin AS (SELECT p_partkey AS item, p_partkey + 1 AS kin_item FROM part UNION ALL SELECT p_partkey + 1, p_partkey FROM part)"
 
 
 def kinship(spark, d):
@@ -432,13 +432,9 @@ def kinship(spark, d):
     return table(spark, d, "part").select(F.inline(F.array(F.struct(k.alias("item"), (k + 1).alias("kin_item")), F.struct((k + 1).alias("item"), k.alias("kin_item")))))
 
 
-def rare_members(spark, d):
-    return table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_suppkey").alias("node"), F.col("l_partkey").alias("item")).distinct()
-
-
-@query("J27_kin_linked_places", f"WITH {_RARE} SELECT DISTINCT a.node, b.node AS nbr FROM rare a JOIN kin ON kin.item = a.item JOIN rare b ON b.item = kin.kin_item WHERE a.node <> b.node AND NOT EXISTS (SELECT 1 FROM rare z WHERE z.node = a.node AND z.item = kin.kin_item)")
+@query("J27_kin_linked_places", f"WITH {_MEM}, {_KIN} SELECT DISTINCT a.node, b.node AS nbr FROM mem a JOIN kin ON kin.item = a.item JOIN mem b ON b.item = kin.kin_item WHERE a.node <> b.node AND NOT EXISTS (SELECT 1 FROM mem z WHERE z.node = a.node AND z.item = kin.kin_item)")
 def j27(spark, d):
-    return connect.kin_links(rare_members(spark, d), kinship(spark, d))
+    return connect.kin_links(places(spark, d)[0], kinship(spark, d))
 
 
 _PROF = """pf AS MATERIALIZED (SELECT node, action, count(*) AS n FROM act GROUP BY ALL), nm AS (SELECT node, sqrt(sum(n * n)) AS s FROM pf GROUP BY ALL), cs AS (SELECT nb.node, nb.nbr, nb.is_hub, coalesce(sum(a.n * b.n) / (any_value(x.s) * any_value(y.s)), 0) AS c FROM nb LEFT JOIN nm x ON x.node = nb.node LEFT JOIN nm y ON y.node = nb.nbr LEFT JOIN pf a ON a.node = nb.node LEFT JOIN pf b ON b.node = nb.nbr AND b.action = a.action GROUP BY nb.node, nb.nbr, nb.is_hub)"""
@@ -545,7 +541,7 @@ def j34b(spark, d):
     hubs = cut(rank.where(F.col("pagerank") >= bar).select("node"))
     links = graph.both_ways(g).select("node", "nbr")
     nb = links.join(hubs.select(F.col("node").alias("nbr"), F.lit(True).alias("is_hub")), "nbr", "left").fillna(False, ["is_hub"])
-    labels = cut(communities.louvain(g).labels)
+    labels = graph_iter.label_communities(g, rounds=5)
     size = graph_iter.component_sizes(graph_iter.components(g, targets)).select("node", F.col("size").alias("component_size"))
     community = labels.join(labels.groupBy("label").agg(F.count("*").alias("community_size")), "label").select("node", "community_size")
     parts = [
