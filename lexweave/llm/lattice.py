@@ -14,7 +14,9 @@ with c, N, V the training counts of the words and q the lattice probability
 
 Words are counted and scored once each, over all documents.  Documents meet the
 scored words in packed messages per (word hash, block of documents), each of
-which returns one packed row of partial sums.
+which returns one packed row of partial sums.  The number of word hashes follows
+the number of words; a task holds the words of one hash and streams the messages
+past them.
 
 Null text counts as empty: one token, the end.  Rows with equal or null doc_id
 are kept apart.  A null doc_id is not held out.  With no training text every
@@ -41,9 +43,18 @@ from .words import BASE, _BYTES, _power, give_back, mix, ragged, text_batches
 
 ROUNDS = 2
 BLOCK_CHARS = 12_000_000
+CHUNK_WORDS = 50_000  # words that go through the recursion together
+PART_WORDS = 250_000  # distinct words of one hash, on average at most
+DICTIONARY = -1  # block number of rows that hold scored words
 MARK = "▁".encode()
 SLOTS = 1 << 18
-_PARTIAL = {"block": pa.int64(), **dict.fromkeys(("docs", "n_known", "score", "base_score"), pa.binary()), "doc_ids": pa.list_(pa.int64()), "held": pa.list_(pa.bool_()), "sizes": pa.list_(pa.int64())}
+_SUMS = ("score", "lattice_score", "base_score")
+_HEADER = {"doc_ids": pa.list_(pa.int64()), "held": pa.list_(pa.bool_()), "sizes": pa.list_(pa.int64())}
+_MESSAGE = {"part": pa.int32(), "block": pa.int64(), **dict.fromkeys(("words", "lens", "n_docs", "docs", "times"), pa.binary()), **_HEADER}
+_PARTIAL = {"block": pa.int64(), **dict.fromkeys(("docs", "n_known", *_SUMS), pa.binary()), **_HEADER}
+_HEADER_DDL = "doc_ids array<long>, held array<boolean>, sizes array<long>"
+_MESSAGE_DDL = f"part int, block long, words binary, lens binary, n_docs binary, docs binary, times binary, {_HEADER_DDL}"
+_PARTIAL_DDL = f"block long, docs binary, n_known binary, {', '.join(f'{c} binary' for c in _SUMS)}, {_HEADER_DDL}"
 
 
 class Pieces:
@@ -85,7 +96,8 @@ def substring_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np
 
 def vocabulary(file: str) -> tuple[list[bytes], np.ndarray]:
     """Distinct pieces as bytes and their first weights: the scores' order as a
-    Zipf law.  All 256 single bytes are there, so every word has a segmentation."""
+    Zipf law.  The mark and all 256 single bytes are there, so every word has a
+    segmentation."""
     model = SentencePieceProcessor(model_file=file)
     score: dict[bytes, float] = {}
     for i in range(model.get_piece_size()):
@@ -93,8 +105,8 @@ def vocabulary(file: str) -> tuple[list[bytes], np.ndarray]:
             piece = model.id_to_piece(i).encode()
             score[piece] = max(score.get(piece, -np.inf), model.get_score(i))
     lowest = min(score.values(), default=0.0)
-    for b in range(256):
-        score.setdefault(bytes([b]), lowest - 1)
+    for piece in (MARK, *(bytes([b]) for b in range(256))):
+        score.setdefault(piece, lowest - 1)
     pieces = list(score)
     rank = np.argsort(np.argsort([-score[p] for p in pieces], kind="stable"), kind="stable")
     weight = 1.0 / (rank + 10.0)
@@ -145,17 +157,33 @@ def _same_length(table: Pieces, logp: np.ndarray, words: list[bytes], size: int,
         for m, row, piece in arcs[i]:
             alpha[i, row] = np.logaddexp(alpha[i, row], alpha[i - m, row] + logp[piece])
     if expected is not None:
-        beta = np.full((size + 1, n), -np.inf)
-        beta[size] = 0
+        # a word's mass goes back along its arcs, in shares of the way it came
+        mass = np.zeros((size + 1, n))
+        mass[size] = counts
+        pieces, uses = [], []
         for i in range(size, 0, -1):
             for m, row, piece in arcs[i]:
-                through = beta[i, row] + logp[piece]
-                use = np.exp(alpha[i - m, row] + through - alpha[size, row]) * counts[row]
-                expected += np.bincount(piece, use, len(expected))
-                beta[i - m, row] = np.logaddexp(beta[i - m, row], through)
+                use = np.exp(alpha[i - m, row] + logp[piece] - alpha[i, row]) * mass[i, row]
+                mass[i - m, row] += use
+                pieces.append(piece)
+                uses.append(use)
+        expected += np.bincount(np.concatenate(pieces), np.concatenate(uses), len(expected))
     return alpha[size]
 
 
+def chunks(batches: Iterator[pa.RecordBatch], size: int = CHUNK_WORDS) -> Iterator[pa.Table]:
+    """The same rows, about ``size`` at a time: the recursion runs over columns
+    of words of one length, and short columns cost more than they hold."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= size:
+            yield pa.Table.from_batches(held)
+            held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def held_out_flag(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 7 == 2
 
@@ -184,8 +212,6 @@ def _messages(parts: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
-        names = ["part", "block", "words", "lens", "n_docs", "docs", "times", "doc_ids", "held", "sizes"]
-        types = [pa.int32(), pa.int64(), *[pa.binary()] * 5, pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64())]
 
         def packed(number: int, local: dict, pairs: list, ids: list, held: list, sizes: list) -> pa.RecordBatch:
             block = (task << 24) + number
@@ -208,7 +234,7 @@ def _messages(parts: int):
                     heads = np.cumsum(n) - n
                     gap[heads] = doc[at][heads]
                     rows.append((p, block, b"".join(words[i] for i in mine), varints(np.array([len(words[i]) for i in mine])), varints(n), varints(gap), varints(times[at]), None, None, None))
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+            return _rows(rows, _MESSAGE)
 
         number, size = 0, 0
         local: defaultdict = defaultdict()
@@ -235,32 +261,63 @@ def _messages(parts: int):
     return run
 
 
+def _rows(rows: list[tuple], fields: dict[str, pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(fields.values())], names=list(fields))
+
+
+def _packed_words(parts: int, words: list[bytes], c: np.ndarray, lp: np.ndarray, lq: np.ndarray) -> pa.RecordBatch:
+    """Scored words by word hash, in the columns of messages: counts in n_docs,
+    log10 of the model's and of the lattice's probability in docs and times."""
+    part = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % parts
+    by = np.argsort(part, kind="stable")
+    cut = np.searchsorted(part[by], np.arange(parts + 1))
+    rows = []
+    for p in np.flatnonzero(np.diff(cut)).tolist():
+        mine = by[cut[p] : cut[p + 1]]
+        own = [words[i] for i in mine.tolist()]
+        rows.append((p, DICTIONARY, b"".join(own), varints(np.array([len(w) for w in own])), varints(c[mine]), lp[mine].tobytes(), lq[mine].tobytes(), None, None, None))
+    return _rows(rows, _MESSAGE)
+
+
+def _split(blob: bytes, lens: bytes) -> Iterator[bytes]:
+    at = 0
+    for end in np.cumsum(from_varints(lens)).tolist():
+        yield blob[at:end]
+        at = end
+
+
 def _partial_sums(base_denominator: float):
-    """Sums over the words of one part, for every document of a block."""
-
-    def run(key: tuple, scored: pa.Table, sent: pa.Table) -> pa.Table:
-        known = dict(zip(scored.column("word").to_pylist(), range(scored.num_rows)))
-        c, lp = scored.column("c").to_numpy(), scored.column("lp").to_numpy()
-        base = np.log10((c + 1.0) / base_denominator)
-        rows = []
-        for r in sent.to_pylist():
-            if r["doc_ids"] is not None:
-                rows.append((r["block"], None, None, None, None, r["doc_ids"], r["held"], r["sizes"]))
-                continue
-            ends = np.cumsum(from_varints(r["lens"])).tolist()
-            blob, at, index = r["words"], 0, []
-            for end in ends:
-                index.append(known[blob[at:end]])
-                at = end
-            n, gap, times = (from_varints(r[k]) for k in ("n_docs", "docs", "times"))
-            heads = np.cumsum(n) - n
-            total = np.cumsum(gap)
-            doc = total - np.repeat(total[heads] - gap[heads], n)
-            word = np.repeat(np.array(index), n)
-            docs, where = np.unique(doc, return_inverse=True)
-            sums = [np.bincount(where, times * w[word], len(docs)) for w in (c > 0, lp, base)]
-            rows.append((r["block"], varints(np.diff(docs, prepend=0)), varints(sums[0]), sums[1].tobytes(), sums[2].tobytes(), None, None, None))
-        return pa.table({k: pa.array([r[i] for r in rows], t) for i, (k, t) in enumerate(_PARTIAL.items())})
+    """Sums over the words of one part, for every document of a block.  Rows come
+    by part, the part's words before its messages."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, known, read, columns = None, {}, [], []
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                if r["part"] != part:
+                    part, known, read, columns = r["part"], {}, [], []
+                if r["block"] == DICTIONARY:
+                    for word in _split(r["words"], r["lens"]):
+                        known[word] = len(known)
+                    read.append((from_varints(r["n_docs"]), np.frombuffer(r["docs"]), np.frombuffer(r["times"])))
+                    continue
+                if r["doc_ids"] is not None:
+                    rows.append((r["block"], *[None] * (2 + len(_SUMS)), r["doc_ids"], r["held"], r["sizes"]))
+                    continue
+                if read:
+                    c, lp, lq = map(np.concatenate, zip(*read))
+                    columns, read = [c > 0, lp, lq, np.log10((c + 1.0) / base_denominator)], []
+                n, gap, times = (from_varints(r[k]) for k in ("n_docs", "docs", "times"))
+                heads = np.cumsum(n) - n
+                total = np.cumsum(gap)
+                doc = total - np.repeat(total[heads] - gap[heads], n)
+                word = np.repeat(np.array([known[w] for w in _split(r["words"], r["lens"])]), n)
+                docs, where = np.unique(doc, return_inverse=True)
+                n_known, *sums = [np.bincount(where, times * w[word], len(docs)) for w in columns]
+                rows.append((r["block"], varints(np.diff(docs, prepend=0)), varints(n_known), *[x.tobytes() for x in sums], None, None, None))
+            yield _rows(rows, _PARTIAL)
+        give_back()
 
     return run
 
@@ -271,20 +328,22 @@ def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for _, group in itertools.groupby(rows, key=lambda r: r["block"]):
         group = list(group)
         head = next(r for r in group if r["doc_ids"] is not None)
-        n_known, score, base = (np.zeros(len(head["doc_ids"])) for _ in range(3))
+        n_known, *sums = (np.zeros(len(head["doc_ids"])) for _ in range(1 + len(_SUMS)))
         for r in group:
             if r["docs"] is not None:
                 at = np.cumsum(from_varints(r["docs"]))
                 n_known[at] += from_varints(r["n_known"])
-                score[at] += np.frombuffer(r["score"])
-                base[at] += np.frombuffer(r["base_score"])
+                for total, name in zip(sums, _SUMS):
+                    total[at] += np.frombuffer(r[name])
         yield pa.RecordBatch.from_arrays(
-            [pa.array(head["doc_ids"], pa.int64()), pa.array(head["held"], pa.bool_()), pa.array(head["sizes"], pa.int64()), pa.array(n_known.astype(np.int64)), pa.array(base), pa.array(score)],
-            names=["doc_id", "held", "size", "n_known", "base_score", "score"])
+            [*[pa.array(head[c], t.value_type) for c, t in _HEADER.items()], pa.array(n_known.astype(np.int64)), *map(pa.array, sums)],
+            names=["doc_id", "held", "size", "n_known", *_SUMS])
 
 
 def score(docs: DataFrame, file: str, held_out: Column | None = None, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row.
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score,
+    lattice_score) for every row; lattice_score is the log10 probability by the
+    lattice alone, without the words' own counts.
 
     ``held_out`` marks rows the model does not learn from (default: the crc32
     fold of the id).  Runs jobs while it is called: counts, and one per round.
@@ -296,7 +355,7 @@ def score(docs: DataFrame, file: str, held_out: Column | None = None, id_col: st
     counts_at = scratch_path(spark, "words")
     texts.select("held", "text").mapInArrow(_counted, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")).write.parquet(counts_at)
     counts = spark.read.parquet(counts_at)
-    total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
+    total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v"), F.count("*").alias("words")).first()
     ends = texts.where(~F.col("held")).count()
     n, v = total["n"] + ends, total["v"] + (ends > 0)
 
@@ -307,10 +366,9 @@ def score(docs: DataFrame, file: str, held_out: Column | None = None, id_col: st
 
         def expect(batches: Iterator[pa.RecordBatch], logp: np.ndarray = logp) -> Iterator[pa.RecordBatch]:
             table, uses = Pieces(pieces), np.zeros(len(pieces))
-            for batch in batches:
-                for at in range(0, batch.num_rows, 20_000):
-                    words = batch.column("word").slice(at, 20_000).to_pylist()
-                    uses += forward(table, logp, words, np.ones(len(words)))[1]
+            for chunk in chunks(batches):
+                words = chunk.column("word").to_pylist()
+                uses += forward(table, logp, words, np.ones(len(words)))[1]
             used = np.flatnonzero(uses > 0)
             yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int64)), pa.array(uses[used])], names=["piece", "uses"])
 
@@ -321,28 +379,30 @@ def score(docs: DataFrame, file: str, held_out: Column | None = None, id_col: st
         weight /= weight.sum()
     logp = np.log(weight)
     # Words start with a marked piece, so the products of weights sum to 1 over all words; the end takes its share.
-    end_share = ends / n if n else 0.5
+    end_share = min(ends / n, n / (n + 1)) if n else 0.5  # words keep a chance where all training texts are empty
+
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total["words"] // PART_WORDS), 1)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Pieces(pieces)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 20_000):
-                part = batch.slice(at, 20_000)
-                log_q = forward(table, logp, part.column("word").to_pylist())[0] + np.log1p(-end_share)
-                if n + v:
-                    with np.errstate(divide="ignore"):
-                        log_q = np.logaddexp(np.log(part.column("c").to_numpy()), np.log(v) + log_q) - np.log(n + v)
-                yield pa.RecordBatch.from_arrays([part.column("word"), part.column("c"), pa.array(log_q / np.log(10))], names=["word", "c", "lp"])
-
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    dictionary = counts.mapInArrow(scored, "word binary, c long, lp double").withColumn("part", F.pmod(F.crc32("word"), F.lit(parts)).cast("int"))
-    sent = texts.mapInArrow(_messages(parts), "part int, block long, words binary, lens binary, n_docs binary, docs binary, times binary, doc_ids array<long>, held array<boolean>, sizes array<long>")
+        for chunk in chunks(batches):
+            words, c = chunk.column("word").to_pylist(), chunk.column("c").to_numpy()
+            log_q = forward(table, logp, words)[0] + np.log1p(-end_share)
+            log_p = log_q
+            if n + v:
+                with np.errstate(divide="ignore"):
+                    log_p = np.logaddexp(np.log(c), np.log(v) + log_q) - np.log(n + v)
+            yield _packed_words(parts, words, c, log_p / np.log(10), log_q / np.log(10))
+        give_back()
+
+    dictionary = counts.mapInArrow(scored, _MESSAGE_DDL)
+    sent = texts.mapInArrow(_messages(parts), _MESSAGE_DDL)
     denominator = float(n + v + 1)
-    sums = dictionary.groupBy("part").cogroup(sent.groupBy("part")).applyInArrow(
-        _partial_sums(denominator), "block long, docs binary, n_known binary, score binary, base_score binary, doc_ids array<long>, held array<boolean>, sizes array<long>")
-    totals = sums.repartition("block").sortWithinPartitions("block").mapInArrow(_totals, "doc_id long, held boolean, size long, n_known long, base_score double, score double")
+    met = dictionary.unionByName(sent).repartition("part").sortWithinPartitions("part", "block")
+    sums = met.mapInArrow(_partial_sums(denominator), _PARTIAL_DDL)
+    totals = sums.repartition("block").sortWithinPartitions("block").mapInArrow(_totals, f"doc_id long, held boolean, size long, n_known long, {', '.join(f'{c} double' for c in _SUMS)}")
     end_base = float(np.log10((ends + 1) / denominator))
     end_p = (ends + v * end_share) / (n + v) if n + v else end_share
     return totals.select(
         "doc_id", F.col("held").alias("held_out"), (F.col("size") + 1).alias("n_tokens"), (F.col("n_known") + int(ends > 0)).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base_score") + end_base).alias("base_score"), (F.col("score") + float(np.log10(end_p))).alias("score"))
+        (F.col("base_score") + end_base).alias("base_score"), (F.col("score") + float(np.log10(end_p))).alias("score"), (F.col("lattice_score") + float(np.log10(end_share))).alias("lattice_score"))

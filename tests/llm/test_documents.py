@@ -60,6 +60,22 @@ def brute_lattice(pieces, logp, word):
     return total[-1]
 
 
+def brute_uses(weight, words):
+    """Expected uses of every piece over the segmentations of every word."""
+    uses = collections.Counter()
+    for word in words:
+        data = lattice.MARK + word
+        arcs = [(j, i) for i in range(3, len(data) + 1) for j in range(max(0, i - 60), i) if not 0 < j < 3 and data[j:i] in weight]
+        before, after = [1.0] + [0.0] * len(data), [0.0] * len(data) + [1.0]
+        for j, i in arcs:
+            before[i] += before[j] * weight[data[j:i]]
+        for j, i in reversed(arcs):
+            after[j] += weight[data[j:i]] * after[i]
+        for j, i in arcs:
+            uses[data[j:i]] += before[j] * weight[data[j:i]] * after[i] / before[-1]
+    return uses
+
+
 def test_forward_sums_all_segmentations():
     pieces, weight = lattice.vocabulary(PIECES)
     words = ["the", "naïve", "segmentation", "日本語", "x" * 40, "▁odd"]
@@ -69,7 +85,7 @@ def test_forward_sums_all_segmentations():
     assert math.isclose(sum(u * len(p) for u, p in zip(uses, pieces)), sum(len(w.encode()) + 3 for w in words), rel_tol=1e-9)
 
 
-def test_lattice_scores(docs, empty):
+def test_lattice_scores(docs, empty, monkeypatch):
     out = lattice.score(docs, PIECES).collect()
     tokens = [(i, [*SPACE.findall((t or "").translate(LOWER)), None]) for i, t in rows_of(docs)]
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
@@ -78,7 +94,29 @@ def test_lattice_scores(docs, empty):
     want = sorted((str(i), held(i), len(ws), sum(c[w] > 0 for w in ws), n, round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws), 6)) for i, ws in tokens)
     assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in out) == want
     assert all(r.score < 0 and math.isfinite(r.score) for r in out)
+    # the model in plain Python: refitted weights, then counts and lattice by Witten-Bell
+    pieces, weight = lattice.vocabulary(PIECES)
+    words = {w for w in c if w is not None}
+    fitted = weight
+    for _ in range(lattice.ROUNDS):
+        uses = brute_uses(dict(zip(pieces, fitted)), [w.encode() for w in words])
+        fitted = np.array([uses[p] for p in pieces]) + weight
+        fitted /= fitted.sum()
+    every = {w for _, ws in tokens for w in ws if w is not None}
+    end = c[None] / n
+    q = {w: (1 - end) * math.exp(brute_lattice(pieces, np.log(fitted), w.encode())) for w in every} | {None: end}
+    for r in out:
+        r_words = next(ws for i, ws in tokens if i == r.doc_id and len(ws) == r.n_tokens)
+        if sum(i == r.doc_id for i, _ in tokens) == 1:
+            assert math.isclose(r.lattice_score, sum(math.log10(q[w]) for w in r_words), rel_tol=1e-9)
+            assert math.isclose(r.score, sum(math.log10((c[w] + v * q[w]) / (n + v)) for w in r_words), rel_tol=1e-9)
+    for part_words in (1, lattice.PART_WORDS):  # a part a word; long parts
+        monkeypatch.setattr(lattice, "PART_WORDS", part_words)
+        again = lattice.score(docs.limit(8), PIECES).collect()
+        assert len(again) == 8 and all(math.isfinite(r.lattice_score) for r in again)
     assert lattice.score(empty, PIECES).count() == 0
+    blank = lattice.score(docs.withColumn("text", F.when(F.col("doc_id") == 1, F.lit("one two"))), PIECES, held_out=F.col("doc_id") == 1).collect()
+    assert all(math.isfinite(r.score) and math.isfinite(r.lattice_score) for r in blank)  # all training texts are empty
     unseen = lattice.score(docs, PIECES, held_out=F.lit(True)).collect()
     assert {(r.train_tokens, r.n_known) for r in unseen} == {(0, 0)} and all(math.isfinite(r.score) for r in unseen)
 
