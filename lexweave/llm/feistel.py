@@ -11,7 +11,7 @@ the key can undo it (``restore``).  No shuffle, no join: one pass over the rows.
 | kind | permuted | kept |
 |-|-|-|
 | email | letters and digits of the local part | domain, punctuation, case |
-| phone | area, exchange and line of North American numbers; else the digits after the country code | country code, punctuation |
+| phone | area, exchange and line of North American numbers (impossible ones keep the first digits of area and exchange); else the digits after the country code | country code, punctuation |
 | card | all digits but the first and the last | first digit; the check digit is computed anew |
 | iban | digits of the account part | country, letters; check digits are computed anew |
 | ssn | area (not 000, 666, 9xx), group, serial | punctuation |
@@ -20,7 +20,10 @@ the key can undo it (``restore``).  No shuffle, no join: one pass over the rows.
 
 The date of a timestamp ('2024-03-05T12:34:56Z') counts, its time stays.  Ten
 digits in a row count as a phone number if area and exchange are North American
-ones and they are no part of a longer number.  Candidates that fail validation
+ones and they are no part of a longer number.  A phone number is its country code
+(none: North America) and its national digits, however it is set apart, so its
+forms share a pseudonym.  Not found are lower-case IBANs, social security numbers
+without dashes, dates with names of months and IPv6 addresses.  Candidates that fail validation
 stay as they are.  Null text stays null, other
 columns pass through.
 """
@@ -37,13 +40,16 @@ EMAIL = r"(?<![A-Za-z0-9._%+-])(?=[A-Za-z0-9._%+-]{1,64}@)[._%+-]*[A-Za-z0-9][A-
 DATE = r"\d{4}([-/.])\d{1,2}\1\d{1,2}|\d{1,2}([-/.])\d{1,2}\2\d{4}"
 IP = r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}"
 SSN = r"\d{3}-\d{2}-\d{4}"
-PHONE = r"(?:\+\d{1,3}[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4}|\+\d{1,3}(?:[ .-]\d{2,4}){2,5}|\+\d{9,15}|(?<!\d[.,:/-])[2-9]\d{2}[2-9]\d{6}(?![.,:/-]\d)"
+PHONE = r"(?:\+\d{1,3}[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4}|\+\d{1,3}(?:[ .-]\d{2,12}){1,5}|\+\d{9,15}|(?<!\d[.,:/-])[2-9]\d{2}[2-9]\d{6}(?![.,:/-]\d)"
 CARD = r"\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5}|\d{13,19}"
 IBAN = r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"
 NUMBERS = "|".join([IP, DATE, SSN, PHONE, CARD, IBAN])
 #: the date of a timestamp: a time follows after T
 STAMPED = "|".join(rf"\d{{4}}{sep}\d{{1,2}}{sep}\d{{1,2}}|\d{{1,2}}{sep}\d{{1,2}}{sep}\d{{4}}" for sep in ("-", "/", "[.]"))
 CANDIDATE = rf"(?<![0-9A-Za-z])(?:(?:{STAMPED})(?=[Tt]\d)|(?:{NUMBERS})(?![0-9A-Za-z]|[.]\d))|{EMAIL}"
+#: fixed values: country calling codes of one and of two digits; all others have three
+CODES_1 = "1 7"
+CODES_2 = "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98"
 #: ISO alphabets
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
@@ -155,9 +161,15 @@ def kind_of(v: Column) -> Column:
     )
 
 
-def _north_american(v: Column) -> Column:
-    """The ten national digits with valid area and exchange."""
-    return ~v.startswith("+") | v.rlike(r"\A\+1[ .(-]")
+def _country(v: Column) -> Column:
+    """Digits of the country code; none where no + leads."""
+    starts = lambda codes: v.rlike(rf"\A\+(?:{codes.replace(' ', '|')})")
+    return F.when(~v.startswith("+"), 0).when(starts(CODES_1), 1).when(starts(CODES_2), 2).otherwise(3)
+
+
+def _north_american(v: Column, digits: Column) -> Column:
+    """Ten national digits without a country code or after +1."""
+    return (F.length(digits) == 10) & ~v.startswith("+") | (F.length(digits) == 11) & v.startswith("+1")
 
 
 def _lr(l: Column, r: Column, a: Column, b: Column, more: Column | None = None) -> Column:  # noqa: E741
@@ -189,8 +201,9 @@ def _numbers(kind: Column, v: Column) -> Column:
     d = _digits(v)
     ten = F.right(d, F.lit(10))
     area, exchange, line = _int(ten, 1, 3), _int(ten, 4, 3), _int(ten, 7, 4)
-    valid_american = _north_american(v) & (F.length(d).between(10, 11)) & (area >= 200) & (exchange >= 200)
-    code = F.regexp_extract(v, r"\A\+(\d{1,3})(?=[ .(-])", 1)
+    american, valid_american = _north_american(v, d), (area >= 200) & (exchange >= 200)
+    kept = F.concat(F.lit("na"), F.floor(area / 100).cast("string"), F.floor(exchange / 100).cast("string"))
+    code = F.left(d, _country(v))
     long_lit = lambda x: F.lit(x).cast("long")
 
     def email(e: Column) -> Column:
@@ -211,7 +224,8 @@ def _numbers(kind: Column, v: Column) -> Column:
         .when(kind == "ip", _lr(octet(0) * 256 + octet(1), octet(2) * 256 + octet(3), long_lit(65536), long_lit(65536)))
         .when(kind == "date", _let(_date_parts(v), date))
         .when(kind == "ssn", _lr((_int(d, 1, 3) - F.when(_int(d, 1, 3) > 666, 2).otherwise(1)) * 99 + _int(d, 4, 2) - 1, _int(d, 6, 4) - 1, long_lit(898 * 99), long_lit(9999)))
-        .when((kind == "phone") & valid_american, _lr((area - 200) * 100 + exchange % 100, (F.floor(exchange / 100) - 2) * 10000 + line, long_lit(80000), long_lit(80000), F.lit("na")))
+        .when((kind == "phone") & american & valid_american, _lr((area - 200) * 100 + exchange % 100, (F.floor(exchange / 100) - 2) * 10000 + line, long_lit(80000), long_lit(80000), F.lit("na")))
+        .when((kind == "phone") & american, _lr(area % 100 * 100 + exchange % 100, line, long_lit(10000), long_lit(10000), kept))
         .when(kind == "phone", _split10(F.substring(d, F.length(code) + 1, F.lit(20)), code))
         .when(kind == "card", _split10(F.substring(d, F.lit(2), F.length(d) - 2), F.left(d, F.lit(1))))
         .when(kind == "iban", _split10(_account(v), F.left(v, F.lit(2))))
@@ -242,7 +256,9 @@ def _written(kind: Column, v: Column, x: Column, y: Column, key: str, undo: bool
     origin = y if undo else x
     american = F.concat(_padded(F.floor(y["l"] / 100) + 200, 3), _padded((F.floor(y["r"] / 10000) + 2) * 100 + y["l"] % 100, 3), _padded(y["r"] % 10000, 4))
     joined = lambda size: F.concat(_padded(y["l"], F.ceil(size / 2).cast("int")), _padded(y["r"], F.floor(size / 2).cast("int")))
-    code = F.length(F.regexp_extract(v, r"\A\+(\d{1,3})(?=[ .(-])", 1))
+    digit = lambda at: F.substring(x["tweak"], at, 1)
+    impossible = F.concat(digit(3), _padded(F.floor(y["l"] / 100), 2), digit(4), _padded(y["l"] % 100, 2), _padded(y["r"], 4))
+    code = _country(v)
     payload = F.concat(F.left(d, F.lit(1)), joined(n - 2))
     card = F.concat(payload, F.pmod(-luhn_sum(F.concat(payload, F.lit("0"))), F.lit(10)).cast("string"))
     area = F.floor(y["l"] / 99)
@@ -280,6 +296,7 @@ def _written(kind: Column, v: Column, x: Column, y: Column, key: str, undo: bool
         .when(kind == "date", _let(_date_parts(v), lambda p: F.replace(date(p), F.lit("\x00"), p["sep"])))
         .when(kind == "ssn", ssn)
         .when((kind == "phone") & (x["tweak"] == "na"), _pour(v, F.concat(F.substring(d, F.lit(1), n - 10), american), "[0-9]"))
+        .when((kind == "phone") & x["tweak"].startswith("na"), _pour(v, F.concat(F.substring(d, F.lit(1), n - 10), impossible), "[0-9]"))
         .when(kind == "phone", _pour(v, F.concat(F.substring(d, F.lit(1), code), joined(n - code)), "[0-9]"))
         .when(kind == "card", _pour(v, card, "[0-9]"))
         .when(kind == "iban", _let(account, iban))
