@@ -66,18 +66,16 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crosspoly.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
-_SHINGLES = """
-    SELECT {key}, array_to_string(list_slice(w, i, i + 4), ' ') AS s
-    FROM (SELECT {key}, w, unnest(range(1, len(w) - 3)) AS i
-          FROM (SELECT {key}, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM {table}))
-    GROUP BY ALL"""
+_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
 
 
 @query(
     "op5_containment_search",
     f"""
-    WITH d AS ({_SHINGLES.format(key='doc_id', table='documents')}),
-    b AS ({_SHINGLES.format(key='item_id', table='benchmark')}),
+    WITH i AS (SELECT item_id, w, least(5, len(w)) AS k FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) > 0),
+    b AS (SELECT DISTINCT item_id, array_to_string(list_slice(w, p, p + k - 1), ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS p FROM i)),
+    d AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, p, p + k - 1), ' ') AS s
+          FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS p FROM (SELECT doc_id, {_WORDS} AS w FROM documents), (SELECT DISTINCT k FROM i))),
     n AS (SELECT item_id, count(*) AS item_shingles FROM b GROUP BY item_id)
     SELECT doc_id, item_id, item_shingles, count(*) AS matched, count(*) / item_shingles AS containment
     FROM d JOIN b USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id, item_shingles HAVING count(*) >= 0.8 * item_shingles
