@@ -22,6 +22,7 @@ every score is the share of good labels (1 without labels).
 
 from __future__ import annotations
 
+import gc
 import math
 from collections.abc import Iterator
 
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.scan import top_per_group
@@ -98,6 +99,14 @@ class View:
         return self.scale * self.margin(tokens) + self.shift
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver drop what earlier fits left: Spark removes broadcasts, shuffle
+    files and generated code only once their last references are collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    give_back()
+
+
 def _fit(rows: DataFrame, view: str, reg: float) -> LogisticRegressionModel:
     return LogisticRegression(featuresCol=f"{view}_v", labelCol="y", maxIter=25, regParam=reg, elasticNetParam=1.0, standardization=False).fit(rows.coalesce(FIT_PARTITIONS))
 
@@ -227,7 +236,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ma
     given: set[int] = set()
     most = {1: int(max_given * prior), 0: int(max_given * (1 - prior))}
     for number in range(rounds + 1):
-        models = {v: _fit(training[v], v, reg) for v in VIEWS}
+        models = {}
+        for v in VIEWS:
+            models[v] = _fit(training[v], v, reg)
+            release(spark)
         views = {v: View({w.encode("latin-1"): float(c) for w, c in zip(words[v].vocabulary, models[v].coefficients.toArray()) if c}, float(models[v].intercept)) for v in VIEWS}
         if number == rounds:
             break
@@ -253,6 +265,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ma
             views[v].scale, views[v].shift = platt(margins, good)
             odds += views[v].scale * margins + views[v].shift
         fitted.scale, fitted.shift = platt(odds - math.log(prior / (1 - prior)), good)
+    del models, training, own, rows, aside
+    release(spark)
     return fitted
 
 
