@@ -22,6 +22,15 @@ def _c(col: Column | str) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+#: Java 17 takes any letter as part of a word in \b, though its \w is ASCII only
+_ASCII_EDGE = "(?:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))"
+
+
+def ascii_edges(pattern: str) -> str:
+    r"""The pattern with each \b at the edges of ASCII words, as RE2 has it."""
+    return pattern.replace(r"\b", _ASCII_EDGE)
+
+
 def words(col: Column | str, pattern: str = WORD2) -> Column:
     """Lower-cased tokens of a text as an array."""
     return F.regexp_extract_all(F.lower(_c(col)), F.lit(pattern), F.lit(0))

@@ -213,4 +213,4 @@ def d22(spark, d):
 FROM (SELECT quality, regexp_matches(text, '(?i)\\b(the|les?|die|los?)\\b') AS f, regexp_matches(text, '\\d{2,}') AS t FROM documents JOIN labels USING (doc_id)) GROUP BY ALL""")
 def d23(spark, d):
     rows = table(spark, d, "documents").select("doc_id", "text").join(table(spark, d, "labels"), "doc_id")
-    return summaries.copresence(rows, "text", "quality", r"(?i)\b(the|les?|die|los?)\b", r"\d{2,}")
+    return summaries.copresence(rows, "text", "quality", r"(?i)\b(the|le[sſ]?|die|lo[sſ]?)\b", r"\d{2,}")  # ſ: RE2 folds it with s

@@ -389,3 +389,9 @@ def test_scans_keep_null_groups_and_values(spark):
     ranks = {(r.g, r.o): r["rank"] for r in average_ranks(df, ["g"], "v").collect()}
     assert ranks == {(None, 1): 1.0, (None, 2): 2.0, ("a", 1): 1.5, ("a", 2): None, ("a", 3): 1.5}
     assert {r.g: r.m for r in quantiles(df, ["g"], "v", {"m": 0.5}).collect()} == {None: 6.0, "a": 1.0}
+
+
+def test_copresence_has_ascii_word_edges(spark):
+    rows = [("a", "leêtr"), ("a", "ñlos 12"), ("a", "tale 12"), ("b", "LE 1"), ("b", "les_"), ("b", None)]
+    got = {r.g: (r.n, r.formula, r.term, r.both) for r in summaries.copresence(spark.createDataFrame(rows, "g string, x string"), "x", "g", r"(?i)\b(les?|los?)\b", r"\d{2,}").collect()}
+    assert got == {"a": (3, 2, 2, 1), "b": (3, 1, 0, 0)}
