@@ -16,8 +16,8 @@ are removed.
 4. A document streams through the suffix automaton of its shards; where the
    matching statistic is at least ``width``, the last ``width`` words are a
    repeat.  The automaton decides on the words themselves: hashes only choose
-   what to compare.  Tasks keep recent automata, so a shard that many documents
-   share is built once per task.
+   what to compare.  Tasks keep recent automata up to a number of states, so a shard
+   that many documents share is built once per task.
 
 Shards are sent to the documents that need them, not to all tasks: their total
 size grows with the corpus, so it has no bound for a broadcast.  Bit arrays of
@@ -49,7 +49,7 @@ WIDTH = 50
 GRAM = 24
 FILTER_BITS = 1 << 25  # 4 MB each
 ROUND = 64
-AUTOMATA = 64
+STATES = 100_000  # of the automata that a task keeps, some 50 MB
 _RUN = np.uint64(0xA24BAED4963EE407)
 
 
@@ -127,7 +127,7 @@ def split_words(text: str | None) -> list[bytes]:
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The wanted spans of words of each reference document."""
-    for batch in batches:
+    for batch in slices(batches, "text"):
         out: tuple[list, ...] = ([], [], [], [])
         for ref, text, spans in zip(batch.column("ref").to_pylist(), batch.column("text"), batch.column("spans").to_pylist()):
             words = split_words(text.as_py())
@@ -206,10 +206,11 @@ def _streamed(width: int, columns: list[str], others: np.ndarray | None = None):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         built: OrderedDict[tuple, SuffixAutomaton] = OrderedDict()
-        for batch in batches:
-            if others is not None:
-                batch = batch.filter(pa.array(~passes(others, batch.column("_key").to_numpy().view(np.uint64))))
-            sent = batch.column("_shards").to_pylist() if others is None else itertools.repeat(None)
+        states = 0
+        if others is not None:
+            batches = (batch.filter(pa.array(~passes(others, batch.column("_key").to_numpy().view(np.uint64)))) for batch in batches)
+        for batch in slices(batches, "_text"):
+            sent = (s.as_py() for s in batch.column("_shards")) if others is None else itertools.repeat(None)
             n_words, removed, spans_out, kept = [], [], [], []
             for text, shards in zip(batch.column("_text"), sent):
                 words = split_words(text.as_py())
@@ -218,8 +219,9 @@ def _streamed(width: int, columns: list[str], others: np.ndarray | None = None):
                     key = tuple(sorted(set(shards)))
                     if key not in built:
                         built[key] = SuffixAutomaton([s.split(b" ") for s in key])
-                        if len(built) > AUTOMATA:
-                            built.popitem(last=False)
+                        states += len(built[key].next)
+                        while states > STATES and len(built) > 1:
+                            states -= len(built.popitem(last=False)[1].next)
                     built.move_to_end(key)
                     spans = built[key].repeats(words, width)
                 at, stay = 0, []

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph_iter import components
 from ..session import scratch_path
-from .words import Words, mix, ngrams, run_hash, slices, text_batches, words_of
+from .words import Words, give_back, mix, ngrams, run_hash, slices, text_batches, words_of
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -41,6 +41,7 @@ TREES, DEPTH = 16, 8
 RECALL = 0.999
 BLOCK = 1024
 ATTEMPTS = 64
+ROWS = 128  # of a block pair, held against all its others at once
 
 
 def prefix_length(threshold: float, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
@@ -134,7 +135,7 @@ def in_blocks(df: DataFrame, key: list[str], item: str, sizes: DataFrame, block:
     return spread.withColumn("lo", F.least("side", "_o")).withColumn("hi", F.greatest("side", "_o")).drop("_b", "_o")
 
 
-def groups(batches: Iterator[pa.RecordBatch], key: list[str], rows: int = 20_000) -> Iterator[pa.Table]:
+def groups(batches: Iterator[pa.RecordBatch], key: list[str], rows: int = 20_000, size: int = 8_000_000) -> Iterator[pa.Table]:
     """Tables of whole groups (sorted by key), several small ones at a time."""
     held: list[pa.RecordBatch] = []
     count = 0
@@ -143,7 +144,7 @@ def groups(batches: Iterator[pa.RecordBatch], key: list[str], rows: int = 20_000
             continue
         held.append(batch)
         count += batch.num_rows
-        if count < rows:
+        if count < rows and sum(b.nbytes for b in held) < size:
             continue
         table = pa.Table.from_batches(held)
         change = _starts(table, key)
@@ -152,6 +153,8 @@ def groups(batches: Iterator[pa.RecordBatch], key: list[str], rows: int = 20_000
             yield table.slice(0, last)
         held = table.slice(last).combine_chunks().to_batches()
         count = table.num_rows - last
+        del table
+        give_back()
     if held:
         yield pa.Table.from_batches(held)
 
@@ -239,7 +242,7 @@ def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
         dense = np.zeros((m, min(width, int(col[-1]) + 1 - at)), np.float32)
         dense[row[lo:hi], col[lo:hi] - at] = 1
         total += dense @ dense.T
-    return total.astype(np.int32)
+    return total
 
 
 def _verified(threshold: float):
@@ -257,7 +260,11 @@ def _verified(threshold: float):
                 sets = hashes[lo:hi]
                 size = np.array([len(s) for s in sets], np.int32)
                 same = shared_counts(sets)
-                link = same >= threshold * (size[:, None] + size[None, :] - same) - 1e-9
+                link = np.empty(same.shape, bool)
+                for at in range(0, len(sets), ROWS):
+                    some = same[at : at + ROWS].astype(np.int32)
+                    link[at : at + ROWS] = some >= threshold * (size[at : at + ROWS, None] + size[None, :] - some) - 1e-9
+                del same
                 np.fill_diagonal(link, False)
                 if across[lo]:
                     link &= side[lo:hi, None] != side[None, lo:hi]

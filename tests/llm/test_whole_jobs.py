@@ -1,8 +1,9 @@
 """What thresholds and patterns must not leave out."""
 
 import numpy as np
+import pyarrow as pa
 
-from lexweave.llm import cotrain, feistel, lineruns
+from lexweave.llm import automata, cotrain, feistel, lineruns
 
 
 def test_short_repeated_lines_go(spark):
@@ -57,3 +58,25 @@ def test_equal_ids_and_order(spark):
     assert all(200 < i < 300 and i not in (200, 201) and y == (i % 3 != 0) for i, y in found["text"].items())
     best = {i for i, t, *_ in rows if i > 201 and "fine" in t and "w1 " in t}
     assert {i for i, y in found["text"].items() if y} <= best
+
+
+def test_automata_kept_by_a_task_are_bounded_by_their_states(monkeypatch):
+    alive: dict[int, int] = {}
+    most = 0
+
+    class Counted(automata.SuffixAutomaton):
+        def __init__(self, sequences):
+            nonlocal most
+            super().__init__(sequences)
+            alive[id(self)] = len(self.next)
+            most = max(most, sum(alive.values()))
+
+        def __del__(self):
+            alive.pop(id(self), None)
+
+    monkeypatch.setattr(automata, "SuffixAutomaton", Counted)
+    shards = [b" ".join(b"%d-%d" % (i, j) for j in range(3000)) for i in range(60)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(60)), pa.array([s.decode() for s in shards]), pa.array([[s] for s in shards], pa.list_(pa.binary()))], names=["doc_id", "_text", "_shards"])
+    out = pa.Table.from_batches(list(automata._streamed(50, ["doc_id"])([batch])))
+    assert out.column("n_removed").to_pylist() == [3000] * 60
+    assert most < 110_000  # 180,000 if all are kept
