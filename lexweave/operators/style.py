@@ -9,6 +9,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -182,7 +183,35 @@ def presence_rates(counts: DataFrame, groups: DataFrame, features: Sequence[str]
 
 # Nearest neighbours ------------------------------------------------------
 
-PIVOTS, BLOCK = 64, 4000
+PIVOTS = 64
+BLOCK = 32_000  # members of a tile; with half as many visitors 25 MB of 64 dimensions
+CELLS = 2_000_000  # distances at a time, 16 MB
+
+
+def nearest_in_tile(q: np.ndarray, qi: np.ndarray, c: np.ndarray, ci: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(id, nbr, distance) of the k members nearest to each visitor, ties to the
+    smaller id, some visitors at a time."""
+    order = np.argsort(ci, kind="stable")
+    c, ci = c[order].T, ci[order]
+    found: list[tuple[np.ndarray, ...]] = []
+    step = max(1, CELLS // max(1, len(ci)))
+    for at in range(0, len(qi), step):
+        ids = qi[at : at + step]
+        dist = q[at : at + step] @ c
+        np.clip(np.subtract(1.0, dist, out=dist), 0.0, 2.0, out=dist)
+        dist[ids[:, None] == ci[None, :]] = np.inf
+        if k < len(ci):
+            bar = np.partition(dist, k - 1, axis=1)[:, k - 1]
+            row, col = np.nonzero(dist <= bar[:, None] + 2e-12)  # rounding may make ties of these
+        else:
+            row, col = np.nonzero(np.ones(dist.shape, bool))
+        d = np.round(dist[row, col], 12)
+        by = np.lexsort((col, d, row))
+        row, col, d = row[by], col[by], d[by]
+        first = np.searchsorted(row, np.arange(len(ids)))
+        keep = (np.arange(len(row)) - first[row] < k) & np.isfinite(d)
+        found.append((ids[row[keep]], ci[col[keep]], d[keep]))
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else (qi, qi, np.zeros(0))
 
 
 def knn(df: DataFrame, k: int, pivots: int = PIVOTS, block: int = BLOCK) -> DataFrame:
@@ -191,73 +220,78 @@ def knn(df: DataFrame, k: int, pivots: int = PIVOTS, block: int = BLOCK) -> Data
     Vectors are scaled to unit length and assigned to the nearest of a fixed
     number of pivots.  A point only visits the cells that can hold one of its k
     nearest (distance to the pivot minus the cell's radius within a bound that
-    provably covers k points), and both the visitors and the members of a cell
-    are hashed into blocks of bounded size.  Each block pair keeps the best k
-    per visitor, so no pair list is shuffled.  Only the pivots and one count
-    and radius per cell reach the driver.
+    provably covers k points).  Cells are put together, or hashed apart, to
+    pieces of about ``block`` points, and a piece meets the points that visit
+    it in blocks of about half as many: a tile, of bounded size however large the
+    table is.  Each tile keeps the best k per visitor, so no pair list is
+    shuffled.  Only the pivots and one count and radius per cell reach the driver.
+
+    Where no cell can be left out the work is quadratic in the points, and so is
+    the shuffle, by the square over ``block``.
     """
     points = df.select("id", F.col("vec").cast("array<double>").alias("vec"))
     seeds = points.orderBy(md5_key("id", seed="pivot"), "id").limit(pivots).collect()
     P = np.array([r["vec"] for r in seeds])
     P = P / np.maximum(np.linalg.norm(P, axis=1, keepdims=True), 1e-12)
+    kind = df.schema["id"].dataType.simpleString()
 
-    def unit(v: pd.Series) -> np.ndarray:
-        m = np.stack(v.to_numpy())
-        return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+    def stacked(v: pd.Series | list) -> np.ndarray:
+        return np.frombuffer(b"".join(v)).reshape(len(v), -1)
 
     def to_pivots(m: np.ndarray) -> np.ndarray:
         return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * m @ P.T))
 
-    @F.pandas_udf("struct<cell:int,dist:double,vec:array<double>>")
+    @F.pandas_udf("struct<cell:int,dist:double,vec:binary>")
     def assign(v: pd.Series) -> pd.DataFrame:
-        m = unit(v)
+        m = np.stack(v.to_numpy())
+        m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
         d = to_pivots(m)
         cell = d.argmin(axis=1)
-        return pd.DataFrame({"cell": cell.astype("int32"), "dist": d[np.arange(len(m)), cell], "vec": list(m)})
+        return pd.DataFrame({"cell": cell.astype("int32"), "dist": d[np.arange(len(m)), cell], "vec": [x.tobytes() for x in m]})
 
     placed = cut(points.select("id", assign("vec").alias("a")).select("id", "a.cell", "a.dist", "a.vec"))
     stats = {r["cell"]: (r["n"], r["r"]) for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("dist").alias("r")).collect()}
     counts = np.array([stats.get(i, (0, 0.0))[0] for i in range(len(P))])
     radii = np.array([stats.get(i, (0, 0.0))[1] for i in range(len(P))])
-    blocks = [max(1, -(-int(c) // block)) for c in counts]
+    # neighbouring cells share a piece up to its size; a larger cell has pieces of its own
+    pieces: list[list[int]] = []
+    room = n_pieces = 0
+    for n in counts.tolist():
+        if n > room:
+            split = max(1, -(-n // block))
+            pieces.append(list(range(n_pieces, n_pieces + split)))
+            n_pieces, room = n_pieces + split, block - n if split == 1 else 0
+        else:
+            room -= n
+            pieces.append([max(0, n_pieces - 1)])
 
     @F.pandas_udf("array<int>")
     def visits(v: pd.Series) -> pd.Series:
-        d = to_pivots(np.stack(v.to_numpy()))
+        d = to_pivots(stacked(v))
         far = np.where(counts > 0, d + radii, np.inf)
         order = np.argsort(far, axis=1)
         seen = np.cumsum(counts[order], axis=1)
         enough = np.minimum((seen < k + 1).sum(axis=1), len(P) - 1)
         bound = np.take_along_axis(far, np.take_along_axis(order, enough[:, None], 1), 1)
         ok = (d - radii <= bound + 1e-9) & (counts > 0)
-        return pd.Series([np.flatnonzero(row).astype("int32") for row in ok])
-
-    n_blocks = F.array(*[F.lit(b) for b in blocks])
-    of = lambda c: F.get(n_blocks, c)
-    members = placed.select("cell", F.pmod(F.xxhash64("id"), of(F.col("cell"))).cast("int").alias("mb"), "id", "vec", F.lit(True).alias("member"))
-    visitors = placed.select("id", "vec", F.explode(visits("vec")).alias("cell"))
-    v = visitors.withColumn("vb", F.pmod(F.xxhash64(F.lit(1), "id"), of(F.col("cell"))).cast("int"))
-    v = v.withColumn("mb", F.explode(F.sequence(F.lit(0), of(F.col("cell")) - 1))).withColumn("member", F.lit(False))
-    m = members.withColumn("vb", F.explode(F.sequence(F.lit(0), of(F.col("cell")) - 1)))
-    cols = ["cell", "vb", "mb", "id", "vec", "member"]
-
-    def best(part: pd.DataFrame) -> pd.DataFrame:
-        q, c = part[~part["member"]], part[part["member"]]
-        if q.empty or c.empty:
-            return pd.DataFrame({"id": [], "nbr": [], "distance": []})
-        qi, ci = q["id"].to_numpy(), c["id"].to_numpy()
-        dist = np.clip(1.0 - np.stack(q["vec"].to_numpy()) @ np.stack(c["vec"].to_numpy()).T, 0.0, 2.0)
-        dist[qi[:, None] == ci[None, :]] = np.inf
-        dist = np.round(dist, 12)
-        rows = []
-        for i in range(len(qi)):
-            top = np.lexsort((ci, dist[i]))[:k]
-            rows.append(pd.DataFrame({"id": qi[i], "nbr": ci[top], "distance": dist[i][top]}))
-        out = pd.concat(rows)
-        return out[np.isfinite(out["distance"])]
-
-    kind = df.schema["id"].dataType.simpleString()
-    part = v.select(*cols).unionByName(m.select(*cols)).groupBy("cell", "vb", "mb").applyInPandas(best, f"id {kind}, nbr {kind}, distance double")
+        return pd.Series([sorted({p for c in np.flatnonzero(row) for p in pieces[c]}) for row in ok])
+
+    blocks = max(1, -(-int(counts.sum()) * 2 // block))
+    own = F.get(F.array(*[F.array(*[F.lit(p) for p in ps]) for ps in pieces]), F.col("cell"))
+    vb = F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(blocks)).cast("int")
+    cols = ["piece", "vb", "id", "vec", "member"]
+    v = placed.select("id", "vec", F.explode(visits("vec")).alias("piece")).withColumn("vb", vb).withColumn("member", F.lit(False))
+    m = placed.select("id", "vec", F.get(own, F.pmod(F.xxhash64("id"), F.size(own)).cast("int")).alias("piece"), F.lit(True).alias("member"))
+    m = m.withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+
+    def best(tile: pa.Table) -> pa.Table:
+        inside = tile.column("member").to_numpy()
+        ids = tile.column("id").to_numpy()
+        vec = stacked(tile.column("vec").to_pylist())
+        found = nearest_in_tile(vec[~inside], ids[~inside], vec[inside], ids[inside], k) if inside.any() and not inside.all() else (ids[:0], ids[:0], np.zeros(0))
+        return pa.table({"id": pa.array(found[0], tile.schema.field("id").type), "nbr": pa.array(found[1], tile.schema.field("id").type), "distance": found[2]})
+
+    part = v.select(*cols).unionByName(m.select(*cols)).groupBy("piece", "vb").applyInArrow(best, f"id {kind}, nbr {kind}, distance double")
     return top_per_group(part, ["id"], [F.asc("distance"), F.asc("nbr")], k)
 
 

@@ -395,3 +395,21 @@ def test_copresence_has_ascii_word_edges(spark):
     rows = [("a", "leêtr"), ("a", "ñlos 12"), ("a", "tale 12"), ("b", "LE 1"), ("b", "les_"), ("b", None)]
     got = {r.g: (r.n, r.formula, r.term, r.both) for r in summaries.copresence(spark.createDataFrame(rows, "g string, x string"), "x", "g", r"(?i)\b(les?|los?)\b", r"\d{2,}").collect()}
     assert got == {"a": (3, 2, 2, 1), "b": (3, 1, 0, 0)}
+
+
+def test_nearest_in_tile_takes_some_visitors_at_a_time(monkeypatch):
+    import numpy as np
+
+    made = np.random.default_rng(5)
+    c = np.round(made.normal(size=(90, 2)))  # many equal directions
+    c[(c == 0).all(1)] = 1.0
+    c /= np.linalg.norm(c, axis=1, keepdims=True)
+    ids = made.permutation(90)
+    monkeypatch.setattr(style, "CELLS", 7 * 90)
+    q, nbr, d = style.nearest_in_tile(c[:40], ids[:40], c, ids, 4)
+    got = {}
+    for a, b, x in zip(q.tolist(), nbr.tolist(), d.tolist()):
+        got.setdefault(a, []).append((x, b))
+    for i in range(40):
+        want = sorted((round(min(2.0, max(0.0, 1 - float(c[i] @ c[j]))), 12), int(ids[j])) for j in range(90) if j != i)[:4]
+        assert [b for _, b in got[ids[i]]] == [b for _, b in want]
