@@ -413,3 +413,19 @@ def test_nearest_in_tile_takes_some_visitors_at_a_time(monkeypatch):
     for i in range(40):
         want = sorted((round(min(2.0, max(0.0, 1 - float(c[i] @ c[j]))), 12), int(ids[j])) for j in range(90) if j != i)[:4]
         assert [b for _, b in got[ids[i]]] == [b for _, b in want]
+
+
+def test_sibling_tiles_are_the_pairs(spark):
+    """Blocks of three places and one of 40: both as the features of pairs written out."""
+    from lexweave.operators import siblings
+
+    at = spark.createDataFrame([(i, i % 3 if i % 17 else None, i % 4 == 0) for i in range(1, 61)] + [(100, 9, True)], "node long, parent long, is_hub boolean")
+    acts = spark.createDataFrame(sorted({(i, f"a{i * j % 5}", (i // 6) * j % 7) for i in range(1, 61) for j in range(1, 4)}), "node long, action string, item long")
+    mem = acts.select("node", "item").distinct()
+    nb = graph.siblings(at, "node", "parent").join(at.select(F.col("node").alias("nbr"), "is_hub"), "nbr")
+    flat = lambda df: {r["node"]: {k: round(v, 12) for k, v in r.asDict().items() if k != "node"} for r in df.collect()}
+    assert flat(siblings.shared_items(at, mem)) == flat(connect.shared_items(nb, mem))
+    assert flat(siblings.shared_patterns(at, acts)) == flat(connect.shared_patterns(nb, acts))
+    assert flat(siblings.profile_similarity(at, acts)) == flat(connect.profile_similarity(nb, acts))
+    profile = acts.groupBy("node", F.col("action").alias("k")).agg(F.count("*").alias("v"))
+    assert flat(siblings.scores(at, profile, True, block=3)) == flat(siblings.scores(at, profile, True))
