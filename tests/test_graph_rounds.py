@@ -161,3 +161,15 @@ def test_bridges_of_a_long_path(spark, monkeypatch):
     g = spark.range(9999).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst")).unionByName(spark.createDataFrame([(9900, 9999)], "src long, dst long"))
     assert sorted(r.src for r in tours.bridges(g).collect()) == list(range(9900))
     assert len(rounds) < 120
+
+
+def test_betweenness_over_small_blocks(spark, monkeypatch):
+    """A hub's edges lie in several blocks, and sources in several parts; names are strings."""
+    for name, value in {"BLOCK_EDGES": 12, "LIST": 3, "ROWS": 2, "TASKS": 12, "STEPS": 100}.items():
+        monkeypatch.setattr(paths, name, value)
+    rng = random.Random(5)
+    edges = {(0, i): rng.choice([1, 2, 3]) for i in range(1, 13)} | {(i, i + 1): 1 for i in range(1, 12)}
+    want = brandes(neighbours(edges), float)
+    g = frame(spark, edges).select(F.concat(F.lit("n"), "src").alias("src"), F.concat(F.lit("n"), "dst").alias("dst"), "weight")
+    got = {r.node: r.betweenness for r in paths.betweenness(g, 1000, length=F.col("weight")).collect()}
+    assert got.keys() == {f"n{v}" for v in want} and all(abs(got[f"n{v}"] - want[v]) < 1e-9 for v in want)
