@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import EARTH_KM, UNKNOWN_KM, haversine
 from ..session import cut
+from .pairs import pairs_between
 
 
 def _cells(band: Column, step: float) -> Column:
@@ -22,7 +23,7 @@ def within_radius(left: DataFrame, right: DataFrame, id_col: str, km: float) ->
     """Pairs (id_a, id_b, km) closer than ``km``; the point itself is left out.
 
     Both sides meet on (latitude band, longitude cell), so only neighbouring
-    cells are compared.  Identical coordinates are compared once: the distance
+    cells are compared, and a dense cell in blocks.  Identical coordinates are compared once: the distance
     is worked out between distinct points and ids are attached afterwards.
     """
     step = math.degrees(km / EARTH_KM) * 1.0000001
@@ -54,7 +55,7 @@ def within_radius(left: DataFrame, right: DataFrame, id_col: str, km: float) ->
         .select("band", F.pmod("cell", "n").alias("cell"), F.col("lat").alias("lat_a"), F.col("lon").alias("lon_a"))
     )
     d = haversine(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b"))
-    near = q.join(r, ["band", "cell"]).withColumn("km", d).where(F.col("km") <= km).drop("band", "cell")
+    near = pairs_between(q, r, ["band", "cell"]).withColumn("km", d).where(F.col("km") <= km).drop("band", "cell")
     a = left.select(F.col(id_col).alias("id_a"), F.col("lat").alias("lat_a"), F.col("lon").alias("lon_a"))
     b = right.select(F.col(id_col).alias("id_b"), F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"))
     return (

@@ -7,7 +7,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lexweave.operators import communities, graph, graph_iter, paths, tours
+from lexweave.functions.numbers import haversine
+from lexweave.operators import communities, geo, graph, graph_iter, pairs, paths, tours
 
 
 def frame(spark, edges):
@@ -173,3 +174,14 @@ def test_betweenness_over_small_blocks(spark, monkeypatch):
     g = frame(spark, edges).select(F.concat(F.lit("n"), "src").alias("src"), F.concat(F.lit("n"), "dst").alias("dst"), "weight")
     got = {r.node: r.betweenness for r in paths.betweenness(g, 1000, length=F.col("weight")).collect()}
     assert got.keys() == {f"n{v}" for v in want} and all(abs(got[f"n{v}"] - want[v]) < 1e-9 for v in want)
+
+
+def test_small_rows_with_many_pairs_stay_spread(spark):
+    """The adaptive planner sees a few kilobytes, not the square of a group."""
+    df = spark.range(400).select((F.col("id") % 4).alias("ctx"), F.col("id").alias("item"))
+    for made in (pairs.pairs_within(df, ["ctx"], "item"), pairs.pairs_within(df, ["ctx"], "item", block_rows=20), pairs.pairs_between(df, df.withColumnRenamed("item", "other"), ["ctx"], block_rows=20)):
+        assert made.select(F.spark_partition_id()).distinct().count() > 1
+    points = df.select(F.col("item").alias("id"), (F.lit(37.0) + F.col("item") / 400).alias("lat"), (F.lit(22.0) + F.col("ctx") / 4).alias("lon"))
+    near = geo.within_radius(points, points, "id", 15.0)
+    plain = points.crossJoin(points.toDF("id_b", "lat_b", "lon_b")).where("id <> id_b").withColumn("km", haversine(F.col("lat"), F.col("lon"), F.col("lat_b"), F.col("lon_b"))).where("km <= 15")
+    assert near.count() == plain.count() > 0
