@@ -185,3 +185,27 @@ def test_small_rows_with_many_pairs_stay_spread(spark):
     near = geo.within_radius(points, points, "id", 15.0)
     plain = points.crossJoin(points.toDF("id_b", "lat_b", "lon_b")).where("id <> id_b").withColumn("km", haversine(F.col("lat"), F.col("lon"), F.col("lat_b"), F.col("lon_b"))).where("km <= 15")
     assert near.count() == plain.count() > 0
+
+
+def test_clustering_forms_no_wedge_rows(spark, monkeypatch):
+    """Wheels and a dense part, against plain Python, without pairs of a node's edges."""
+    rng = random.Random(8)
+    rows = {("hub", f"r{i}"): 1 + i % 3 for i in range(40)} | {(f"r{i}", f"r{i + 1}"): 2 for i in range(0, 38, 2)}
+    rows |= {(f"x{i}", f"x{j}"): rng.randrange(1, 9) for i in range(14) for j in range(i + 1, 14) if rng.random() < 0.6}
+    rows = {(min(e), max(e)): w for e, w in rows.items()}
+    edges = spark.createDataFrame([(a, b, w) for (a, b), w in rows.items()], "src string, dst string, weight long")
+    monkeypatch.setattr(graph, "pairs_within", None)
+    nbr = {}
+    for a, b in rows:
+        nbr.setdefault(a, set()).add(b)
+        nbr.setdefault(b, set()).add(a)
+    top, weight = max(rows.values()), lambda a, b: rows[min(a, b), max(a, b)]
+    want = {}
+    for a, near in nbr.items():
+        hits = [(b, c) for b in near for c in near if b < c and c in nbr[b]]
+        g = sum((weight(a, b) * weight(a, c) * weight(b, c) / top**3) ** (1 / 3) for b, c in hits)
+        k = len(near)
+        want[a] = (k, len(hits), round(2 * len(hits) / (k * (k - 1)) if k > 1 else 0.0, 6), round(2 * g / (k * (k - 1)) if k > 1 else 0.0, 6))
+    got = {r.node: (r.degree, r.triangles, round(r.clustering, 6), round(r.weighted_clustering, 6)) for r in graph.clustering(edges).collect()}
+    assert got == want and sum(n for _, n, _, _ in want.values()) > 100
+    assert graph.clustering(edges.where("weight > 100")).count() == 0
