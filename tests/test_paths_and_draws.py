@@ -66,3 +66,26 @@ def test_poisson_bootstrap(spark):
         w = [(weight(i, r), v) for i, k, v in rows if k == "a" and v is not None]
         means.append(sum(a * v for a, v in w) / sum(a for a, _ in w))
     assert abs(statistics.stdev(means) - got["a"].stderr) < 1e-9 and abs(sorted(means)[0] - got["a"].low) < 1e-9
+
+
+def test_null_model_by_hand(spark, monkeypatch):
+    """Draws and counts as in plain Python; no table of rows holds a hash or a second node."""
+    pairs = sorted({(i * i % 11, i * 7 % 13) for i in range(60)})
+    parent = {i: i % 3 for i in range(11)} | {5: None}
+    tables = []
+    monkeypatch.setattr(permute, "written", lambda df, keep=permute.written: tables.append(df.columns) or keep(df))
+    inc = spark.createDataFrame([*pairs, (4, None)], "place long, person long")
+    groups = spark.createDataFrame(list(parent.items()), "place long, parent long")
+    digest = lambda *x: hashlib.md5("|".join(map(str, x)).encode()).hexdigest()
+    full = inc.where("person is not null")
+    got = {(r.rep, r.place, r.person) for r in permute.shuffled_incidence(full, "place", "person", 4).collect()}
+    assert [set(c) for c in tables] == [{"rep", "place", "_id"}, {"rep", "person", "_id"}]
+    draws = {rep: set(zip((a for a, b in sorted(pairs, key=lambda x: digest("slot", rep, *x))), (b for a, b in sorted(pairs, key=lambda x: digest("card", rep, *x[::-1]))))) for rep in range(4)}
+    assert got == {(rep, *x) for rep, d in draws.items() for x in d}
+    want = {}
+    for rep, d in {-1: set(pairs), **draws}.items():
+        for a, b in d:
+            if parent[a] is not None:
+                want[rep, a] = want.get((rep, a), 0) + any(c != a and e == b and parent[c] == parent[a] for c, e in d)
+    rows = spark.createDataFrame([(r, *x) for r, d in {-1: set(pairs), **draws}.items() for x in d] * 2 + [(-1, 4, None)], "rep int, place long, person long")
+    assert {(r.rep, r.place): r.shared for r in permute.shared_in_group(rows, groups, "place", "person", "parent").collect()} == want
