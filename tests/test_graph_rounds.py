@@ -209,3 +209,18 @@ def test_clustering_forms_no_wedge_rows(spark, monkeypatch):
     got = {r.node: (r.degree, r.triangles, round(r.clustering, 6), round(r.weighted_clustering, 6)) for r in graph.clustering(edges).collect()}
     assert got == want and sum(n for _, n, _, _ in want.values()) > 100
     assert graph.clustering(edges.where("weight > 100")).count() == 0
+
+
+def test_rounds_hold_numbers_not_names(spark, monkeypatch):
+    """Named nodes give the same bridges and cores; no round's table has a name in it."""
+    rng = random.Random(4)
+    plain = {(a, b): 1 for a in range(24) for b in range(a + 1, 24) if rng.random() < 0.11} | {(a, a + 1): 1 for a in range(30, 36)}
+    named = spark.createDataFrame([(f"name {a:03}", f"name {b:03}", 1) for a, b in plain], "src string, dst string, weight long")
+    kinds = []
+    for module in (tours, graph_iter):
+        monkeypatch.setattr(module, "written", lambda df, keep=module.written: kinds.extend(t for _, t in df.dtypes) or keep(df))
+    found = {(r.src, r.dst) for r in tours.bridges(named).collect()}
+    core = {r.node: r.core for r in graph_iter.core_numbers(named).collect()}
+    assert kinds and not any("string" in k for k in kinds)
+    assert found == {(f"name {a:03}", f"name {b:03}") for a, b in brute_bridges(plain)} and found
+    assert core == {f"name {r.node:03}": r.core for r in graph_iter.core_numbers(frame(spark, plain)).collect()}
